@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from burstline.llm import neardup
+from burstline.llm import neardup, packing, topk_search
 from burstline.llm.tables import read
 
 
@@ -13,8 +13,40 @@ def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(read(spark, sf_dir, "documents"), k=3, percent=85)
 
 
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return packing.pack(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), capacity=2048, end_id=0)
+
+
+def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read(spark, sf_dir, "embeddings")
+    return topk_search.top_k(vectors, vectors.where(F.col("vec_id") % 100 == 0), k=10, scale=1024)
+
+
 QUERIES = {
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
+    "op8_best_fit_packing": op8_best_fit_packing,
+    "op9_exact_top_k": op9_exact_top_k,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op9_exact_top_k": """
+        WITH v AS (
+            SELECT vec_id, [CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS e
+            FROM embeddings
+            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+              AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+        ), c AS (
+            SELECT vec_id, unnest(e) AS x, unnest(range(len(e))) AS d FROM v
+        ), s AS (
+            SELECT q.vec_id AS query_id, c.vec_id, CAST(sum(q.x * c.x) AS BIGINT) AS score
+            FROM c AS q JOIN c ON q.d = c.d AND q.vec_id <> c.vec_id
+            WHERE q.vec_id % 100 = 0
+            GROUP BY ALL
+        )
+        SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+        FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+        WHERE rank <= 10
+    """,
+}
