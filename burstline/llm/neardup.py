@@ -239,5 +239,5 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     classes = written(near_classes(docs, id_col, text_col, k, percent), "classes")
     least = classes.where("label is not null").groupBy("label").agg(F.min("id").alias("component_id"), F.count("*").alias("size")).where("size > 1").drop("size")
-    out = classes.join(least, "label", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
+    out = join_small(classes, written(least, "least"), "label", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
     return out.withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id")))

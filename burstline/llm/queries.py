@@ -5,14 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from burstline.llm import neardup, packing, topk_search
+from burstline.llm import line_dedup, neardup, packing, secret_scan, topk_search
 from burstline.llm.tables import read
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(read(spark, sf_dir, "documents")).drop("found")
+
+
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(read(spark, sf_dir, "documents"), k=3, percent=85)
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = line_dedup.delete_repeated_lines(read(spark, sf_dir, "documents"))
+    return left.select("doc_id", "n_lines", "n_deleted", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -24,13 +33,100 @@ def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search.top_k(vectors, vectors.where(F.col("vec_id") % 100 == 0), k=10, scale=1024)
 
 
+def _secrets_sql() -> str:
+    """Matches of each pattern with their places, then the owners of each value, then the digests."""
+    parts = [*secret_scan.BASE, ("owned", secret_scan.CANDIDATE, 0, 20)]
+    found = []
+    for i, (_, pattern, group, least) in enumerate(parts):
+        p = "'" + pattern.replace("'", "''") + "'"
+        found.append(f"""
+            SELECT r, {i} AS kind, CAST(list_sum([length(x) FOR x IN g[1:i]]) + coalesce(list_sum([length(x) FOR x IN w[1:i - 1]]), 0) AS BIGINT) AS s, length(w[i]) AS n, v[i] AS value
+            FROM (SELECT r, w, v, g, unnest(range(1, len(w) + 1)) AS i FROM (
+                SELECT r, regexp_extract_all(text, {p}, 0) AS w, regexp_extract_all(text, {p}, {group}) AS v, string_split_regex(text, {p}) AS g
+                FROM t WHERE regexp_matches(text, {p})))
+            WHERE length(v[i]) >= {least}""")
+    n = len(secret_scan.BASE)
+    names = "[" + ", ".join(f"'{kind}'" for kind, *_ in parts) + "]"
+    return f"""
+        WITH t AS (
+            SELECT row_number() OVER (ORDER BY doc_id) AS r, doc_id, coalesce(source, '') AS owner,
+                   concat_ws('/', source, lang) AS repository, coalesce(text, '') AS text
+            FROM documents
+        ), f AS ({" UNION ALL ".join(found)}
+        ), m AS (
+            SELECT f.*, owner, repository, sha256(value) AS hash FROM f JOIN t USING (r)
+            WHERE kind < {n} OR (regexp_matches(value, '[0-9]') AND regexp_matches(value, '[A-Za-z]')
+              AND NOT EXISTS (SELECT 1 FROM f AS b WHERE b.r = f.r AND b.kind < {n} AND b.s < f.s + f.n AND f.s < b.s + b.n))
+        ), held AS (
+            SELECT hash, count(DISTINCT owner) <= {secret_scan.MOST_OWNERS} AND count(DISTINCT owner || chr(10) || repository) <= {secret_scan.MOST_REPOSITORIES} AS live
+            FROM m GROUP BY hash
+        ), j AS (
+            SELECT r, kind, live, s, {names}[kind + 1] || ':' || s || ':' || (s + n) AS span
+            FROM m JOIN held USING (hash) WHERE kind < {n} OR live
+        ), d AS (
+            SELECT r, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
+                   count(*) FILTER (kind = {n}) AS n_owned, count(*) FILTER (kind < {n} AND NOT live) AS n_example,
+                   string_agg(span, ',' ORDER BY s, kind) FILTER (kind < {n}) AS base, string_agg(span, ',' ORDER BY s, kind) AS spans
+            FROM j GROUP BY r
+        )
+        SELECT doc_id, CAST(coalesce(n_assign, 0) AS BIGINT) AS n_assign, CAST(coalesce(n_access, 0) AS BIGINT) AS n_access, CAST(coalesce(n_hex, 0) AS BIGINT) AS n_hex,
+               sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans,
+               CAST(coalesce(n_owned, 0) AS BIGINT) AS n_owned, CAST(coalesce(n_example, 0) AS BIGINT) AS n_example
+        FROM t LEFT JOIN d USING (r)
+    """
+
+
+def _line_dedup_sql() -> str:
+    gram, window = line_dedup.GRAM, line_dedup.WINDOW
+    least, reach = gram + window - 1, gram + window
+    h = "CAST('0x' || md5({})[1:15] AS BIGINT)".format
+    grams = f"[{h(f'array_to_string(h[i:i + {gram - 1}], chr(44))')} FOR i IN range(1, len(h) - {gram - 2})]"
+    return f"""
+        WITH l AS (
+            SELECT doc_id, text, [x FOR x IN string_split(text, chr(10)) IF trim(x, ' ') <> ''] AS ls FROM documents
+        ), a AS (
+            SELECT doc_id, [{h("trim(x, ' ')")} FOR x IN ls] AS h FROM l WHERE len(ls) >= {least}
+        ), b AS (
+            SELECT doc_id, h, {grams} AS g FROM a
+        ), w AS (
+            SELECT doc_id, unnest(range(1, len(g) - {window - 2})) AS i, g, h FROM b
+        ), p AS (
+            SELECT DISTINCT doc_id, i + {window - 1} - (list_position(list_reverse(g[i:i + {window - 1}]), list_min(g[i:i + {window - 1}])) - 1) AS pos FROM w
+        ), f AS (
+            SELECT doc_id, pos, g[pos] AS fp, h FROM p JOIN b USING (doc_id)
+        ), e AS (
+            SELECT *, first_value(doc_id) OVER o AS fdoc, first_value(pos) OVER o AS fpos FROM f WINDOW o AS (PARTITION BY fp ORDER BY doc_id, pos)
+        ), m AS (
+            SELECT e.doc_id, e.pos, e.h, fpos, a.h AS fh FROM e JOIN a ON a.doc_id = fdoc WHERE (e.doc_id, e.pos) <> (fdoc, fpos)
+        ), x AS (
+            SELECT doc_id, pos,
+                   coalesce(list_position([coalesce(pos - j >= 1 AND fpos - j >= 1 AND h[pos - j] = fh[fpos - j], false) FOR j IN range(1, {reach + 1})], false) - 1, {reach}) AS before,
+                   coalesce(list_position([coalesce(h[pos + {gram - 1} + j] = fh[fpos + {gram - 1} + j], false) FOR j IN range(1, {reach + 1})], false) - 1, {reach}) AS after
+            FROM m
+        ), r AS (
+            SELECT DISTINCT doc_id, unnest(range(pos - before, pos + {gram} + after)) AS n FROM x WHERE before + after + {gram} >= {least}
+        ), q AS (
+            SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS place FROM documents
+        ), c AS (
+            SELECT *, CASE WHEN trim(line, ' ') <> '' THEN count(*) FILTER (trim(line, ' ') <> '') OVER (PARTITION BY doc_id ORDER BY place) END AS n FROM q
+        )
+        SELECT c.doc_id, CAST(count(c.n) AS BIGINT) AS n_lines, CAST(count(r.n) AS BIGINT) AS n_deleted,
+               sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (r.n IS NULL), '')) AS kept_sha256
+        FROM c LEFT JOIN r ON r.doc_id = c.doc_id AND r.n = c.n GROUP BY c.doc_id
+    """
+
+
 QUERIES = {
+    "op2_secret_scan": op2_secret_scan,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
+    "op7_line_dedup": op7_line_dedup,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_exact_top_k": op9_exact_top_k,
 }
 
 SQL: dict[str, str] = {
+    "op2_secret_scan": _secrets_sql(),
+    "op7_line_dedup": _line_dedup_sql(),
     "op9_exact_top_k": """
         WITH v AS (
             SELECT vec_id, [CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS e

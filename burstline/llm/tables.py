@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows up to which a table of a few numbers per row may be broadcast; it is counted first.
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 300_000
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
