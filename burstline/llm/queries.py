@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from burstline.llm import line_dedup, neardup, packing, secret_scan, topk_search
+from burstline.llm import decontaminate, line_dedup, neardup, packing, secret_scan, substring_dedup, topk_search
 from burstline.llm.tables import read
 
 
@@ -13,6 +13,10 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(read(spark, sf_dir, "documents")).drop("found")
 
 
+def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(read(spark, sf_dir, "documents"), k=3, percent=85)
 
@@ -33,6 +37,10 @@ def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search.top_k(vectors, vectors.where(F.col("vec_id") % 100 == 0), k=10, scale=1024)
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeated_paragraphs(read(spark, sf_dir, "documents"))
+
+
 def _secrets_sql() -> str:
     """Matches of each pattern with their places, then the owners of each value, then the digests."""
     parts = [*secret_scan.BASE, ("owned", secret_scan.CANDIDATE, 0, 20)]
@@ -118,10 +126,12 @@ def _line_dedup_sql() -> str:
 
 QUERIES = {
     "op2_secret_scan": op2_secret_scan,
+    "op3_benchmark_decontamination": op3_benchmark_decontamination,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
     "op7_line_dedup": op7_line_dedup,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_exact_top_k": op9_exact_top_k,
+    "op10_substring_dedup": op10_substring_dedup,
 }
 
 SQL: dict[str, str] = {
