@@ -5,10 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from burstline.llm import decontaminate, line_dedup, neardup, packing, secret_scan, substring_dedup, topk_search
+from burstline.llm import decontaminate, language_id, line_dedup, lm_score, neardup, packing, secret_scan, substring_dedup, topk_search, url_filter
 from burstline.llm.tables import read
 
 
+#: (verdict, host, path) of op4. Fixed values.
+URL_RULES = [
+    ("block", "com", "/en/"),
+    ("allow", "example.com", "/en/7"),
+    ("allow", "net", "/de/"),
+    ("block", "example.net", "/de/8"),
+    ("block", "org", "/es/"),
+]
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", language_id.held_out())
+    model = language_id.train(docs.where(~F.col("held_out")))
+    return language_id.identify(docs, model, keep=("doc_id", "held_out"))
+
+
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(read(spark, sf_dir, "documents")).drop("found")
 
@@ -17,10 +33,19 @@ def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(read(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(read(spark, sf_dir, "documents"), k=3, percent=85)
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return lm_score.score(docs, lm_score.train(docs))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = line_dedup.delete_repeated_lines(read(spark, sf_dir, "documents"))
     return left.select("doc_id", "n_lines", "n_deleted", F.sha2("text", 256).alias("kept_sha256"))
@@ -125,9 +150,12 @@ def _line_dedup_sql() -> str:
 
 
 QUERIES = {
+    "op1_language_id": op1_language_id,
     "op2_secret_scan": op2_secret_scan,
     "op3_benchmark_decontamination": op3_benchmark_decontamination,
+    "op4_url_filter": op4_url_filter,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
+    "op6_lm_scoring": op6_lm_scoring,
     "op7_line_dedup": op7_line_dedup,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_exact_top_k": op9_exact_top_k,
