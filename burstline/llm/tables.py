@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Rows up to which a table of a few numbers per row may be broadcast; it is counted first.
 BROADCAST_ROWS = 300_000
+#: Array elements, all told, up to which a table with an array column may be broadcast.
+BROADCAST_ELEMENTS = 2_000_000
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,8 +41,14 @@ def written(df: DataFrame, label: str = "step") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def join_small(big: DataFrame, small: DataFrame, on, how: str = "inner", rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Join with ``small``, broadcast only if a count shows at most ``rows`` rows, else by a shuffle."""
-    if small.limit(rows + 1).count() <= rows:
+def join_small(big: DataFrame, small: DataFrame, on, how: str = "inner", elements: str | None = None) -> DataFrame:
+    """Join with ``small``, broadcast only if counting shows it within bounds, else by a shuffle.
+
+    The bounds are ``BROADCAST_ROWS`` rows and, with the array column ``elements``,
+    ``BROADCAST_ELEMENTS`` of its elements.
+    """
+    size = F.greatest(F.size(elements), F.lit(0)) if elements else F.lit(0)
+    rows, total = small.agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
+    if rows <= BROADCAST_ROWS and total <= BROADCAST_ELEMENTS:
         small = F.broadcast(small)
     return big.join(small, on, how)
