@@ -2,5 +2,9 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from burstline.plans import detection, library
+
+_ALL = {**detection.QUERIES, **library.QUERIES}
+
+QUERIES = {name: builder for name, (builder, _) in _ALL.items()}
+SQL: dict[str, str] = {name: sql for name, (_, sql) in _ALL.items() if sql}
