@@ -45,7 +45,7 @@ def templates(rows: DataFrame, text_col: str = "text") -> DataFrame:
         letter = F.substring(core, 1, 1)
         return F.when(digit, "<num>").when(unit, "<unit>").when(~w["first"] & (letter != F.lower(letter)), "<name>").otherwise(low)
 
-    return rows.withColumn("token", _once(F.zip_with("__w", before, token))).drop("__w")
+    return rows.withColumn("token", _once(F.zip_with("__w", before, token))).drop("__w", text_col)
 
 
 def _windows(width: int) -> Column:
@@ -91,7 +91,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     # only documents with a hit are read again, for their words
     again = templates(join_small(rows, hits.withColumnRenamed("id", "hit_id"), "key").where(F.col("id").eqNullSafe(F.col("hit_id"))).drop("hit_id").dropDuplicates(["id", "key"]))
     again = again.withColumn("hit", F.explode("hits")).select("id", "key", F.col("hit.hash").alias("hash"), F.slice("raw", F.col("hit.at") + 1, width).alias("doc_raw"), F.slice("token", F.col("hit.at") + 1, width).alias("doc_token"))
-    pairs = join_small(again.dropDuplicates(["id", "key", "hash", "doc_raw"]), own, "hash").where(F.col("doc_token") == F.col("item_token"))
+    pairs = written(join_small(again.dropDuplicates(["id", "key", "hash", "doc_raw"]), own, "hash").where(F.col("doc_token") == F.col("item_token")), "pairs")
 
     slots = F.filter(F.zip_with(F.arrays_zip("item_token", "item_raw"), "doc_raw", lambda i, d: F.when(i["item_token"].startswith("<"), F.struct(F.concat_ws(" ", i["item_token"], F.lower(i["item_raw"])).alias("slot"), F.lower(d).alias("value")))), lambda x: x.isNotNull())
     pairs = pairs.select("id", "key", "item", "hash", slots.alias("slots"))
