@@ -185,7 +185,7 @@ def _links(percent: int):
     return run
 
 
-def near_classes(docs: DataFrame, id_col: str, text_col: str, k: int = 5, percent: int = 80, by_line: bool = False, min_words: int = 1, shape: tuple[int, int] | None = None) -> DataFrame:
+def near_classes(docs: DataFrame, id_col: str, text_col: str, k: int = 5, percent: int = 80, by_line: bool = False, min_words: int = 0, shape: tuple[int, int] | None = None) -> DataFrame:
     """(id, part, n, label): the class ``label`` of every unit of ``docs``.
 
     Units are linked if 100 * intersection >= ``percent`` * union of their sets of distinct
@@ -215,8 +215,8 @@ def near_classes(docs: DataFrame, id_col: str, text_col: str, k: int = 5, percen
 
     members = labelled.where("uid = rep").select("id", "part", "h1", "h2", "n", "uid").join(classes, "uid")
     weights = classes.join(labelled.select("uid", "n"), "uid").groupBy("class").agg(F.sum("n").alias("w"), F.count("*").alias("c"))
-    weights = weights.select("class", F.ceil(F.greatest(F.col("w") / BLOCK_SHINGLES, F.col("c") / BLOCK_UNITS)).cast("int").alias("blocks"))
-    members = written(members.join(weights, "class").withColumn("block", F.pmod(F.xxhash64("uid"), F.col("blocks")).cast("int")), "members")
+    weights = written(weights.select("class", F.ceil(F.greatest(F.col("w") / BLOCK_SHINGLES, F.col("c") / BLOCK_UNITS)).cast("int").alias("blocks")), "blocks")
+    members = written(join_small(members, weights, "class").withColumn("block", F.pmod(F.xxhash64("uid"), F.col("blocks")).cast("int")), "members")
 
     wanted = join_small(source, members.select("id").distinct(), "id", "left_semi")
     sets = wanted.mapInArrow(_sets(k, by_line, min_words), T.StructType([*head, *longs("h1", "h2"), T.StructField("shingles", T.BinaryType())]))

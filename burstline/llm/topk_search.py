@@ -96,7 +96,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: int = 1024
     Vectors are compared after ``floor(scale * x)`` of each component. Ties go to the smaller vec_id;
     fewer than ``k`` candidates give as many rows. Null ids, null vectors and vectors with null or
     non-finite components take no part; vectors are compared with those of their own length. Rows
-    with the query's id are not its candidates; repeated candidate rows are candidates each.
+    with the query's id are not its candidates; repeated candidate rows are candidates each. Scores
+    must fit 64 bits.
 
     Candidates are packed into blocks in vertical layout where they lie, and queries into blocks of
     at most ``QUERY_BLOCK``. Every query block meets every candidate block once, dealt by both; no
