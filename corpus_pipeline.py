@@ -21,15 +21,16 @@ LEAST_SCORE = 0.3
 def language_id_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents go that are null, hold no letter, or are of no learned language (score below ``LEAST_SCORE``)."""
     model = language_id.train(docs.where(~language_id.held_out()))
-    found = language_id.identify(docs.withColumn("__text", F.col("text")), model, text_col="__text")
-    return found.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    found = language_id.identify(docs.select(F.struct(*docs.columns).alias("row"), "text"), model, keep=("row",))
+    return found.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select("row.*")
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later repeats of runs of lines go, and documents of which nothing else is left."""
-    cut = line_dedup.delete_repeated_lines(docs)
+    cut = line_dedup.delete_repeated_lines(docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text"))
     left = cut.where((F.col("n_deleted") == 0) | (F.col("n_deleted") < F.col("n_lines")))
-    return left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    changed = {"text": F.col("text"), "n_chars": F.length("text").cast(docs.schema["n_chars"].dataType)}
+    return left.select(*(changed.get(c, F.col(f"row.{c}")).alias(c) for c in docs.columns))
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
