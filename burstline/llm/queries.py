@@ -63,7 +63,7 @@ def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup.repeated_paragraphs(read(spark, sf_dir, "documents"))
+    return substring_dedup.repeated_parts(read(spark, sf_dir, "documents"))
 
 
 def _secrets_sql() -> str:

@@ -2,16 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from burstline.llm.neardup import near_classes
 from burstline.llm.tables import join_small, written
+from burstline.llm.wordsets import Words, large, mix, sentences, slices
 
 #: Bands and their width: a pair of similarity 0.8 shares no band with a chance of 2 in 10,000.
 SHAPE = (12, 3)
 #: Shorter paragraphs are left alone: common phrases, headings and licence lines recur in clean texts.
 MIN_WORDS = 25
+#: Words of the shortest passage that counts as repeated where it stands inside other paragraphs.
+PASSAGE_WORDS = 45
 
 
 def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, min_words: int = MIN_WORDS, shape: tuple[int, int] = SHAPE) -> DataFrame:
@@ -30,6 +38,70 @@ def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return out.select(F.col("id").alias(id_col), F.col("part").alias("paragraph"), F.col("keep.id").alias(f"keep_{id_col}"), F.col("keep.part").alias("keep_paragraph"), "size", (~keep).alias("removed"))
 
 
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Arrow batches (id, text) to one row for each two sentences in a row: place, hash, words, code points."""
+    for batch in batches:
+        texts = large(batch.column(1))
+        for at, to in slices(texts):
+            words = Words(texts, at, to)
+            first, hashes = sentences(words)
+            if len(first) < 2:
+                continue
+            row = words.row[first]
+            ends = np.append(first[1:], len(words.row))
+            pick = np.flatnonzero(row[1:] == row[:-1])
+            place = np.arange(len(first)) - np.searchsorted(row, row)
+            points = np.concatenate([[0], np.cumsum((words.raw & 0xC0) != 0x80)])
+            base = points[words.bounds[row[pick]]]
+            ints = lambda x: pa.array(x.astype(np.int32))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0).take(pa.array(row[pick] + at)),
+                    pa.array(mix(hashes[pick] * np.uint64(0x9FB21C651E98DF25) + hashes[pick + 1]).view(np.int64)),
+                    ints(place[pick]),
+                    ints(ends[pick] - first[pick]),
+                    ints(ends[pick + 1] - first[pick]),
+                    ints(points[words.start[first[pick]]] - base),
+                    ints(points[words.end[ends[pick + 1] - 1]] - base),
+                ],
+                names=["id", "pair", "at", "n1", "n2", "start", "end"],
+            )
+
+
+def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = PASSAGE_WORDS) -> DataFrame:
+    """(id, start, end, words, keep_id, removed): passages of whole sentences that other documents hold too.
+
+    Every two sentences in a row are hashed and counted over the corpus; those in more than one
+    document belong to its first holder (least id). A passage is a run of such pairs, all of which
+    the document is the first holder of, or none of them, of ``min_words`` words at least. It is
+    removed where the document isn't the first; ``keep_id`` is the least of the first holders.
+    ``start`` and ``end`` are code points, end exclusive. Words are compared in lower case.
+    """
+    kind = docs.schema[id_col].dataType
+    schema = T.StructType([T.StructField("id", kind), T.StructField("pair", T.LongType()), *(T.StructField(c, T.IntegerType()) for c in ("at", "n1", "n2", "start", "end"))])
+    pairs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col(id_col).isNotNull()).mapInArrow(_pairs, schema)
+    shared = pairs.groupBy("pair").agg(F.min("id").alias("holder"), F.max("id").alias("last")).where("holder <> last").drop("last")
+    found = join_small(pairs, written(shared, "pairs"), "pair").withColumn("later", F.col("id") != F.col("holder"))
+    found = written(found.drop("pair").distinct(), "shared")
+    order = Window.partitionBy("id", "later").orderBy("at")
+    found = found.withColumn("run", F.col("at") - F.row_number().over(order))
+    runs = found.groupBy("id", "later", "run").agg(
+        F.min("start").alias("start"), F.max("end").alias("end"), (F.sum("n1") + F.max_by(F.col("n2") - F.col("n1"), "at")).alias("words"), F.min("holder").alias("holder")
+    )
+    return runs.where(F.col("words") >= min_words).select(F.col("id").alias(id_col), "start", "end", "words", F.col("holder").alias(f"keep_{id_col}"), F.col("later").alias("removed"))
+
+
+def repeated_parts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """Repeated paragraphs, and repeated passages that stand inside paragraphs, one row each.
+
+    Columns of both, null where they don't apply: paragraph, keep_paragraph and size of paragraphs,
+    start, end and words of passages.
+    """
+    paragraphs = repeated_paragraphs(docs, id_col, text_col, **how)
+    passages = repeated_passages(docs, id_col, text_col)
+    return paragraphs.unionByName(passages, allowMissingColumns=True)
+
+
 def delete_repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """``docs`` without the removed paragraphs, and n_removed; texts without any are left as they are."""
     found = repeated_paragraphs(docs, id_col, text_col, **how).where("removed")

@@ -75,7 +75,7 @@ class Words:
             order = np.lexsort((line_at, line_row))
             self.line_at, self.line_row = line_at[order], line_row[order]
             bounds = np.append(self.line_at, last - first)
-        self.bounds = bounds
+        self.bounds, self.raw = bounds, raw
         self.data = _LOWER[raw]
         n = len(raw)
         inside = ~_SPACE[raw]
@@ -133,6 +133,28 @@ def shingles(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
     return r[new], h[new]
 
 
+#: A word also opens a sentence where its hash is a multiple of this, so that sentences stay short.
+SENTENCE_WORDS = 32
+
+
+def sentences(words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """(first word of each sentence, hash of the sentence's words in order).
+
+    A sentence opens at the first word of a row, after a word that ends in ``.``, ``!`` or ``?``,
+    and at a capital letter, so a passage put anywhere into a text keeps its own sentences.
+    """
+    if not len(words.row):
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
+    first = words.raw[words.start].astype(np.int64)
+    second = words.raw[np.minimum(words.start + 1, len(words.raw) - 1)]
+    opens = ((first >= 65) & (first <= 90)) | ((first == 0xC3) & (second >= 0x80) & (second <= 0x9E)) | (words.hash % np.uint64(SENTENCE_WORDS) == 0)
+    opens[1:] |= np.isin(words.raw[words.end[:-1] - 1], [33, 46, 63]) | (words.row[1:] != words.row[:-1])
+    opens[0] = True
+    at = np.flatnonzero(opens)
+    place = np.arange(len(words.row)) - np.repeat(at, np.diff(np.append(at, len(words.row))))
+    return at, mix(np.add.reduceat(mix(words.hash + place.astype(np.uint64) * _BASE), at))
+
+
 def sketch(rows: np.ndarray, hashes: np.ndarray, n_rows: int, t: int) -> np.ndarray:
     """``t`` coordinates per row by rounds of hashed bin placement.
 

@@ -139,3 +139,22 @@ def test_repeated_paragraphs(spark):
     texts = {r.doc_id: r.text for r in substring_dedup.delete_repeated_paragraphs(rows).collect()}
     assert texts[1] == docs[0][1] and texts[2] == docs[1][1].split("\n")[1] and texts[8] == "\n\nlast" and texts[6] is None
     assert substring_dedup.repeated_paragraphs(rows.limit(0)).count() == 0
+
+
+def test_passages_inside_paragraphs(spark):
+    import random
+
+    rng = random.Random(6)
+    words = lambda n: " ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(n))
+    sentences = lambda n, k=8: " ".join(words(k).capitalize() + "." for _ in range(n))
+    passage = sentences(7)
+    docs = [(i, f"{sentences(2)} {words(5)} é {passage} {words(6)}\n{sentences(3)}") for i in range(1, 5)]
+    docs += [(9, sentences(12)), (10, None), (11, ""), (12, sentences(1)), (3, docs[2][1]), (None, passage)]
+    rows = spark.createDataFrame([(*d, 1) for d in docs], "doc_id long, text string, start int")
+    got = substring_dedup.repeated_passages(rows).collect()
+    texts = dict(docs)
+    assert sorted((r.doc_id, r.keep_doc_id, r.removed) for r in got) == [(1, 1, False), (2, 1, True), (3, 1, True), (4, 1, True)]
+    assert all(texts[r.doc_id][r.start : r.end] == passage and r.words == 56 for r in got)
+    both = substring_dedup.repeated_parts(rows)
+    assert both.where("paragraph IS NULL").count() == 4
+    assert substring_dedup.repeated_passages(rows.limit(0)).count() == 0
