@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from burstline.llm.tables import join_small, written
 from burstline.llm.wordsets import large, slices
 
 #: Bytes of a window; texts are read in windows that follow each other, and every byte is labelled.
@@ -158,15 +159,21 @@ class ByteTagger:
 def sample_windows(docs: DataFrame, id_col: str, text_col: str, lang_col: str, most_docs: int = SAMPLE_DOCS, windows: int = SAMPLE_WINDOWS) -> tuple[list[str], list[bytes], list[int]]:
     """(languages, windows, index of each window's language) of a bounded sample of labelled rows.
 
-    Of each language, ``most_docs`` documents by a hash of the id, and ``windows`` windows of SPAN
-    characters of each, at places by a hash; only these leave the executors.
+    Of each language, the ``most_docs`` documents of least hash of the id, and ``windows`` windows
+    of SPAN characters of each, at places by a hash; only these leave the executors. Languages are
+    counted first, so that rows whose hash can't be among the least aren't ranked or shuffled.
     """
-    place = lambda j: F.pmod(F.xxhash64(F.col(id_col), F.lit(j)), F.greatest(F.length(text_col) - SPAN, F.lit(0)) + 1)
-    cut = [F.substring(F.col(text_col), (place(j) + 1).cast("int"), F.lit(SPAN)) for j in range(windows)]
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (F.length(text_col) > 0))
-    rows = rows.select(F.col(lang_col).alias("lang"), F.xxhash64(id_col).alias("order"), F.array(*cut).alias("cut"))
+    rows = rows.select(F.col(lang_col).alias("lang"), F.xxhash64(id_col).alias("order"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    counts = docs.where(F.col(lang_col).isNotNull()).groupBy(F.col(lang_col).alias("lang")).count()
+    counts = written(counts, "languages")
+    # three times as many rows as needed are expected below the bound
+    bound = F.least(F.lit(2.0**63), F.lit(-(2.0**63)) + 2.0**64 * 3.0 * most_docs / F.col("count"))
+    rows = join_small(rows, counts.select("lang", bound.alias("bound")), "lang").where(F.col("order") <= F.col("bound"))
+    place = lambda j: F.pmod(F.xxhash64("id", F.lit(j)), F.greatest(F.length("text") - SPAN, F.lit(0)) + 1)
+    cut = [F.substring("text", (place(j) + 1).cast("int"), F.lit(SPAN)) for j in range(windows)]
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("order", "cut"))
-    found = rows.withColumn("rank", rank).where(F.col("rank") <= most_docs).select("lang", "rank", "cut").collect()
+    found = rows.select("lang", "order", F.array(*cut).alias("cut")).withColumn("rank", rank).where(F.col("rank") <= most_docs).select("lang", "rank", "cut").collect()
     found.sort(key=lambda r: (r["lang"], r["rank"]))
     languages = sorted({r["lang"] for r in found})
     pieces = [(text.encode()[:SPAN], languages.index(r["lang"])) for r in found for text in r["cut"] if text]
