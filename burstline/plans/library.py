@@ -276,3 +276,116 @@ QUERIES = {
         h("""SELECT type, count(*) AS n, sum(duration) AS total FROM (SELECT duration, type FROM highlights WHERE type = 'O' UNION ALL SELECT duration, type FROM highlights WHERE type = 'F' UNION ALL SELECT duration, type FROM highlights WHERE duration > 45) GROUP BY type"""),
     ),
 }
+
+
+def model_excitement(spark, sf_dir):
+    """The fuller score: duration, intensity, audible hits, pose, ball speed and path."""
+    one = F.lit(1.0)
+    rows = highlights(spark, sf_dir).withColumns({"i": F.col("score") / 100, "v": F.col("duration") % 5 / 10, "dist": F.col("duration") % 4 / 2, "pose": F.col("score") % 10 / 10})
+    total = (
+        25 * F.least(F.col("duration") / 30, one)
+        + 30 * F.col("i")
+        + F.when(F.col("is_favorite"), 20.0).otherwise(0.0)
+        + F.when(F.round("pose", 9) > 0.7, 10.0).otherwise(5.0)
+        + 15 * (0.5 * F.least(F.col("v") / 0.3, one) + 0.5 * F.least(F.col("dist") / 2, one))
+    )
+    return rows.select("video_id", "rally_number", F.round(total, 8).alias("excitement"))
+
+
+def behaviour_score(spark, sf_dir):
+    """Swipes of the last minute before each customer's newest order, and how short their stays are; 0.5 without any."""
+    rows = read(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count_if(F.col("o_orderstatus") == "O").alias("swipes"), F.avg(F.col("o_totalprice") % 20).alias("stay"))
+    score = 0.6 * F.least(F.col("swipes") / 10, F.lit(1.0)) + 0.4 * F.greatest(1 - F.col("stay") / 10, F.lit(0.0))
+    return rows.select("o_custkey", F.round(F.when(F.col("swipes") == 0, 0.5).otherwise(score), 6).alias("score"))
+
+
+def progress_ratios(spark, sf_dir):
+    """Guarded share done, progress within steps, and the share of a clip played, whole tens of percent too."""
+    rows = highlights(spark, sf_dir).select("video_id", "rally_number", "duration", (F.col("duration") - 10).alias("total"))
+    share = F.when(F.col("total") > 0, F.least(F.col("duration") / 2 / F.col("total"), F.lit(1.0))).otherwise(0.0)
+    within = (F.col("rally_number") - 1 + 0.5) / 7
+    played = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("duration") / 3 - 2) / F.greatest(F.col("duration") - 2, F.lit(0.01))))
+    return rows.select("video_id", "rally_number", F.round(share, 6).alias("share"), F.round(within, 6).alias("within"), F.round(played, 6).alias("played"), F.floor(share * 10 + 0.5).alias("tens"))
+
+
+def paging_window(spark, sf_dir):
+    """Dots shown around the third of a video's rallies: two either side, all if there are five or fewer."""
+    rows = highlights(spark, sf_dir).groupBy("video_id").agg(F.count("*").alias("n"))
+    first = F.when(F.col("n") <= 5, 0).otherwise(F.greatest(F.lit(0), F.lit(2) - 2))
+    last = F.when(F.col("n") <= 5, F.col("n") - 1).otherwise(F.least(F.col("n") - 1, F.lit(2) + 2))
+    return rows.select("video_id", F.explode(F.sequence(first.cast("long"), last.cast("long"))).alias("dot"))
+
+
+def cache_keys(spark, sf_dir):
+    """How many events share a key of user and whole second of their kind."""
+    rows = read(spark, sf_dir, "events").select(F.concat_ws("_", F.col("user_id"), F.floor(F.col("value")).cast("int"), F.lit("thumb")).alias("key"))
+    return rows.groupBy("key").agg(F.count("*").alias("n"))
+
+
+def array_set_ops(spark, sf_dir):
+    """A video's selected rallies after adding and removing: union, difference, all of them, and times put together."""
+    rows = highlights(spark, sf_dir).groupBy("video_id").agg(F.array_sort(F.collect_set("rally_number")).alias("all"), F.array_sort(F.collect_set(F.when(F.col("is_favorite"), F.col("rally_number")))).alias("chosen"))
+    added = F.array_sort(F.array_union("chosen", F.array(F.lit(1), F.lit(2))))
+    left = F.array_sort(F.array_except("all", "chosen"))
+    text_of = lambda a: F.array_join(F.transform(a, lambda x: x.cast("string")), ",")
+    return rows.select("video_id", text_of(added).alias("added"), text_of(left).alias("left"), (F.size("chosen") == F.size("all")).alias("every"), F.size(F.concat("all", "chosen")).alias("joined"))
+
+
+def preset_sweep(spark, sf_dir):
+    """Every rally preset on the same peaks: how many rallies each finds, and their hits."""
+    from functools import reduce
+
+    from burstline.config import RALLY_PRESETS
+    from burstline.operators import detection as D
+    from burstline.sources.tables import signal
+
+    found = []
+    for name, config in RALLY_PRESETS.items():
+        rows = D.valid(D.rallies(D.fixed_gap_sessions(D.confident(signal(spark, sf_dir), config), config), config))
+        found.append(rows.agg(F.count("*").alias("rallies"), F.coalesce(F.sum("hits"), F.lit(0)).alias("hits")).withColumn("preset", F.lit(name)))
+    return reduce(lambda a, b: a.unionByName(b), found)
+
+
+def _sweep_sql() -> str:
+    from burstline.config import RALLY_PRESETS
+    from burstline.sources.tables import SIGNAL_SQL
+
+    parts = []
+    for name, c in RALLY_PRESETS.items():
+        parts.append(f"""
+            SELECT '{name}' AS preset, count(*) AS rallies, CAST(coalesce(sum(hits), 0) AS BIGINT) AS hits FROM (
+                SELECT video_id, cluster, min(t) AS a, max(t) AS b, count(*) AS hits FROM (
+                    SELECT *, sum(CASE WHEN gap > {c.max_gap} THEN 1 ELSE 0 END) OVER (PARTITION BY video_id ORDER BY t, seq ROWS UNBOUNDED PRECEDING) AS cluster FROM (
+                        SELECT *, t - lag(t) OVER (PARTITION BY video_id ORDER BY t, seq) AS gap FROM signal WHERE confidence >= {c.min_confidence}::DOUBLE))
+                GROUP BY video_id, cluster HAVING count(*) >= {c.min_hits})
+            WHERE b - a + ({c.pre_padding}::DOUBLE + {c.post_padding}::DOUBLE) * CASE WHEN b - a < 5 THEN 0.9::DOUBLE WHEN b - a > 12 THEN 1.1::DOUBLE ELSE 1.0::DOUBLE END >= {c.min_duration}
+              AND (b - a) / (hits - 1) BETWEEN 0.2::DOUBLE AND 10""")
+    return f"WITH {SIGNAL_SQL} " + " UNION ALL ".join(parts)
+
+
+QUERIES |= {
+    "model_excitement": (
+        model_excitement,
+        h("""SELECT video_id, rally_number, round(25 * least(duration / 30, 1) + 30 * (score / 100) + CASE WHEN is_favorite THEN 20 ELSE 0 END + CASE WHEN round(score % 10 / 10, 9) > 0.7 THEN 10 ELSE 5 END
+             + 15 * (0.5::DOUBLE * least(duration % 5 / 10 / 0.3::DOUBLE, 1) + 0.5::DOUBLE * least(duration % 4 / 2 / 2, 1)), 8) AS excitement FROM highlights"""),
+    ),
+    "behaviour_score": (
+        behaviour_score,
+        """WITH s AS (SELECT o_custkey, count(*) FILTER (o_orderstatus = 'O') AS swipes, avg(o_totalprice % 20) AS stay FROM orders GROUP BY o_custkey)
+        SELECT o_custkey, round(CASE WHEN swipes = 0 THEN 0.5 ELSE 0.6::DOUBLE * least(swipes / 10::DOUBLE, 1) + 0.4::DOUBLE * greatest(1 - stay / 10, 0) END, 6) AS score FROM s""",
+    ),
+    "progress_ratios": (
+        progress_ratios,
+        h("""SELECT video_id, rally_number, round(CASE WHEN duration - 10 > 0 THEN least(duration / 2 / (duration - 10), 1) ELSE 0 END, 6) AS share, round((rally_number - 1 + 0.5::DOUBLE) / 7, 6) AS "within",
+             round(greatest(0, least(1, (duration / 3 - 2) / greatest(duration - 2, 0.01::DOUBLE))), 6) AS played,
+             CAST(floor(CASE WHEN duration - 10 > 0 THEN least(duration / 2 / (duration - 10), 1) ELSE 0 END * 10 + 0.5::DOUBLE) AS BIGINT) AS tens FROM highlights"""),
+    ),
+    "paging_window": (paging_window, h(", n AS (SELECT video_id, count(*) AS n FROM highlights GROUP BY video_id) SELECT video_id, unnest(range(0, least(n, 5))) AS dot FROM n").replace(") , n AS", "), n AS")),
+    "cache_keys": (cache_keys, "SELECT user_id || '_' || CAST(floor(value) AS INTEGER) || '_thumb' AS key, count(*) AS n FROM events GROUP BY ALL"),
+    "array_set_ops": (
+        array_set_ops,
+        h(""", g AS (SELECT video_id, list(DISTINCT rally_number) AS a, coalesce(list(DISTINCT rally_number) FILTER (is_favorite), []) AS c FROM highlights GROUP BY video_id)
+        SELECT video_id, array_to_string(list_sort(list_distinct(list_concat(c, [1, 2]))), ',') AS added, coalesce(array_to_string(list_sort([x FOR x IN a IF NOT list_contains(c, x)]), ','), '') AS "left", len(a) = len(c) AS every, CAST(len(a) + len(c) AS INTEGER) AS joined FROM g"""),
+    ),
+    "preset_sweep": (preset_sweep, _sweep_sql()),
+}
