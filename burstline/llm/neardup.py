@@ -218,10 +218,14 @@ def near_classes(docs: DataFrame, id_col: str, text_col: str, k: int = 5, percen
     weights = written(weights.select("class", F.ceil(F.greatest(F.col("w") / BLOCK_SHINGLES, F.col("c") / BLOCK_UNITS)).cast("int").alias("blocks")), "blocks")
     members = written(join_small(members, weights, "class").withColumn("block", F.pmod(F.xxhash64("uid"), F.col("blocks")).cast("int")), "members")
 
-    wanted = join_small(source, members.select("id").distinct(), "id", "left_semi")
+    # null ids are matched too: a set's representative may have one
+    wanted = join_small(source, members.select(F.col("id").alias("m_id")).distinct(), F.col("id").eqNullSafe(F.col("m_id")), "left_semi")
     sets = wanted.mapInArrow(_sets(k, by_line, min_words), T.StructType([*head, *longs("h1", "h2"), T.StructField("shingles", T.BinaryType())]))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = join_small(sets, members.drop("n"), ["id", "part", "h1", "h2"]).select("class", "uid", "block", "shingles", other.alias("other"))
+    names = ["id", "part", "h1", "h2"]
+    own = members.select("class", "uid", "block", "blocks", *(F.col(c).alias(f"m_{c}") for c in names))
+    same = [F.col(c).eqNullSafe(F.col(f"m_{c}")) if c == "id" else F.col(c) == F.col(f"m_{c}") for c in names]
+    dealt = join_small(sets, own, same).select("class", "uid", "block", "shingles", other.alias("other"))
     dealt = dealt.select("class", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "uid", "shingles")
     links = dealt.repartition("class", "p", "q").sortWithinPartitions("class", "p", "q").mapInArrow(_links(percent), T.StructType(longs("a", "b")))
     found = connected_components(links).select(F.col("node").alias("rep"), F.col("root"))

@@ -67,6 +67,14 @@ def test_null_empty_repeated_rows(spark):
     assert got == sorted([(3, 2, 1, False), (1, 2, 1, True), (1, 2, 1, True), (5, 0, 5, True), (6, 0, 6, True), (None, 2, 1, False), (8, 1, 8, True), (9, 1, 8, False)], key=str)
 
 
+def test_null_id_as_representative(spark):
+    text = " ".join(WORDS[:60])
+    near = text + " more"
+    rows = spark.createDataFrame([(None, text, "", 0), (4, near, "", 0), (2, text, "", 0), (9, text.upper(), "", 0), (7, " ".join(WORDS[100:160]), "", 0)], SCHEMA).coalesce(1)
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(rows).collect()}
+    assert got == {None: 2, 4: 2, 2: 2, 9: 2, 7: 7}
+
+
 def test_empty_table(spark):
     assert neardup.near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
 
