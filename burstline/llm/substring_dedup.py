@@ -110,6 +110,6 @@ def delete_repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col
     joined = joined.withColumn("__lines", F.explode(F.array(F.split(F.col(text_col), "\n", -1))))
     kept = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), "__gone")
     text = F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(kept, lambda i: F.element_at("__lines", i + 1)), "\n"))
-    added = {text_col: text, "n_removed": F.coalesce(F.size("__gone"), F.lit(0))}
+    added = {text_col: text, "n_removed": F.greatest(F.size("__gone"), F.lit(0))}
     names = [*docs.columns, *(["n_removed"] if "n_removed" not in docs.columns else [])]
     return joined.select(*((added[c].alias(c) if c in added else F.col(c)) for c in names))
