@@ -162,7 +162,36 @@ QUERIES = {
     "op10_substring_dedup": op10_substring_dedup,
 }
 
+def _near_dedup_sql(k: int, percent: int) -> str:
+    grams = " || ' ' || ".join(f"w[i + {j}]" if j else "w[i]" for j in range(k))
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return f"""
+        WITH RECURSIVE d AS (
+            SELECT doc_id, [x FOR x IN string_split_regex(translate(coalesce(text, ''), '{upper}', '{upper.lower()}'), '[\\x20\\x09-\\x0D]+') IF x <> ''] AS w FROM documents
+        ), s AS (
+            SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {k} THEN [array_to_string(w, ' ')] ELSE [{grams} FOR i IN range(1, len(w) - {k - 2})] END) AS g FROM d
+        ), n AS (
+            SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+        ), c AS (
+            SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM s AS a JOIN s AS b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL
+        ), l AS (
+            SELECT a, b FROM c JOIN n AS x ON x.doc_id = a JOIN n AS y ON y.doc_id = b WHERE 100 * shared >= {percent} * (x.n + y.n - shared)
+        ), e AS (
+            SELECT a, b FROM l UNION ALL SELECT b, a FROM l
+        ), r AS (
+            SELECT doc_id AS node, doc_id AS root FROM n
+            UNION
+            SELECT e.b, r.root FROM r JOIN e ON e.a = r.node
+        ), m AS (
+            SELECT node, min(root) AS root FROM r GROUP BY node
+        )
+        SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, coalesce(root, doc_id) AS component_id, coalesce(root, doc_id) = doc_id AS kept
+        FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN m ON m.node = doc_id
+    """
+
+
 SQL: dict[str, str] = {
+    "op5_minhash_near_dedup": _near_dedup_sql(3, 85),
     "op2_secret_scan": _secrets_sql(),
     "op7_line_dedup": _line_dedup_sql(),
     "op9_exact_top_k": """
