@@ -109,3 +109,18 @@ def test_connected_components(spark):
         for a, b in edges:
             parent[a] = parent[b] = min(parent[a], parent[b])
     assert got == {x: r for x, r in parent.items() if any(x in e and e[0] != e[1] for e in edges)}
+
+
+def test_paragraph_classes_equal_brute_force(spark):
+    lines = [t for _, t in corpus(11)] + ["", " "]
+    rng = random.Random(3)
+    docs = [(d, "\n".join(rng.choice(lines) for _ in range(rng.randint(1, 6)))) for d in range(30)]
+    rows = spark.createDataFrame([(d, t, "x", 1) for d, t in docs], SCHEMA)
+    got = {}
+    for r in neardup.near_classes(rows, "doc_id", "text", 5, 80, by_line=True, min_words=5, shape=(12, 3)).collect():
+        got.setdefault(r.label, set()).add((r.id, r.part))
+    units = [((d, p), line) for d, t in docs for p, line in enumerate(t.split("\n")) if len(line.split()) >= 5]
+    want = {}
+    for unit, (_, root) in brute(units, 5, 80).items():
+        want.setdefault(root, set()).add(unit)
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))

@@ -77,3 +77,10 @@ def test_pack(spark):
         assert sorted(pieces[i]) == sorted(want * (2 if i == 2 else 1))
     assert len(pieces[None]) == 1
     assert packing.pack(rows.limit(0), PATH).count() == 0
+
+
+def test_ranks_within_hot_lengths(spark, monkeypatch):
+    monkeypatch.setattr(packing, "RANK_GROUP", 5)  # many groups for the one length
+    rows = spark.createDataFrame([(i, "a b c") for i in range(200)], "doc_id long, text string").repartition(4)
+    got = packing.pack(rows, PATH, capacity=10).collect()
+    assert len({(r.sequence_id, r.offset) for r in got}) == 200 and {r.offset for r in got} == {0, 4}
