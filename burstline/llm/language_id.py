@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from burstline.llm.tables import join_small, written
-from burstline.llm.wordsets import large, slices
+from burstline.llm.wordsets import frugal, large, slices
 
 #: Bytes of a window; texts are read in windows that follow each other, and every byte is labelled.
 SPAN = 64
@@ -214,7 +214,7 @@ def identify(docs: DataFrame, model: ByteTagger | None, text_col: str = "text",
         return docs.select(*keep, F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
     rows = docs.select(*(F.col(c).alias(f"k{i}") for i, c in enumerate(keep)), lettered.alias("lettered"), F.col(text_col).alias("text"))
     schema = T.StructType([*rows.schema.fields[:-1], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    out = rows.mapInArrow(_predict(model), schema)
+    out = rows.mapInArrow(frugal(_predict(model)), schema)
     return out.select(*(F.col(f"k{i}").alias(c) for i, c in enumerate(keep)), F.when(F.col("lettered"), F.col("lang_pred")).otherwise(UNKNOWN).alias("lang_pred"), F.when(F.col("lettered"), F.col("score")).otherwise(0.0).alias("score"))
 
 

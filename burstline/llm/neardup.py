@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 
 from burstline.llm.components import connected_components
 from burstline.llm.tables import join_small, written
-from burstline.llm.wordsets import Words, band_keys, large, mix, shingles, sketch, slices
+from burstline.llm.wordsets import Words, band_keys, frugal, large, mix, shingles, sketch, slices
 
 BLOCK_SHINGLES = 1_000_000
 BLOCK_UNITS = 2_048
@@ -201,7 +201,7 @@ def near_classes(docs: DataFrame, id_col: str, text_col: str, k: int = 5, percen
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     head = [T.StructField("id", id_type), T.StructField("part", T.IntegerType())]
     longs = lambda *names: [T.StructField(x, T.LongType()) for x in names]
-    units = source.mapInArrow(_units(k, bands, width, by_line, min_words), T.StructType([*head, *longs("n", "h1", "h2"), T.StructField("bands", T.ArrayType(T.LongType()))]))
+    units = source.mapInArrow(frugal(_units(k, bands, width, by_line, min_words)), T.StructType([*head, *longs("n", "h1", "h2"), T.StructField("bands", T.ArrayType(T.LongType()))]))
     units = written(units.withColumn("uid", F.monotonically_increasing_id()), "units")
 
     alike = units.where("n > 0").groupBy("h1", "h2").agg(F.min("uid").alias("rep"))
@@ -220,14 +220,14 @@ def near_classes(docs: DataFrame, id_col: str, text_col: str, k: int = 5, percen
 
     # null ids are matched too: a set's representative may have one
     wanted = join_small(source, members.select(F.col("id").alias("m_id")).distinct(), F.col("id").eqNullSafe(F.col("m_id")), "left_semi")
-    sets = wanted.mapInArrow(_sets(k, by_line, min_words), T.StructType([*head, *longs("h1", "h2"), T.StructField("shingles", T.BinaryType())]))
+    sets = wanted.mapInArrow(frugal(_sets(k, by_line, min_words)), T.StructType([*head, *longs("h1", "h2"), T.StructField("shingles", T.BinaryType())]))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     names = ["id", "part", "h1", "h2"]
     own = members.select("class", "uid", "block", "blocks", *(F.col(c).alias(f"m_{c}") for c in names))
     same = [F.col(c).eqNullSafe(F.col(f"m_{c}")) if c == "id" else F.col(c) == F.col(f"m_{c}") for c in names]
     dealt = join_small(sets, own, same).select("class", "uid", "block", "shingles", other.alias("other"))
     dealt = dealt.select("class", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "uid", "shingles")
-    links = dealt.repartition("class", "p", "q").sortWithinPartitions("class", "p", "q").mapInArrow(_links(percent), T.StructType(longs("a", "b")))
+    links = dealt.repartition("class", "p", "q").sortWithinPartitions("class", "p", "q").mapInArrow(frugal(_links(percent)), T.StructType(longs("a", "b")))
     found = connected_components(links).select(F.col("node").alias("rep"), F.col("root"))
 
     label = labelled.join(found, "rep", "left").select("id", "part", "n", F.coalesce("root", "rep").alias("label"))

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from burstline.llm.tables import written
+from burstline.llm.wordsets import frugal
 
 #: Words whose ids a worker remembers at most; then it starts anew.
 WORD_CACHE = 1_200_000
@@ -132,7 +133,7 @@ def tokenised(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     fields = [T.StructField("id", docs.schema[id_col].dataType), T.StructField("piece", T.IntegerType()), *(T.StructField(x, T.LongType()) for x in ("start", "length", "ids_crc32"))]
     if with_ids:
         fields.append(T.StructField("ids", T.ArrayType(T.IntegerType())))
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(_pieces(path, capacity, end_id, with_ids), T.StructType(fields))
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(frugal(_pieces(path, capacity, end_id, with_ids)), T.StructType(fields))
 
 
 def plan_best_fit(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:

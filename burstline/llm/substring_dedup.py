@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from burstline.llm.neardup import near_classes
 from burstline.llm.tables import join_small, written
-from burstline.llm.wordsets import Words, large, mix, sentences, slices
+from burstline.llm.wordsets import Words, frugal, large, mix, sentences, slices
 
 #: Bands and their width: a pair of similarity 0.8 shares no band with a chance of 2 in 10,000.
 SHAPE = (12, 3)
@@ -79,7 +79,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """
     kind = docs.schema[id_col].dataType
     schema = T.StructType([T.StructField("id", kind), T.StructField("pair", T.LongType()), *(T.StructField(c, T.IntegerType()) for c in ("at", "n1", "n2", "start", "end"))])
-    pairs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col(id_col).isNotNull()).mapInArrow(_pairs, schema)
+    pairs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col(id_col).isNotNull()).mapInArrow(frugal(_pairs), schema)
     shared = pairs.groupBy("pair").agg(F.min("id").alias("holder"), F.max("id").alias("last")).where("holder <> last").drop("last")
     found = join_small(pairs, written(shared, "pairs"), "pair").withColumn("later", F.col("id") != F.col("holder"))
     found = written(found.drop("pair").distinct(), "shared")
