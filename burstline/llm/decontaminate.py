@@ -57,7 +57,7 @@ def _windows(width: int) -> Column:
 
 
 def _hashed(rows: DataFrame, width: int) -> DataFrame:
-    """``token`` to ``hash`` and ``at`` rows; windows of which most are placeholders are left out."""
+    """``token`` to ``hash`` and ``at`` rows, one for each window."""
     rows = rows.withColumn("__h", _once(F.transform("token", lambda x: F.xxhash64(x))))
     return rows.select(*[c for c in rows.columns if c not in ("raw", "token", "__h")], F.posexplode(_windows(width)).alias("at", "hash"))
 
@@ -89,7 +89,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     hits = join_small(_hashed(templates(rows), width), own.select("hash").distinct(), "hash", "left_semi").distinct()
     hits = written(hits.groupBy("id", "key").agg(F.collect_list(F.struct("at", "hash")).alias("hits")), "hits")
     # only documents with a hit are read again, for their words
-    again = templates(join_small(rows, hits.withColumnRenamed("id", "hit_id"), "key").where(F.col("id").eqNullSafe(F.col("hit_id"))).drop("hit_id").dropDuplicates(["id", "key"]))
+    again = templates(join_small(rows, hits.withColumnRenamed("id", "hit_id"), "key", elements="hits").where(F.col("id").eqNullSafe(F.col("hit_id"))).drop("hit_id").dropDuplicates(["id", "key"]))
     again = again.withColumn("hit", F.explode("hits")).select("id", "key", F.col("hit.hash").alias("hash"), F.slice("raw", F.col("hit.at") + 1, width).alias("doc_raw"), F.slice("token", F.col("hit.at") + 1, width).alias("doc_token"))
     pairs = written(join_small(again.dropDuplicates(["id", "key", "hash", "doc_raw"]), own, "hash").where(F.col("doc_token") == F.col("item_token")), "pairs")
 
