@@ -81,7 +81,8 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     schema = T.StructType([T.StructField("id", kind), T.StructField("pair", T.LongType()), *(T.StructField(c, T.IntegerType()) for c in ("at", "n1", "n2", "start", "end"))])
     pairs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col(id_col).isNotNull()).mapInArrow(frugal(_pairs), schema)
     shared = pairs.groupBy("pair").agg(F.min("id").alias("holder"), F.max("id").alias("last")).where("holder <> last").drop("last")
-    found = join_small(pairs, written(shared, "pairs"), "pair").withColumn("later", F.col("id") != F.col("holder"))
+    # by a shuffle at every size, as shared pairs grow with the input
+    found = pairs.join(written(shared, "pairs"), "pair").withColumn("later", F.col("id") != F.col("holder"))
     found = written(found.drop("pair").distinct(), "shared")
     order = Window.partitionBy("id", "later").orderBy("at")
     found = found.withColumn("run", F.col("at") - F.row_number().over(order))
