@@ -136,7 +136,10 @@ def _forest(uids: list[int], sets: list[np.ndarray], percent: int) -> list[tuple
         part = np.zeros((n, min(columns, int(ids[-1]) + 1 - lo)), dtype=np.float32)
         part[row[a:b], ids[a:b] - lo] = 1
         common += part @ part.T
-    linked = 100 * common.astype(np.float64) >= percent * (sizes[:, None] + sizes[None, :] - common)
+    linked = np.empty((n, n), dtype=bool)
+    for lo in range(0, n, 256):
+        part = common[lo : lo + 256].astype(np.float64)
+        linked[lo : lo + 256] = 100 * part >= percent * (sizes[lo : lo + 256, None] + sizes - part)
     label = np.arange(n)
     order = np.argsort(np.array(uids, dtype=np.int64), kind="stable")
     out, seen = [], np.zeros(n, dtype=bool)
@@ -210,7 +213,8 @@ def near_classes(docs: DataFrame, id_col: str, text_col: str, k: int = 5, percen
     keys = units.join(labelled.where("uid = rep").select("uid"), "uid", "left_semi") if by_line else units.where("n > 0").join(alike.select(F.col("rep").alias("uid")), "uid", "left_semi")
     keys = keys.select("uid", F.explode("bands").alias("key"))
     shared = written(keys.groupBy("key").agg(F.min("uid").alias("least"), F.max("uid").alias("most")).where("least < most").select("key", "least"), "bands")
-    tied = join_small(keys, shared, "key").where("uid <> least").select(F.col("uid").alias("a"), F.col("least").alias("b"))
+    # by a shuffle at every size, as shared bands grow with the input
+    tied = keys.join(shared, "key").where("uid <> least").select(F.col("uid").alias("a"), F.col("least").alias("b"))
     classes = written(connected_components(tied).select(F.col("node").alias("uid"), F.col("root").alias("class")), "candidates")
 
     members = labelled.where("uid = rep").select("id", "part", "h1", "h2", "n", "uid").join(classes, "uid")
