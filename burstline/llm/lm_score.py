@@ -20,7 +20,7 @@ CLASSES = 64
 REACH = 2
 WIDTH = 8
 HIDDEN = 24
-#: Every document's words are masked and predicted in training in turn, one in MASK in each round.
+#: Every word of every document is masked and predicted in one of the rounds; each takes MASK / ROUNDS places in MASK.
 MASK = 16
 ROUNDS = 2
 BATCH = 2048
@@ -54,10 +54,12 @@ class Vocabulary:
         self.edge = size + CLASSES
         n = np.ones(self.edge)
         n[: len(frequent)] += np.array(counts, dtype=np.float64)[order]
-        self.log_types = np.zeros(self.edge)
+        self.log_types, self.log_tokens = np.zeros(self.edge), np.zeros(self.edge)
         for c, tokens in class_tokens.items():
             n[size + c] += tokens
             self.log_types[size + c] = np.log(max(class_types[c], 1))
+            # one more for words that were never seen
+            self.log_tokens[size + c] = np.log(tokens + 1)
         self.log_share = np.log(n / n.sum())
 
     def symbols(self, words: Words) -> np.ndarray:
@@ -156,7 +158,7 @@ def _fit(network: WindowNetwork, turn: int):
                     words = Words(texts, at, to)
                     symbols = vocabulary.symbols(words)
                     place = np.arange(len(symbols)) - np.searchsorted(words.row, words.row)
-                    pick = np.flatnonzero((place + turn * (MASK // ROUNDS) + words.row) % MASK == 0)
+                    pick = np.flatnonzero((place + words.row) % MASK * ROUNDS // MASK == turn)
                     held.append((vocabulary.contexts(symbols, words.row)[:, pick], symbols[pick]))
                     size += len(pick)
                     if size >= BATCH:
@@ -175,16 +177,23 @@ def _fit(network: WindowNetwork, turn: int):
     return run
 
 
-def train(docs: DataFrame, text_col: str = "text", size: int = FREQUENT) -> WindowNetwork:
-    """A network fitted on every document.
+def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """(word, class, n) of every word of the corpus, written; words are hashes."""
+    texts = docs.select(F.col(text_col).alias("text"))
+    return written(texts.mapInArrow(frugal(_counts), "word long, class int, n long").groupBy("word", "class").agg(F.sum("n").alias("n")), "words")
+
 
-    Words are counted over all documents; the ``size`` most frequent get symbols of their own. Each round,
-    every task trains its copy on its share of the documents, with one word in MASK of each
-    document masked, and the copies are averaged, weighted by the words they saw. Only counts of
-    ``size`` words and CLASSES classes and one averaged set of weights reach the driver.
+def train(docs: DataFrame, text_col: str = "text", size: int = FREQUENT, counts: DataFrame | None = None) -> WindowNetwork:
+    """A network fitted on every word of every document.
+
+    Words are counted over all documents (``counts``, if they are at hand); the ``size`` most frequent
+    get symbols of their own. Each round, every task trains its copy on its share of the documents,
+    and the copies are averaged, weighted by the words they saw. The rounds together predict every
+    word once, each with the words around it. Only counts of ``size`` words and CLASSES classes and
+    one averaged set of weights reach the driver.
     """
     texts = docs.select(F.col(text_col).alias("text"))
-    counts = written(texts.mapInArrow(frugal(_counts), "word long, class int, n long").groupBy("word", "class").agg(F.sum("n").alias("n")), "words")
+    counts = word_counts(docs, text_col) if counts is None else counts
     top = counts.orderBy(F.desc("n"), "word").limit(size)
     frequent = [(r["word"], r["n"]) for r in top.collect()]
     named = [w for w, _ in frequent]
@@ -201,30 +210,52 @@ def train(docs: DataFrame, text_col: str = "text", size: int = FREQUENT) -> Wind
     return network
 
 
-def _score(network: WindowNetwork):
+def _score(network: WindowNetwork, by_count: bool):
+    """Arrow batches (row, id, text) to log-probabilities; ``by_count``: and the words that are in classes."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = network.vocabulary
+        within = vocabulary.log_tokens if by_count else vocabulary.log_types
         for batch in batches:
-            texts = large(batch.column(1))
+            texts = large(batch.column(2))
             for at, to in slices(texts):
                 words = Words(texts, at, to)
                 symbols = vocabulary.symbols(words)
-                logs = network.log_probabilities(vocabulary.contexts(symbols, words.row), symbols) - vocabulary.log_types[symbols]
+                logs = network.log_probabilities(vocabulary.contexts(symbols, words.row), symbols) - within[symbols]
                 n = np.bincount(words.row, minlength=to - at)
                 total = np.bincount(words.row, weights=logs, minlength=to - at)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at), pa.array(n.astype(np.int64)), pa.array(total.astype(np.float64))], names=["id", "n_tokens", "log_prob"])
+                columns = [batch.column(0).slice(at, to - at), batch.column(1).slice(at, to - at), pa.array(n.astype(np.int64)), pa.array(total.astype(np.float64))]
+                names = ["row", "id", "n_tokens", "log_prob"]
+                if by_count:
+                    rest = symbols >= vocabulary.size
+                    ends = np.concatenate([[0], np.cumsum(np.bincount(words.row[rest], minlength=to - at))])
+                    columns.append(pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(words.hash[rest].view(np.int64))))
+                    names.append("words")
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return run
 
 
-def score(docs: DataFrame, network: WindowNetwork, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, network: WindowNetwork, id_col: str = "doc_id", text_col: str = "text", counts: DataFrame | None = None) -> DataFrame:
     """One row per row of ``docs``: id, n_tokens, log_prob, mean_log_prob.
 
     ``log_prob`` is the sum over all words of the log-probability of the word given those on both
-    its sides: that of its symbol by the network, and for words without a symbol of their own an
-    equal share of their class. Null texts and texts without words have no tokens, log_prob 0 and
-    a null mean. Whole texts are scored; null and repeated ids are rows like others.
+    its sides: that of its symbol by the network, and for words without a symbol of their own their
+    share of their class. With ``counts`` (of ``word_counts``, over what the network was trained on)
+    the share is the word's count by the tokens of its class plus one, that one being for words that
+    were never seen; without, all words of a class have equal shares. Null texts and texts without
+    words have no tokens, log_prob 0 and a null mean. Whole texts are scored; null and repeated ids
+    are rows like others.
     """
-    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("n_tokens", T.LongType()), T.StructField("log_prob", T.DoubleType())])
-    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(frugal(_score(network)), schema)
+    fields = [T.StructField("row", T.LongType()), T.StructField("id", docs.schema[id_col].dataType), T.StructField("n_tokens", T.LongType()), T.StructField("log_prob", T.DoubleType())]
+    if counts is not None:
+        fields.append(T.StructField("words", T.ArrayType(T.LongType())))
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    out = rows.mapInArrow(frugal(_score(network, counts is not None)), T.StructType(fields))
+    if counts is not None:
+        out = written(out, "scored")
+        # a count of one, like none, adds log(1) = 0
+        more = out.select("row", F.explode("words").alias("word")).join(counts.where("n > 1").select("word", F.log("n").alias("log_n")), "word")
+        more = more.groupBy("row").agg(F.sum("log_n").alias("log_n"))
+        out = out.drop("words").join(more, "row", "left").withColumn("log_prob", F.col("log_prob") + F.coalesce("log_n", F.lit(0.0)))
     return out.select(F.col("id").alias(id_col), "n_tokens", "log_prob", F.when(F.col("n_tokens") > 0, F.col("log_prob") / F.col("n_tokens")).alias("mean_log_prob"))

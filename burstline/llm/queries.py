@@ -43,7 +43,8 @@ def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    return lm_score.score(docs, lm_score.train(docs))
+    counts = lm_score.word_counts(docs)
+    return lm_score.score(docs, lm_score.train(docs, counts=counts), counts=counts)
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -121,6 +121,51 @@ def test_lm_gradients_and_learning():
     assert network.log_probabilities(context, left).mean() > before + 0.5
 
 
+def test_lm_weighs_every_word_by_its_count(spark):
+    rng = random.Random(2)
+    docs = [(i, " ".join(f"{rng.choice('abcdef')}{int(rng.paretovariate(0.7)) % 300}x" for _ in range(40))) for i in range(60)]
+    docs += [(100, None), (None, docs[0][1])]
+    rows = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    counts = lm_score.word_counts(rows)
+    network = lm_score.train(rows, size=5, counts=counts)
+    equal = {r.doc_id: r.log_prob for r in lm_score.score(rows, network).collect()}
+    got = lm_score.score(rows, network, counts=counts).collect()
+    assert len(got) == len(docs)
+    n = {}
+    for _, text in docs:
+        for w in (text or "").split():
+            n[w] = n.get(w, 0) + 1
+    own = set(network.vocabulary.words.tolist())
+    info = {}
+    for w in n:
+        words = wordsets.Words(wordsets.large(pa.array([w])), 0, 1)
+        info[w] = (int(words.hash[0]) in own, int(lm_score._class_of(words)[0]))
+    rest = [w for w in n if not info[w][0]]
+    tokens, types = ({c: sum(f(w) for w in rest if info[w][1] == c) for c in {x[1] for x in info.values()}} for f in (lambda w: n[w], lambda w: 1))
+    texts = dict(docs)
+    for r in got:
+        held = [w for w in (texts[r.doc_id] or "").split() if not info[w][0]]
+        want = equal[r.doc_id] + sum(np.log(n[w] / (tokens[info[w][1]] + 1)) + np.log(types[info[w][1]]) for w in held)
+        assert abs(r.log_prob - want) < 1e-3 * max(1, r.n_tokens)
+    # a word that was never seen has the share of one occurrence
+    new = lm_score.score(spark.createDataFrame([(1, "neverseenx")], "doc_id long, text string"), network, counts=counts).first()
+    assert np.isfinite(new.log_prob)
+
+
+def test_lm_trains_on_every_word():
+    vocabulary = lm_score.Vocabulary([], [], {0: 10}, {0: 4}, 0)
+    batch = pa.RecordBatch.from_arrays([pa.array([" ".join(f"w{i}" for i in range(n)) for n in (100, 1, 37)])], names=["text"])
+    seen = [lm_score._fit(lm_score.WindowNetwork(vocabulary), turn)(iter([batch])) for turn in range(lm_score.ROUNDS)]
+    assert sum(b.column(1)[0].as_py() for out in seen for b in out) == 138
+
+
+def test_empty_lm_with_counts(spark):
+    rows = spark.createDataFrame([(1, None)], "doc_id long, text string")
+    counts = lm_score.word_counts(rows)
+    r = lm_score.score(rows, lm_score.train(rows, counts=counts), counts=counts).first()
+    assert (r.n_tokens, r.log_prob, r.mean_log_prob) == (0, 0.0, None)
+
+
 def test_empty_lm(spark):
     rows = spark.createDataFrame([(1, None)], "doc_id long, text string")
     r = lm_score.score(rows, lm_score.train(rows)).first()
