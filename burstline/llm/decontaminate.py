@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from burstline.llm.tables import join_small, written
@@ -66,9 +66,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """(id, item, windows, found, share, substituted): every document that holds an item's template.
 
     Both sides are brought to templates, and windows of ``width`` tokens are joined by hash. A
-    found window counts if its slots are consistent: over all found windows of the item in the
-    document, each value of a slot in the item stands for one value in the document, and each
-    raw word that isn't a slot agrees. ``windows`` is the number of the item's different windows,
+    found window counts if its slots are consistent: over all found windows of one occurrence of the
+    item in the document, each value of a slot in the item stands for one value in the document, and
+    each raw word that isn't a slot agrees. Occurrences are told apart by alignment, the place in the
+    document less that in the item: windows of one alignment, of alignments with steps of ``width``
+    tokens at most (words put in or left out), and of the whole document (an item in distant pieces)
+    are each judged, and the best counts, of equals the one without a slot that differs. ``windows`` is the number of the item's different windows,
     ``found`` how many of them the document holds, ``substituted`` whether any slot differs, so
     that the question is re-parameterised and not copied. A document is contaminated by an item if
     100 * found >= ``least_percent`` * windows.
@@ -81,28 +84,35 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     items = written(templates(items).where(F.size("token") > 0), "items")
     plain = lambda tokens: F.size(F.filter(tokens, lambda x: ~x.startswith("<")))
     own = _hashed(items, width)
-    own = own.join(items.select("item", "raw", "token"), "item").select("item", "hash", F.slice("raw", F.col("at") + 1, width).alias("item_raw"), F.slice("token", F.col("at") + 1, width).alias("item_token"))
-    own = written(own.where(2 * plain(F.col("item_token")) >= F.size("item_token")).dropDuplicates(["item", "hash"]), "windows")
-    totals = own.groupBy("item").agg(F.count("*").alias("windows"))
+    own = own.join(items.select("item", "raw", "token"), "item").select("item", "hash", F.col("at").alias("item_at"), F.slice("raw", F.col("at") + 1, width).alias("item_raw"), F.slice("token", F.col("at") + 1, width).alias("item_token"))
+    own = written(own.where(2 * plain(F.col("item_token")) >= F.size("item_token")).distinct(), "windows")
+    totals = own.groupBy("item").agg(F.count_distinct("hash").alias("windows"))
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("key", F.xxhash64("text"))
     hits = join_small(_hashed(templates(rows), width), own.select("hash").distinct(), "hash", "left_semi").distinct()
     hits = written(hits.groupBy("id", "key").agg(F.collect_list(F.struct("at", "hash")).alias("hits")), "hits")
     # only documents with a hit are read again, for their words
     again = templates(join_small(rows, hits.withColumnRenamed("id", "hit_id"), "key", elements="hits").where(F.col("id").eqNullSafe(F.col("hit_id"))).drop("hit_id").dropDuplicates(["id", "key"]))
-    again = again.withColumn("hit", F.explode("hits")).select("id", "key", F.col("hit.hash").alias("hash"), F.slice("raw", F.col("hit.at") + 1, width).alias("doc_raw"), F.slice("token", F.col("hit.at") + 1, width).alias("doc_token"))
-    pairs = written(join_small(again.dropDuplicates(["id", "key", "hash", "doc_raw"]), own, "hash").where(F.col("doc_token") == F.col("item_token")), "pairs")
+    again = again.withColumn("hit", F.explode("hits")).select("id", "key", F.col("hit.at").alias("doc_at"), F.col("hit.hash").alias("hash"), F.slice("raw", F.col("hit.at") + 1, width).alias("doc_raw"), F.slice("token", F.col("hit.at") + 1, width).alias("doc_token"))
+    pairs = written(join_small(again, own, "hash").where(F.col("doc_token") == F.col("item_token")), "pairs")
 
     slots = F.filter(F.zip_with(F.arrays_zip("item_token", "item_raw"), "doc_raw", lambda i, d: F.when(i["item_token"].startswith("<"), F.struct(F.concat_ws(" ", i["item_token"], F.lower(i["item_raw"])).alias("slot"), F.lower(d).alias("value")))), lambda x: x.isNotNull())
-    pairs = pairs.select("id", "key", "item", "hash", slots.alias("slots"))
-    filled = pairs.select("id", "key", "item", F.explode("slots").alias("s")).groupBy("id", "key", "item", "s").agg(F.count("*").alias("n"))
+    pairs = pairs.select("id", "key", "item", "hash", (F.col("doc_at") - F.col("item_at")).alias("shift"), slots.alias("slots"))
+    order = Window.partitionBy("id", "key", "item").orderBy("shift")
+    pairs = pairs.withColumn("step", F.col("shift") - F.lag("shift").over(order))
+    near = F.sum(F.when(F.col("step") > width, 1).otherwise(0)).over(order.rangeBetween(Window.unboundedPreceding, 0)).cast("int")
+    occurrences = F.array(*(F.struct(F.lit(level).alias("level"), group.alias("group")) for level, group in enumerate((F.col("shift"), F.col("near"), F.lit(0)))))
+    pairs = written(pairs.withColumn("near", near).select("id", "key", "item", "hash", "slots", F.explode(occurrences).alias("part")), "occurrences")
+    filled = pairs.select("id", "key", "item", "part", F.explode("slots").alias("s")).groupBy("id", "key", "item", "part", "s").agg(F.count("*").alias("n"))
     # the value that fills a slot most often; windows that fill it otherwise are inconsistent
-    chosen = filled.groupBy("id", "key", "item", F.col("s.slot").alias("slot")).agg(F.max(F.struct("n", "s.value")).alias("best"))
-    chosen = chosen.groupBy(F.col("id").alias("c_id"), F.col("key").alias("c_key"), F.col("item").alias("c_item")).agg(F.map_from_entries(F.collect_list(F.struct("slot", "best.value"))).alias("values"))
-    judged = pairs.join(chosen, (F.col("key") == F.col("c_key")) & F.col("id").eqNullSafe(F.col("c_id")) & (F.col("item") == F.col("c_item")), "left")
+    chosen = filled.groupBy("id", "key", "item", "part", F.col("s.slot").alias("slot")).agg(F.max(F.struct("n", "s.value")).alias("best"))
+    chosen = chosen.groupBy(F.col("id").alias("c_id"), F.col("key").alias("c_key"), F.col("item").alias("c_item"), F.col("part").alias("c_part")).agg(F.map_from_entries(F.collect_list(F.struct("slot", "best.value"))).alias("values"))
+    judged = pairs.join(chosen, (F.col("key") == F.col("c_key")) & F.col("id").eqNullSafe(F.col("c_id")) & (F.col("item") == F.col("c_item")) & (F.col("part") == F.col("c_part")), "left")
     judged = judged.where(F.forall("slots", lambda s: s["value"] == F.element_at("values", s["slot"])))
     changed = F.exists("slots", lambda s: F.substring_index(s["slot"], " ", -1) != s["value"])
-    found = judged.groupBy("id", "key", "item").agg(F.count_distinct("hash").alias("found"), F.max(changed).alias("substituted"))
+    found = judged.groupBy("id", "key", "item", "part").agg(F.count_distinct("hash").alias("found"), F.max(changed).alias("substituted"))
+    found = found.groupBy("id", "key", "item").agg(F.max(F.struct("found", (~F.col("substituted")).alias("same"))).alias("best"))
+    found = found.select("id", "key", "item", "best.found", (~F.col("best.same")).alias("substituted"))
     found = join_small(found, totals, "item").where(100 * F.col("found") >= least_percent * F.col("windows"))
     return found.groupBy(F.col("id").alias(id_col), F.col("item").alias(item_col)).agg(F.max("windows").alias("windows"), F.max("found").alias("found"), F.max(F.col("found") / F.col("windows")).alias("share"), F.max("substituted").alias("substituted"))
 

@@ -123,6 +123,21 @@ def test_decontamination(spark):
     assert decontaminate.contaminated(docs, bench.limit(0)).count() == 0
 
 
+def test_decontamination_judges_each_occurrence(spark):
+    item = "if Tom has 12 red pens and buys 7 blue pens then gives 3 pens to Ann and 4 pens to Bob and 5 to Eve how many of the 31 are left for Max"
+    fill = lambda values: item.replace("12", values[0]).replace("7", values[1]).replace(" 3 ", f" {values[2]} ").replace(" 4 ", f" {values[3]} ").replace(" 5 ", f" {values[4]} ").replace("31", values[5])
+    a, b = fill("22 91 23 94 25 96".split()), fill("82 41 83 44 85 46".split())
+    cut = lambda text: text.replace(" to Ann", " very to Ann")
+    filler = "some words that lead up to the passage and go on for a while"
+    half = a.split()
+    rows = [(1, a), (2, b), (3, f"{a} {filler} {b}"), (4, f"{filler} {item} {b}"), (5, f"{cut(a)} {filler} {cut(b)}"), (6, f"{' '.join(half[:18])} {filler} {filler} {' '.join(half[18:])}"), (7, filler), (None, f"{b} {a}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r for r in decontaminate.contaminated(docs, spark.createDataFrame([(10, item)], "item_id long, text string")).collect()}
+    assert set(got) == {1, 2, 3, 4, 5, 6, None}
+    assert all(got[i].found == got[i].windows for i in (1, 2, 3, 4, None))
+    assert got[3].substituted and not got[4].substituted
+
+
 def test_repeated_paragraphs(spark):
     import random
 
