@@ -48,18 +48,28 @@ def templates(rows: DataFrame, text_col: str = "text") -> DataFrame:
     return rows.withColumn("token", _once(F.zip_with("__w", before, token))).drop("__w", text_col)
 
 
-def _windows(width: int) -> Column:
-    """Hashes of the windows of ``width`` tokens, from each position; of the whole where it is shorter."""
-    hashes = F.col("__h")
-    starts = F.sequence(F.lit(0), F.greatest(F.size(hashes) - width, F.lit(0)))
-    all_of = F.transform(starts, lambda i: F.xxhash64(F.slice(hashes, i + 1, width)))
-    return F.when(F.size(hashes) > 0, all_of)
+def _hashed(rows: DataFrame, n: Column, keep: list[str], words: Column) -> DataFrame:
+    """``keep``, ``n``, ``at`` and ``hash``: one row for each window of ``n`` of the ``words``; none where they are fewer."""
+    rows = rows.withColumn("__h", _once(F.transform(words, lambda x: F.xxhash64(x)))).withColumn("n", n).where(F.size("__h") >= F.col("n"))
+    starts = F.sequence(F.lit(0), F.size("__h") - F.col("n"))
+    return rows.select(*keep, "n", F.posexplode(F.transform(starts, lambda i: F.xxhash64(F.slice("__h", i + 1, F.col("n"))))).alias("at", "hash"))
 
 
-def _hashed(rows: DataFrame, width: int) -> DataFrame:
-    """``token`` to ``hash`` and ``at`` rows, one for each window."""
-    rows = rows.withColumn("__h", _once(F.transform("token", lambda x: F.xxhash64(x))))
-    return rows.select(*[c for c in rows.columns if c not in ("raw", "token", "__h")], F.posexplode(_windows(width)).alias("at", "hash"))
+def _lengths(items: DataFrame, width: int) -> Column:
+    """The lengths of windows that ``items`` need: one value a row, exploded where there are more."""
+    lengths = sorted(r[0] for r in items.select(F.least(F.size("token"), F.lit(width))).distinct().collect())
+    return F.explode(F.array(*(F.lit(x) for x in lengths))) if len(lengths) > 1 else F.lit(lengths[0] if lengths else width)
+
+
+def _held_whole(rows: DataFrame, items: DataFrame, width: int) -> DataFrame:
+    """(id, key, item, found, windows, substituted): documents that hold all words of an item in a row."""
+    raw = F.transform("raw", lambda x: F.lower(x))
+    own = written(_hashed(items, F.least(F.size("raw"), F.lit(width)), ["item"], raw).distinct(), "whole")
+    totals = own.groupBy("item").agg(F.count_distinct("at").alias("places"), F.count_distinct("hash").alias("windows"))
+    hits = join_small(_hashed(templates(rows), _lengths(items, width), ["id", "key"], raw).withColumnRenamed("at", "doc_at"), own.drop("n"), "hash")
+    found = hits.groupBy("id", "key", "item", (F.col("doc_at") - F.col("at")).alias("shift")).agg(F.count_distinct("at").alias("held"))
+    found = join_small(found, totals, "item").where("held = places")
+    return found.select("id", "key", "item", F.col("windows").alias("found"), "windows", F.lit(False).alias("substituted")).distinct()
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", width: int = WINDOW, least_percent: int = LEAST_PERCENT) -> DataFrame:
@@ -76,33 +86,41 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     that the question is re-parameterised and not copied. A document is contaminated by an item if
     100 * found >= ``least_percent`` * windows.
 
-    Windows of which less than half are plain words are not compared. Items with fewer than
-    ``width`` tokens are compared as a whole, with documents of the same whole template. Null
+    Items with fewer than ``width`` tokens are one window of their own length, anywhere in a document.
+    Windows of which less than half are plain words are not compared as templates; an item that has
+    no others is held by a document with all its words, as they are but for case, in a row. Null
     texts hold nothing; null ids are kept; repeated rows answer alike, once for each id and text.
     """
     items = benchmark.select(F.col(item_col).alias("item"), F.col(item_text_col).alias("text")).distinct()
     items = written(templates(items).where(F.size("token") > 0), "items")
     plain = lambda tokens: F.size(F.filter(tokens, lambda x: ~x.startswith("<")))
-    own = _hashed(items, width)
-    own = own.join(items.select("item", "raw", "token"), "item").select("item", "hash", F.col("at").alias("item_at"), F.slice("raw", F.col("at") + 1, width).alias("item_raw"), F.slice("token", F.col("at") + 1, width).alias("item_token"))
-    own = written(own.where(2 * plain(F.col("item_token")) >= F.size("item_token")).distinct(), "windows")
-    totals = own.groupBy("item").agg(F.count_distinct("hash").alias("windows"))
+    own = _hashed(items, F.least(F.size("token"), F.lit(width)), ["item", "raw", "token"], F.col("token"))
+    own = own.select("item", "hash", F.col("at").alias("item_at"), F.slice("raw", F.col("at") + 1, F.col("n")).alias("item_raw"), F.slice("token", F.col("at") + 1, F.col("n")).alias("item_token"))
+    own = own.where(2 * plain(F.col("item_token")) >= F.size("item_token")).withColumn("window", F.col("hash")).withColumn("inside", F.lit(False))
+    # the one window of a short item also as it reads inside a sentence, where its capital makes a name
+    start = F.substring(F.element_at("item_raw", 1), 1, 1)
+    inside = own.where((F.size("item_token") < width) & ~F.element_at("item_token", 1).startswith("<") & (start != F.lower(start))).withColumn("inside", F.lit(True))
+    inside = inside.withColumn("item_token", _once(F.concat(F.array(F.lit("<name>")), F.slice("item_token", 2, width)))).withColumn("hash", F.xxhash64(F.transform("item_token", lambda x: F.xxhash64(x))))
+    own = written(own.unionByName(inside).distinct(), "windows")
+    totals = own.groupBy("item").agg(F.count_distinct("window").alias("windows"))
+    by_template = items.join(totals.select("item"), "item", "left_semi")
+    dense = written(items.join(totals.select("item"), "item", "left_anti"), "dense")
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("key", F.xxhash64("text"))
-    hits = join_small(_hashed(templates(rows), width), own.select("hash").distinct(), "hash", "left_semi").distinct()
-    hits = written(hits.groupBy("id", "key").agg(F.collect_list(F.struct("at", "hash")).alias("hits")), "hits")
+    hits = join_small(_hashed(templates(rows), _lengths(by_template, width), ["id", "key"], F.col("token")), own.select("hash").distinct(), "hash", "left_semi").distinct()
+    hits = written(hits.groupBy("id", "key").agg(F.collect_list(F.struct("at", "n", "hash")).alias("hits")), "hits")
     # only documents with a hit are read again, for their words
     again = templates(join_small(rows, hits.withColumnRenamed("id", "hit_id"), "key", elements="hits").where(F.col("id").eqNullSafe(F.col("hit_id"))).drop("hit_id").dropDuplicates(["id", "key"]))
-    again = again.withColumn("hit", F.explode("hits")).select("id", "key", F.col("hit.at").alias("doc_at"), F.col("hit.hash").alias("hash"), F.slice("raw", F.col("hit.at") + 1, width).alias("doc_raw"), F.slice("token", F.col("hit.at") + 1, width).alias("doc_token"))
-    pairs = written(join_small(again, own, "hash").where(F.col("doc_token") == F.col("item_token")), "pairs")
+    again = again.withColumn("hit", F.explode("hits")).select("id", "key", F.col("hit.at").alias("doc_at"), F.col("hit.hash").alias("hash"), F.slice("raw", F.col("hit.at") + 1, F.col("hit.n")).alias("doc_raw"), F.slice("token", F.col("hit.at") + 1, F.col("hit.n")).alias("doc_token"))
+    pairs = written(join_small(again, own, "hash").where(F.col("doc_token") == F.col("item_token")).where(~F.col("inside") | (F.lower(F.element_at("doc_raw", 1)) == F.lower(F.element_at("item_raw", 1)))), "pairs")
 
     slots = F.filter(F.zip_with(F.arrays_zip("item_token", "item_raw"), "doc_raw", lambda i, d: F.when(i["item_token"].startswith("<"), F.struct(F.concat_ws(" ", i["item_token"], F.lower(i["item_raw"])).alias("slot"), F.lower(d).alias("value")))), lambda x: x.isNotNull())
-    pairs = pairs.select("id", "key", "item", "hash", (F.col("doc_at") - F.col("item_at")).alias("shift"), slots.alias("slots"))
+    pairs = pairs.select("id", "key", "item", "window", (F.col("doc_at") - F.col("item_at")).alias("shift"), slots.alias("slots"))
     order = Window.partitionBy("id", "key", "item").orderBy("shift")
     pairs = pairs.withColumn("step", F.col("shift") - F.lag("shift").over(order))
     near = F.sum(F.when(F.col("step") > width, 1).otherwise(0)).over(order.rangeBetween(Window.unboundedPreceding, 0)).cast("int")
     occurrences = F.array(*(F.struct(F.lit(level).alias("level"), group.alias("group")) for level, group in enumerate((F.col("shift"), F.col("near"), F.lit(0)))))
-    pairs = written(pairs.withColumn("near", near).select("id", "key", "item", "hash", "slots", F.explode(occurrences).alias("part")), "occurrences")
+    pairs = written(pairs.withColumn("near", near).select("id", "key", "item", "window", "slots", F.explode(occurrences).alias("part")), "occurrences")
     filled = pairs.select("id", "key", "item", "part", F.explode("slots").alias("s")).groupBy("id", "key", "item", "part", "s").agg(F.count("*").alias("n"))
     # the value that fills a slot most often; windows that fill it otherwise are inconsistent
     chosen = filled.groupBy("id", "key", "item", "part", F.col("s.slot").alias("slot")).agg(F.max(F.struct("n", "s.value")).alias("best"))
@@ -110,10 +128,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     judged = pairs.join(chosen, (F.col("key") == F.col("c_key")) & F.col("id").eqNullSafe(F.col("c_id")) & (F.col("item") == F.col("c_item")) & (F.col("part") == F.col("c_part")), "left")
     judged = judged.where(F.forall("slots", lambda s: s["value"] == F.element_at("values", s["slot"])))
     changed = F.exists("slots", lambda s: F.substring_index(s["slot"], " ", -1) != s["value"])
-    found = judged.groupBy("id", "key", "item", "part").agg(F.count_distinct("hash").alias("found"), F.max(changed).alias("substituted"))
+    found = judged.groupBy("id", "key", "item", "part").agg(F.count_distinct("window").alias("found"), F.max(changed).alias("substituted"))
     found = found.groupBy("id", "key", "item").agg(F.max(F.struct("found", (~F.col("substituted")).alias("same"))).alias("best"))
     found = found.select("id", "key", "item", "best.found", (~F.col("best.same")).alias("substituted"))
     found = join_small(found, totals, "item").where(100 * F.col("found") >= least_percent * F.col("windows"))
+    found = found.select("id", "key", "item", "found", "windows", "substituted")
+    if not dense.isEmpty():
+        found = found.unionByName(_held_whole(rows, dense, width))
     return found.groupBy(F.col("id").alias(id_col), F.col("item").alias(item_col)).agg(F.max("windows").alias("windows"), F.max("found").alias("found"), F.max(F.col("found") / F.col("windows")).alias("share"), F.max("substituted").alias("substituted"))
 
 

@@ -138,6 +138,18 @@ def test_decontamination_judges_each_occurrence(spark):
     assert got[3].substituted and not got[4].substituted
 
 
+def test_decontamination_by_short_and_dense_items(spark):
+    filler = "some words that lead up to the passage and go on for a while"
+    short, dense = "What is 7 plus heptane?", "Add 12 17 33 and 8 40 59 61 Paris 77 90"
+    rows = [(1, f"{filler} {short} {filler}"), (2, f"{filler}\nWhat is 9 plus heptane?"), (3, "what is seven plus heptane"), (4, f"{filler} {dense} {filler}"), (5, f"{filler} {dense.replace('61', '60')} {filler}"), (6, filler), (7, "what is 7 plus heptane"), (None, f"{dense} {short}"), (8, "3 4"), (9, f"{filler} 3 4 5"), (12, f"{filler} Why is 7 plus heptane")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    bench = spark.createDataFrame([(10, short), (11, dense), (12, "3 4 5")], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r for r in decontaminate.contaminated(docs, bench).collect()}
+    assert set(got) == {(1, 10), (2, 10), (7, 10), (4, 11), (None, 10), (None, 11), (9, 12)}
+    assert got[2, 10].substituted and not got[1, 10].substituted
+    assert all(r.share == 1 for r in got.values())
+
+
 def test_repeated_paragraphs(spark):
     import random
 
