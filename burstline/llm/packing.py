@@ -17,8 +17,10 @@ from pyspark.sql import types as T
 from burstline.llm.tables import written
 from burstline.llm.wordsets import frugal
 
-#: Words whose ids a worker remembers at most; then it starts anew.
-WORD_CACHE = 1_200_000
+#: Words whose ids a worker remembers, in each of two generations: some 13 MB a generation.
+WORD_CACHE = 100_000
+#: Bytes of text that are encoded at once; longer single texts are encoded alone.
+SLICE_BYTES = 1 << 21
 #: Pieces of one length that are ranked together, on average.
 RANK_GROUP = 400
 
@@ -48,6 +50,7 @@ class WordTokenizer:
         self.model = self.tokenizer.model
         self.alphabet = _byte_alphabet()
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.marks: dict[str, bytes] = {}
 
     def _letters(self, word: str) -> bytes:
@@ -61,18 +64,19 @@ class WordTokenizer:
 
     def words(self, words: list[str]) -> list[bytes]:
         """The ids of each word, four bytes an id."""
-        if len(self.known) > WORD_CACHE:
-            self.known.clear()
         if len(self.marks) > 10_000:
             self.marks.clear()
         known, marks, out = self.known, self.marks, []
         for word in words:
+            if len(known) >= WORD_CACHE:  # words not used for a whole generation are forgotten
+                self.older, self.known = known, {}
+                known = self.known
             core = word.rstrip(_PUNCTUATION)
             if core.isalpha() and (core.isascii() or max(core) < "\u0100"):
                 low = core.lower()
                 ids = known.get(low)
                 if ids is None:
-                    ids = known[low] = self._letters(low)
+                    ids = known[low] = self.older.get(low) or self._letters(low)
                 if len(core) < len(word):
                     mark = word[len(core) :]
                     if mark not in marks:
@@ -109,7 +113,7 @@ def _pieces(path: str, capacity: int, end_id: int, with_ids: bool):
             sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False)
             at = 0
             while at < len(texts):
-                to = max(at + 1, at + int(np.searchsorted(np.cumsum(sizes[at:]), 8 << 20, side="right")))
+                to = max(at + 1, at + int(np.searchsorted(np.cumsum(sizes[at:]), SLICE_BYTES, side="right")))
                 rows: list[list] = [[], [], [], [], [], []]
                 for i, ids in enumerate(tokenizer.texts(texts.slice(at, to - at))):
                     ids += end
