@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from burstline.llm.tables import join_small, written
+from burstline.llm.tables import written
 
 #: Lines of a fingerprint, and of the window whose least fingerprint is selected.
 GRAM = 2
@@ -22,45 +22,54 @@ def _once(value):
     return F.explode(F.array(value))
 
 
-def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gram: int = GRAM, window: int = WINDOW) -> DataFrame:
-    """(id, text_hash, run): positions, among a text's filled lines, of the lines to delete.
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gram: int = GRAM, window: int = WINDOW) -> DataFrame:
+    """(id, text_hash, at, context): the selected fingerprints of each text, once for each window they stand for.
 
-    Lines are compared without spaces around them; lines of spaces alone don't count. Each ``gram``
-    lines in a row are hashed, and of each ``window`` such hashes in a row the least is selected
-    (the last of equals), so texts that share ``gram + window - 1`` lines in a row share a selected
-    fingerprint. Occurrences are joined to the fingerprint's first one in the corpus (least id, then
-    hash of the text, then position) and extended both ways by comparing the lines around. As any
-    longer run holds further fingerprints, looking ``gram + window`` lines either way is enough.
-    Runs of at least ``gram + window - 1`` lines are deleted where they come later.
+    Each ``gram`` filled lines in a row are hashed, and of each ``window`` such hashes in a row the
+    least is selected (the last of equals). ``context`` holds the fingerprint, its place in the
+    window and the window's other lines, the match extended both ways as far as a run of the least
+    length needs; ``at`` is the window's first line among the filled ones.
     """
-    least, reach = gram + window - 1, gram + window
     lines = F.filter(F.transform(F.split(F.col(text_col), "\n", -1), lambda x: F.trim(x)), lambda x: x != "")
-    rows = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"), _once(F.transform(lines, _hash)).alias("h"))
-    rows = rows.where(F.size("h") >= least)
-    grams = F.transform(F.sequence(F.lit(0), F.size("h") - gram), lambda i: _hash(F.array_join(F.slice("h", i + 1, gram), ",")))
+    rows = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"), _once(F.transform(lines, lambda x: F.xxhash64(x))).alias("h"))
+    rows = rows.where(F.size("h") >= gram + window - 1)
+    grams = F.transform(F.sequence(F.lit(0), F.size("h") - gram), lambda i: F.xxhash64(F.slice("h", i + 1, gram)))
     rows = rows.withColumn("g", _once(grams))
-    # the last position of the least hash of each window
-    picked = F.transform(
-        F.sequence(F.lit(0), F.size("g") - window),
-        lambda i: -F.array_min(F.transform(F.sequence(F.lit(0), F.lit(window - 1)), lambda j: F.struct(F.element_at("g", (i + j + 1).cast("int")).alias("g"), (-(i + j)).alias("at"))))["at"],
-    )
-    rows = rows.withColumn("at", F.explode(F.array_distinct(picked)))
-    padded = F.concat(F.array_repeat(F.lit(None).cast("long"), reach), F.col("h"), F.array_repeat(F.lit(None).cast("long"), reach))
-    marks = rows.select("id", "text_hash", F.element_at("g", (F.col("at") + 1).cast("int")).alias("fp"), F.col("at").cast("int").alias("at"), F.slice(padded, F.col("at") + 1, 2 * reach + gram).alias("around"))
-    marks = written(marks, "fingerprints")
-
-    first = marks.groupBy("fp").agg(F.min(F.struct("id", "text_hash", "at", "around")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    later = join_small(marks, written(first, "first"), "fp").where(F.struct("id", "text_hash", "at") > F.struct("first.id", "first.text_hash", "first.at"))
-    same = F.zip_with("around", "first.around", lambda a, b: F.coalesce(a == b, F.lit(False)))
-    later = later.withColumn("same", same)
-    # how many lines before and after the fingerprint's own agree
-    unlike = F.array_position(F.slice("same", reach + gram + 1, reach), False)
-    after = F.when(unlike > 0, unlike - 1).otherwise(reach)
-    unlike = F.array_position(F.reverse(F.slice("same", 1, reach)), False)
-    before = F.when(unlike > 0, unlike - 1).otherwise(reach)
-    own = F.forall(F.slice("same", reach + 1, gram), lambda x: x)
-    runs = later.where(own).select("id", "text_hash", (F.col("at") - before).alias("lo"), (F.col("at") + gram + after).alias("hi")).where(F.col("hi") - F.col("lo") >= least).distinct()
-    return runs.groupBy("id", "text_hash").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.sequence("lo", F.col("hi") - 1))))).alias("run"))
+
+    def of_window(i):
+        # the negative place makes the least struct the last of equal hashes
+        least = F.array_min(F.transform(F.sequence(F.lit(0), F.lit(window - 1)), lambda j: F.struct(F.element_at("g", i + j + 1).alias("g"), (-j).alias("at"))))
+        place = -least["at"]
+        before, after = F.slice("h", i + 1, place), F.slice("h", i + place + gram + 1, window - 1 - place)
+        return F.xxhash64(least["g"], place, F.concat(before, after))
+
+    rows = rows.select("id", "text_hash", F.posexplode(F.transform(F.sequence(F.lit(0), F.size("g") - window), of_window)).alias("at", "context"))
+    return rows
+
+
+def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gram: int = GRAM, window: int = WINDOW) -> DataFrame:
+    """(id, text_hash, run): positions, among a text's filled lines, of the lines to delete.
+
+    Lines are compared without spaces around them; lines of spaces alone don't count. A run of
+    ``gram + window - 1`` lines or more that stands anywhere earlier in the corpus, by id, then
+    hash of the text, then position, is a repeat, and its lines are deleted.
+
+    Every window of ``window`` fingerprints selects its least (``fingerprints``), so texts that share
+    so many lines share a selected fingerprint at the same place of the window. Positions are joined
+    by the fingerprint and the lines around it, to the first that holds them: each kind of
+    surroundings that a fingerprint has is followed to its own first holder, so no earlier partner
+    is left out. Matches of neighbouring windows join to runs of any length. The join is
+    hinted to be a shuffle, so it is the same plan at every size; a very frequent context is counted before it and is one short row per
+    position in it, which adaptive execution splits.
+    """
+    least = gram + window - 1
+    marks = written(fingerprints(docs, id_col, text_col, gram, window), "fingerprints")
+    place = F.struct("id", "text_hash", "at")
+    first = marks.groupBy("context").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    later = marks.join(written(first, "first").hint("merge"), "context").where(place > F.col("first")).select("id", "text_hash", "at").distinct()
+    lines = later.groupBy("id", "text_hash").agg(F.collect_list("at").alias("at"))
+    run = F.flatten(F.transform("at", lambda i: F.sequence(i, i + least - 1)))
+    return lines.select("id", "text_hash", F.array_sort(F.array_distinct(run)).alias("run"))
 
 
 def delete_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gram: int = GRAM, window: int = WINDOW) -> DataFrame:
@@ -68,12 +77,12 @@ def delete_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     The first occurrence of every run stays. Null texts stay null with no lines; texts with fewer
     filled lines than a run are left as they are; rows with the same id and text are treated alike;
-    null ids come first. A text whose lines are all deleted becomes empty. Columns of ``docs`` named
-    like the added ones are replaced.
+    null ids come first. A text whose lines are all deleted becomes empty. Texts of any length are
+    read whole, one row at a time; they are shuffled once, by id and hash, to meet their runs. Columns of ``docs`` named like the added ones are replaced.
     """
-    runs = written(repeated_runs(docs, id_col, text_col, gram, window).select(F.col("id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("run").alias("__run")), "runs")
+    runs = repeated_runs(docs, id_col, text_col, gram, window).select(F.col("id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("run").alias("__run"))
     same = F.col("__at").eqNullSafe(F.col("__hash")) & F.col(id_col).eqNullSafe(F.col("__id"))
-    joined = join_small(docs.withColumn("__at", F.xxhash64(text_col)), runs, same, "left", elements="__run")
+    joined = docs.withColumn("__at", F.xxhash64(text_col)).join(written(runs, "runs").hint("merge"), same, "left")
     joined = joined.withColumn("__lines", _once(F.split(F.col(text_col), "\n", -1)))
     places = F.filter(F.transform("__lines", lambda x, i: F.when(F.trim(x) != "", i)), lambda i: i.isNotNull())
     joined = joined.withColumn("__places", _once(places))

@@ -111,42 +111,25 @@ def _secrets_sql() -> str:
 
 
 def _line_dedup_sql() -> str:
-    gram, window = line_dedup.GRAM, line_dedup.WINDOW
-    least, reach = gram + window - 1, gram + window
-    h = "CAST('0x' || md5({})[1:15] AS BIGINT)".format
-    grams = f"[{h(f'array_to_string(h[i:i + {gram - 1}], chr(44))')} FOR i IN range(1, len(h) - {gram - 2})]"
+    """By the definition: lines of a run that stands earlier anywhere, on the lines themselves."""
+    least = line_dedup.GRAM + line_dedup.WINDOW - 1
     return f"""
-        WITH l AS (
-            SELECT doc_id, text, [x FOR x IN string_split(text, chr(10)) IF trim(x, ' ') <> ''] AS ls FROM documents
-        ), a AS (
-            SELECT doc_id, [{h("trim(x, ' ')")} FOR x IN ls] AS h FROM l WHERE len(ls) >= {least}
-        ), b AS (
-            SELECT doc_id, h, {grams} AS g FROM a
+        WITH a AS (
+            SELECT doc_id, [trim(x, ' ') FOR x IN string_split(text, chr(10)) IF trim(x, ' ') <> ''] AS ls FROM documents
         ), w AS (
-            SELECT doc_id, unnest(range(1, len(g) - {window - 2})) AS i, g, h FROM b
-        ), p AS (
-            SELECT DISTINCT doc_id, i + {window - 1} - (list_position(list_reverse(g[i:i + {window - 1}]), list_min(g[i:i + {window - 1}])) - 1) AS pos FROM w
-        ), f AS (
-            SELECT doc_id, pos, g[pos] AS fp, h FROM p JOIN b USING (doc_id)
-        ), e AS (
-            SELECT *, first_value(doc_id) OVER o AS fdoc, first_value(pos) OVER o AS fpos FROM f WINDOW o AS (PARTITION BY fp ORDER BY doc_id, pos)
-        ), m AS (
-            SELECT e.doc_id, e.pos, e.h, fpos, a.h AS fh FROM e JOIN a ON a.doc_id = fdoc WHERE (e.doc_id, e.pos) <> (fdoc, fpos)
-        ), x AS (
-            SELECT doc_id, pos,
-                   coalesce(list_position([coalesce(pos - j >= 1 AND fpos - j >= 1 AND h[pos - j] = fh[fpos - j], false) FOR j IN range(1, {reach + 1})], false) - 1, {reach}) AS before,
-                   coalesce(list_position([coalesce(h[pos + {gram - 1} + j] = fh[fpos + {gram - 1} + j], false) FOR j IN range(1, {reach + 1})], false) - 1, {reach}) AS after
-            FROM m
+            SELECT doc_id, ls, unnest(range(1, len(ls) - {least - 2})) AS pos FROM a
         ), r AS (
-            SELECT DISTINCT doc_id, unnest(range(pos - before, pos + {gram} + after)) AS n FROM x WHERE before + after + {gram} >= {least}
+            SELECT doc_id, pos, row_number() OVER (PARTITION BY ls[pos:pos + {least - 1}] ORDER BY doc_id, pos) AS nth FROM w
+        ), g AS (
+            SELECT DISTINCT doc_id, unnest(range(pos, pos + {least})) AS n FROM r WHERE nth > 1
         ), q AS (
             SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS place FROM documents
         ), c AS (
             SELECT *, CASE WHEN trim(line, ' ') <> '' THEN count(*) FILTER (trim(line, ' ') <> '') OVER (PARTITION BY doc_id ORDER BY place) END AS n FROM q
         )
-        SELECT c.doc_id, CAST(count(c.n) AS BIGINT) AS n_lines, CAST(count(r.n) AS BIGINT) AS n_deleted,
-               sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (r.n IS NULL), '')) AS kept_sha256
-        FROM c LEFT JOIN r ON r.doc_id = c.doc_id AND r.n = c.n GROUP BY c.doc_id
+        SELECT c.doc_id, CAST(count(c.n) AS BIGINT) AS n_lines, CAST(count(g.n) AS BIGINT) AS n_deleted,
+               sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (g.n IS NULL), '')) AS kept_sha256
+        FROM c LEFT JOIN g ON g.doc_id = c.doc_id AND g.n = c.n GROUP BY c.doc_id
     """
 
 

@@ -75,6 +75,17 @@ def test_stages_keep_columns_and_take_clashing_ones(spark, tmp_path):
         assert stage(spark, rows.limit(0), str(tmp_path)).count() == 0
 
 
+def test_near_dedup_keeps_one_row_of_each_class(spark):
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice(SYLLABLES["bb"]) + str(rng.randrange(300)) for _ in range(60)) for _ in range(4)]
+    near = texts[0] + " more"
+    docs = [(1, texts[0]), (1, texts[0]), (1, texts[0]), (2, near), (3, texts[1]), (3, texts[2]), (4, texts[2]), (5, texts[3]), (5, texts[3]), (6, "a b"), (None, texts[1])]
+    rows = spark.createDataFrame([(i, t, "x", "s", len(t)) for i, t in docs], COLUMNS).repartition(3)
+    out = pipeline.near_dedup_stage(spark, rows, "")
+    assert out.columns == rows.columns
+    assert sorted(((r.doc_id, r.text) for r in out.collect()), key=str) == sorted([(1, texts[0]), (3, texts[2]), (5, texts[3]), (6, "a b"), (None, texts[1])], key=str)
+
+
 def test_every_operator_has_its_query():
     import __spark_entry__
 

@@ -49,31 +49,16 @@ def test_secrets(spark):
     assert secret_scan.scan(rows.limit(0)).count() == 0
 
 
-def md5_60(text):
-    return int(hashlib.md5(text.encode()).hexdigest()[:15], 16)
-
-
-def plain_line_dedup(docs, gram=2, window=2):
-    least, reach = gram + window - 1, gram + window
-    h, marks = {}, []
+def plain_line_dedup(docs, least=3):
+    """Lines of every run of ``least`` lines that stands earlier in any text, as the definition says."""
+    seen, gone = set(), {d: set() for d, _ in docs}
     for d, text in docs:
-        h[d] = [md5_60(x.strip(" ")) for x in text.split("\n") if x.strip(" ")]
-        g = [md5_60(",".join(map(str, h[d][i : i + gram]))) for i in range(len(h[d]) - gram + 1)]
-        picked = {max(range(i, i + window), key=lambda j: (-g[j], j)) for i in range(len(g) - window + 1)}
-        marks += [(g[p], d, p) for p in picked]
-    first = {}
-    for fp, d, p in sorted(marks, key=lambda m: m[1:]):
-        first.setdefault(fp, (d, p))
-    gone = {d: set() for d, _ in docs}
-    for fp, d, p in marks:
-        fd, fpos = first[fp]
-        if (fd, fpos) == (d, p):
-            continue
-        same = lambda j: 0 <= p + j < len(h[d]) and 0 <= fpos + j < len(h[fd]) and h[d][p + j] == h[fd][fpos + j]  # noqa: E731, B023
-        before = next((j for j in range(reach) if not same(-j - 1)), reach)
-        after = next((j for j in range(reach) if not same(gram + j)), reach)
-        if before + gram + after >= least:
-            gone[d] |= set(range(p - before, p + gram + after))
+        lines = [x.strip(" ") for x in text.split("\n") if x.strip(" ")]
+        for i in range(len(lines) - least + 1):
+            run = tuple(lines[i : i + least])
+            if run in seen:
+                gone[d] |= set(range(i, i + least))
+            seen.add(run)
     return gone
 
 
@@ -105,6 +90,13 @@ def test_line_dedup(spark):
     assert line_dedup.delete_repeated_lines(rows.limit(0)).count() == 0
 
 
+def test_line_dedup_follows_every_earlier_holder(spark):
+    docs = [(1, "x\ny"), (2, "p\nx\ny\nz"), (3, "q\nx\ny\nz\nr"), (4, "s\nw\nx\ny\nt"), (5, "u\nw\nx\ny\nz\nv"), (None, "w\nx\ny"), (6, "x\ny\n" * 3 + "z")]
+    rows = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: (r.text, r.n_deleted) for r in line_dedup.delete_repeated_lines(rows).collect()}
+    assert got == {1: ("x\ny", 0), 2: ("p\nx\ny\nz", 0), 3: ("q\nr", 3), 4: ("s\nt", 3), 5: ("u\nv", 4), None: ("w\nx\ny", 0), 6: ("x\ny", 5)}
+
+
 def test_decontamination(spark):
     item = "A train leaves Paris at 10 with 250 people and Maria walks 3 km to meet it before the other 250 people get off"
     other = item.replace("Paris", "Oslo").replace("10", "7").replace("250", "90").replace("Maria", "Anna").replace("3 km", "5 miles")
