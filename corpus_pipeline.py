@@ -27,16 +27,29 @@ def language_id_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later repeats of runs of lines go, and documents of which nothing else is left."""
-    cut = line_dedup.delete_repeated_lines(docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text"))
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    cut = line_dedup.delete_repeated_lines(docs.select("doc_id", "text", F.struct(F.lit(0).alias("doc_id"), *others).alias("row")))
     left = cut.where((F.col("n_deleted") == 0) | (F.col("n_deleted") < F.col("n_lines")))
-    changed = {"text": F.col("text"), "n_chars": F.length("text").cast(docs.schema["n_chars"].dataType)}
+    changed = {"doc_id": F.col("doc_id"), "text": F.col("text"), "n_chars": F.length("text").cast(docs.schema["n_chars"].dataType)}
     return left.select(*(changed.get(c, F.col(f"row.{c}")).alias(c) for c in docs.columns))
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near-duplicates (five words, similarity 0.8) the document of the least id stays; null ids stay."""
-    gone = neardup.near_duplicates(docs).where(~F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    return docs.join(written(gone, "gone"), "doc_id", "left_anti").select(*docs.columns)
+    """Of each class of near-duplicates (five words, similarity 0.8) one document stays.
+
+    A document is an id with a text, so texts that share an id are judged apart, and of rows that
+    repeat an id and a text one stays. The least by id, then by hash of the text, is the one
+    that stays; null ids come first.
+    """
+    rows = docs.select(F.struct("doc_id", F.xxhash64("text").alias("key")).alias("pair"), F.struct(*docs.columns).alias("row"), "text")
+    gone = neardup.near_duplicates(rows, "pair").where(~F.col("kept")).select(F.col("pair").alias("gone")).distinct()
+    left = rows.drop("text").join(written(gone, "gone"), F.col("pair") == F.col("gone"), "left_anti")
+    repeats = written(rows.groupBy("pair").count().where("count > 1").select(F.col("pair").alias("again")), "repeats")
+    if repeats.isEmpty():
+        return left.select("row.*")
+    once = left.join(repeats, F.col("pair") == F.col("again"), "left_anti").select("row")
+    first = left.join(repeats, F.col("pair") == F.col("again"), "left_semi").groupBy("pair").agg(F.first("row").alias("row")).select("row")
+    return once.unionByName(first).select("row.*")
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
