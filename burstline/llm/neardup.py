@@ -188,6 +188,22 @@ def _links(percent: int):
     return run
 
 
+def blocked(members: DataFrame) -> DataFrame:
+    """Rows (class, uid, n) with the ``block`` each falls into and the number of ``blocks`` of its class."""
+    weights = members.groupBy("class").agg(F.sum("n").alias("w"), F.count("*").alias("c"))
+    weights = written(weights.select("class", F.ceil(F.greatest(F.col("w") / BLOCK_SHINGLES, F.col("c") / BLOCK_UNITS)).cast("int").alias("blocks")), "blocks")
+    return join_small(members, weights, "class").withColumn("block", F.pmod(F.xxhash64("uid"), F.col("blocks")).cast("int"))
+
+
+def verified_classes(members: DataFrame, percent: int) -> DataFrame:
+    """(rep, root) of what verified links reach, from rows (class, uid, block, blocks, shingles)."""
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    dealt = members.select("class", "uid", "block", "shingles", other.alias("other"))
+    dealt = dealt.select("class", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "uid", "shingles")
+    links = dealt.repartition("class", "p", "q").sortWithinPartitions("class", "p", "q").mapInArrow(frugal(_links(percent)), "a long, b long")
+    return connected_components(links).select(F.col("node").alias("rep"), F.col("root"))
+
+
 def near_classes(docs: DataFrame, id_col: str, text_col: str, k: int = 5, percent: int = 80, by_line: bool = False, min_words: int = 0, shape: tuple[int, int] | None = None) -> DataFrame:
     """(id, part, n, label): the class ``label`` of every unit of ``docs``.
 
@@ -218,21 +234,15 @@ def near_classes(docs: DataFrame, id_col: str, text_col: str, k: int = 5, percen
     classes = written(connected_components(tied).select(F.col("node").alias("uid"), F.col("root").alias("class")), "candidates")
 
     members = labelled.where("uid = rep").select("id", "part", "h1", "h2", "n", "uid").join(classes, "uid")
-    weights = classes.join(labelled.select("uid", "n"), "uid").groupBy("class").agg(F.sum("n").alias("w"), F.count("*").alias("c"))
-    weights = written(weights.select("class", F.ceil(F.greatest(F.col("w") / BLOCK_SHINGLES, F.col("c") / BLOCK_UNITS)).cast("int").alias("blocks")), "blocks")
-    members = written(join_small(members, weights, "class").withColumn("block", F.pmod(F.xxhash64("uid"), F.col("blocks")).cast("int")), "members")
+    members = written(blocked(members), "members")
 
     # null ids are matched too: a set's representative may have one
     wanted = join_small(source, members.select(F.col("id").alias("m_id")).distinct(), F.col("id").eqNullSafe(F.col("m_id")), "left_semi")
     sets = wanted.mapInArrow(frugal(_sets(k, by_line, min_words)), T.StructType([*head, *longs("h1", "h2"), T.StructField("shingles", T.BinaryType())]))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     names = ["id", "part", "h1", "h2"]
     own = members.select("class", "uid", "block", "blocks", *(F.col(c).alias(f"m_{c}") for c in names))
     same = [F.col(c).eqNullSafe(F.col(f"m_{c}")) if c == "id" else F.col(c) == F.col(f"m_{c}") for c in names]
-    dealt = join_small(sets, own, same).select("class", "uid", "block", "shingles", other.alias("other"))
-    dealt = dealt.select("class", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "uid", "shingles")
-    links = dealt.repartition("class", "p", "q").sortWithinPartitions("class", "p", "q").mapInArrow(frugal(_links(percent)), T.StructType(longs("a", "b")))
-    found = connected_components(links).select(F.col("node").alias("rep"), F.col("root"))
+    found = verified_classes(join_small(sets, own, same).select("class", "uid", "block", "blocks", "shingles"), percent)
 
     label = labelled.join(found, "rep", "left").select("id", "part", "n", F.coalesce("root", "rep").alias("label"))
     return label.unionByName(units.where("n = 0").select("id", "part", "n", F.lit(None).cast("long").alias("label")))

@@ -160,26 +160,29 @@ def shingles(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
     return r[new], h[new]
 
 
-#: A word also opens a sentence where its hash is a multiple of this, so that sentences stay short.
-SENTENCE_WORDS = 32
+def cuts(words: Words, reach: int, longest: int) -> np.ndarray:
+    """The first word of each piece that rows of more than ``longest`` words fall into.
 
-
-def sentences(words: Words) -> tuple[np.ndarray, np.ndarray]:
-    """(first word of each sentence, hash of the sentence's words in order).
-
-    A sentence opens at the first word of a row, after a word that ends in ``.``, ``!`` or ``?``,
-    and at a capital letter, so a passage put anywhere into a text keeps its own sentences.
+    A word opens a piece where the hash of it and the next word is less than those of the ``reach``
+    words before and not greater than those of the ``reach`` words after, and at the start of its
+    row. So pieces have ``2 * reach + 1`` words on average, and two texts that share a passage cut
+    it alike but for ``reach`` words at either end, whatever stands around it.
     """
-    if not len(words.row):
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
-    first = words.raw[words.start].astype(np.int64)
-    second = words.raw[np.minimum(words.start + 1, len(words.raw) - 1)]
-    opens = ((first >= 65) & (first <= 90)) | ((first == 0xC3) & (second >= 0x80) & (second <= 0x9E)) | (words.hash % np.uint64(SENTENCE_WORDS) == 0)
-    opens[1:] |= np.isin(words.raw[words.end[:-1] - 1], [33, 46, 63]) | (words.row[1:] != words.row[:-1])
+    n = len(words.row)
+    if not n:
+        return np.zeros(0, dtype=np.int64)
+    value = words.hash.copy()
+    follows = words.row[1:] == words.row[:-1]
+    value[:-1][follows] = mix(value[:-1][follows] * np.uint64(0x9FB21C651E98DF25) + words.hash[1:][follows])
+    opens = np.ones(n, dtype=bool)
+    for d in range(1, min(reach, n - 1) + 1):
+        same = words.row[d:] == words.row[:-d]
+        less = value[d:] < value[:-d]
+        opens[d:] &= less | ~same
+        opens[:-d] &= ~less | ~same
     opens[0] = True
-    at = np.flatnonzero(opens)
-    place = np.arange(len(words.row)) - np.repeat(at, np.diff(np.append(at, len(words.row))))
-    return at, mix(np.add.reduceat(mix(words.hash + place.astype(np.uint64) * _BASE), at))
+    opens[1:] |= ~follows
+    return np.flatnonzero(opens & (np.bincount(words.row, minlength=words.rows) > longest)[words.row])
 
 
 def sketch(rows: np.ndarray, hashes: np.ndarray, n_rows: int, t: int) -> np.ndarray:

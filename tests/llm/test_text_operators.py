@@ -173,7 +173,83 @@ def test_passages_inside_paragraphs(spark):
     got = substring_dedup.repeated_passages(rows).collect()
     texts = dict(docs)
     assert sorted((r.doc_id, r.keep_doc_id, r.removed) for r in got) == [(1, 1, False), (2, 1, True), (3, 1, True), (4, 1, True)]
-    assert all(texts[r.doc_id][r.start : r.end] == passage and r.words == 56 for r in got)
+    assert all(texts[r.doc_id][r.start : r.end] in passage and r.words == len(texts[r.doc_id][r.start : r.end].split()) for r in got)
     both = substring_dedup.repeated_parts(rows)
     assert both.where("paragraph IS NULL").count() == 4
     assert substring_dedup.repeated_passages(rows.limit(0)).count() == 0
+
+
+def test_passages_in_long_lower_case_lines_and_near_copies(spark):
+    import random
+
+    rng = random.Random(7)
+    words = lambda n: [f"w{rng.randrange(5000)}" for _ in range(n)]
+    passage = words(80)
+    near = [w if i % 27 else "other" for i, w in enumerate(passage)]
+    docs = [(i, " ".join(words(300) + (passage if i < 4 else near) + words(300))) for i in range(1, 6)]
+    docs += [(9, " ".join(words(700))), (10, " ".join(words(30) + passage[:12] + words(30)))]
+    got = substring_dedup.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()
+    assert {r.doc_id for r in got} == {1, 2, 3, 4, 5} and {r.doc_id for r in got if r.removed} == {2, 3, 4, 5}
+    assert all(r.keep_doc_id == 1 for r in got if r.removed)
+    texts = dict(docs)
+    for r in got:
+        assert set(texts[r.doc_id][r.start : r.end].split()) <= set(passage) | {"other"}
+
+
+def test_pieces_equal_brute_force(spark, monkeypatch):
+    """Classes of pieces hold what links of exact Jaccard reach, among pieces that share a band key."""
+    import random
+
+    from burstline.llm import neardup
+
+    monkeypatch.setattr(neardup, "BLOCK_UNITS", 3)
+    rng = random.Random(8)
+    bank = [[f"w{rng.randrange(900)}" for _ in range(60)] for _ in range(6)]
+    docs = []
+    for i in range(25):
+        text = [f"x{i}{j}" for j in range(20)]
+        for part in rng.sample(bank, 2):
+            part = list(part)
+            for _ in range(rng.choice([0, 1, 3])):
+                part[rng.randrange(60)] = f"y{rng.randrange(9999)}"
+            text += part + [f"z{i}{j}" for j in range(rng.randrange(9))]
+        docs.append((i, " ".join(text)))
+    rows = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    got = substring_dedup.near_pieces(rows, "doc_id", "text", shape=(24, 1)).collect()
+    sets = {}
+    for d, text in docs:
+        for at, (start, end) in enumerate(plain_pieces(text)):
+            w = text[start:end].split()
+            sets[d, start, end] = {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+    label = {u: u for u in sets}
+    units = sorted(sets)
+    for _ in range(6):
+        for a in units:
+            for b in units:
+                common = len(sets[a] & sets[b])
+                if 100 * common >= 80 * (len(sets[a]) + len(sets[b]) - common):
+                    label[a] = label[b] = min(label[a], label[b])
+    want = {}
+    for u in units:
+        want.setdefault(label[u], set()).add(u)
+    want = sorted(sorted(c) for c in want.values() if len({u[0] for u in c}) > 1)
+    found = {}
+    for r in got:
+        found.setdefault(r.label, set()).add((r.id, r.start, r.end))
+    found = sorted(sorted(c) for c in found.values() if len({u[0] for u in c}) > 1)
+    assert found == want and len(want) > 10
+
+
+def plain_pieces(text):
+    """Spans of the pieces of one line, by the words' own hashes."""
+    import numpy as np
+    import pyarrow as pa
+
+    from burstline.llm import wordsets
+
+    words = wordsets.Words(wordsets.large(pa.array([text])), 0, 1)
+    h = [int(x) for x in words.hash]
+    pair = [int(x) for x in wordsets.mix(words.hash[:-1] * np.uint64(0x9FB21C651E98DF25) + words.hash[1:])] + [h[-1]]
+    r = substring_dedup.PIECE_REACH
+    first = [i for i in range(len(h)) if i == 0 or (all(pair[i] < x for x in pair[max(0, i - r) : i]) and all(pair[i] <= x for x in pair[i + 1 : i + r + 1]))]
+    return [(int(words.start[a]), int(words.end[b - 1])) for a, b in zip(first, first[1:] + [len(h)], strict=True)]
