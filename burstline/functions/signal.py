@@ -124,57 +124,101 @@ def mel_filters(bins: int, rate: float, count: int = 26) -> np.ndarray:
     return out
 
 
-SPECTRUM = "struct<dominant:double,centroid:double,rolloff:double,energy_primary:double,energy_wide:double,energy_low:double,contrast:double,ratio:double,mfcc:array<double>,mfcc_variance:double>"
-
-
-def _spectrum(x: np.ndarray, rate: float, strict: bool) -> dict:
-    """With ``strict``, samples are spaced by zeros and the lower half of the spectrum is read, so frequencies read half of true."""
-    if len(x) < 256:
-        return {"dominant": 0.0, "centroid": 0.0, "rolloff": 0.0, "energy_primary": 0.0, "energy_wide": 0.0, "energy_low": 0.0, "contrast": 0.0, "ratio": 0.0, "mfcc": [0.0] * 13, "mfcc_variance": 0.0}
-    n = 1 << int(np.log2(len(x)))
-    window = x[:n] * np.hanning(n)
+SPECTRUM = "struct<dominant:double,centroid:double,rolloff:double,energy_primary:double,energy_wide:double,energy_low:double,contrast:double,flux:double,ratio:double,mfcc:array<double>,mfcc_variance:double>"
+#: Samples that a spectrum reads at most, and needs at least.
+MOST_SAMPLES = 2048
+LEAST_SAMPLES = 256
+#: Height of the normalised Hann window. Fixed value.
+HANN_NORM = 0.8165
+
+
+def next_power_of_two(n: int) -> int:
+    return 1 << max(n - 1, 0).bit_length()
+
+
+def spectra(samples: np.ndarray, rate: float, strict: bool = True) -> pd.DataFrame:
+    """``SPECTRUM`` fields of each row of equally long samples.
+
+    A spectrum has min(2048, next power of two) points: longer samples are cut, shorter ones padded
+    with zeros. Bins hold magnitudes under a normalised Hann window; bands are half-open ranges of
+    bins. With ``strict``, samples are spaced by zeros before the transform, and its first bin holds
+    the highest frequency too, so frequencies read half of true.
+    """
+    rows, count = samples.shape
+    if count < LEAST_SAMPLES:
+        zero = {c.split(":")[0]: 0.0 for c in SPECTRUM[7:-1].split(",") if "mfcc" not in c}
+        return pd.DataFrame([{**zero, "mfcc": [0.0] * 13, "mfcc_variance": 0.0}] * rows)
+    n = min(MOST_SAMPLES, next_power_of_two(count))
+    half = n // 2
+    padded = np.zeros((rows, n))
+    padded[:, : min(count, n)] = samples[:, :n]
+    windowed = padded * (HANN_NORM * (1 - np.cos(2 * np.pi * np.arange(n) / n)))
+    if strict:
+        spaced = np.zeros((rows, n))
+        spaced[:, ::2] = windowed[:, :half]
+        windowed = spaced
+    found = np.abs(np.fft.rfft(windowed, axis=1))
+    power = 2 * found[:, :half]
     if strict:
-        spaced = np.zeros(n)
-        spaced[::2] = window[: n // 2]
-        window = spaced
-    power = np.abs(np.fft.rfft(window))[: n // 2] ** 2
-    hz = np.arange(n // 2) * rate / n
-    band = lambda a, b: power[(hz >= a) & (hz <= b)]
-    mean = lambda p: float(p.mean()) if len(p) else 0.0
-    main = (hz >= 1000) & (hz <= 3000)
-    wide = (hz >= 300) & (hz <= 5000)
-    pick = main if main.any() and power[main].max() > 0 else wide
-    total = power.sum()
-    cumulated = np.cumsum(power)
-    bands = np.array([mean(b) for b in np.array_split(power, 6)])
-    energies = mel_filters(n // 2, rate) @ power
-    logs = np.log(np.maximum(energies, 1e-10))
-    m = len(logs)
-    mfcc = [float((logs * np.cos(np.pi * i * (np.arange(m) + 0.5) / m)).sum()) for i in range(13)]
-    return {
-        "dominant": float(hz[pick][power[pick].argmax()]) if pick.any() else 0.0,
-        "centroid": float((hz * power).sum() / total) if total else 0.0,
-        "rolloff": float(hz[np.searchsorted(cumulated, 0.85 * total)]) if total else 0.0,
-        "energy_primary": mean(band(1000, 3000)),
-        "energy_wide": mean(band(300, 5000)),
-        "energy_low": mean(band(200, 500)),
-        "contrast": float((bands.max() - bands.min()) / (bands.max() + bands.min())) if bands.max() > 0 else 0.0,
-        "ratio": float(band(1000, 3000).sum() / total) if total else 0.0,
-        "mfcc": mfcc,
-        "mfcc_variance": float(np.var(mfcc)),
-    }
+        power[:, 0] = 2 * np.hypot(found[:, 0], found[:, half])
+
+    def band(low: float, high: float) -> np.ndarray:
+        return power[:, min(half, int(low * n / rate)) : min(half, int(high * n / rate))]
+
+    mean = lambda p: p.mean(axis=1) if p.shape[1] else np.zeros(rows)
+    main, wide, low = band(1000, 3000), band(300, 5000), band(200, 500)
+    total = power.sum(axis=1)
+    some = np.where(total > 0, total, 1.0)
+    place = lambda p, start: np.where(p.max(axis=1, initial=0) > 0, (p.argmax(axis=1) if p.shape[1] else 0) + min(half, int(start * n / rate)), 0)
+    dominant = np.where(main.max(axis=1, initial=0) > 0, place(main, 1000), place(wide, 300))
+    hz = np.arange(half) * rate / n
+    reached = np.cumsum(power, axis=1) >= 0.85 * total[:, None]
+    logs = np.log(np.maximum(power @ mel_filters(half, rate).T, 1e-10))
+    m = logs.shape[1]
+    mfcc = logs @ np.cos(np.pi * np.outer(np.arange(m) + 0.5, np.arange(13)) / m)
+    return pd.DataFrame(
+        {
+            "dominant": dominant * rate / n,
+            "centroid": (power @ hz) / some,
+            "rolloff": np.where(reached.any(axis=1), hz[reached.argmax(axis=1)], 0.0),
+            "energy_primary": mean(main),
+            "energy_wide": mean(wide),
+            "energy_low": mean(low),
+            "contrast": np.maximum(0.0, mean(main) - mean(low)),
+            "flux": np.sqrt((np.diff(power, axis=1) ** 2).sum(axis=1)) / half,
+            "ratio": main.sum(axis=1) / some,
+            "mfcc": list(mfcc),
+            "mfcc_variance": mfcc.var(axis=1),
+        }
+    )
 
 
 def spectrum(rate: float, strict: bool = True):
-    """An Arrow-batched function of a sample array to its spectral features (``SPECTRUM``); fewer than 256 samples give zeros."""
+    """An Arrow-batched function of a sample array to its spectral features (``SPECTRUM``); fewer than 256 samples, or null, give zeros.
+
+    Samples of equal length are transformed together.
+    """
 
     @F.pandas_udf(SPECTRUM)
     def run(samples: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([_spectrum(np.asarray(x if x is not None else [], dtype=float), rate, strict) for x in samples])
+        arrays = [np.asarray(x if x is not None else [], dtype=float)[:MOST_SAMPLES] for x in samples]
+        lengths = np.array([len(x) for x in arrays], dtype=int)
+        parts = []
+        for length in np.unique(lengths):
+            at = np.flatnonzero(lengths == length)
+            part = spectra(np.stack([arrays[i] for i in at]), rate, strict)
+            parts.append(part.set_axis(at, axis=0))
+        return pd.concat(parts).sort_index() if parts else spectra(np.zeros((0, 0)), rate, strict).reindex(columns=[c.split(":")[0] for c in SPECTRUM[7:-1].split(",")])
 
     return run
 
 
+def feature_vector(spectrum: Column, attack: Column, duration: Column, crest_factor: Column) -> Column:
+    """The 23 numbers that a classifier reads: 13 coefficients, then centroid, rolloff, contrast, flux, zero crossings (0), ratio, dominant, attack, duration, crest."""
+    rest = [spectrum[c] for c in ("centroid", "rolloff", "contrast", "flux")] + [F.lit(0.0)] + [spectrum[c] for c in ("ratio", "dominant")] + [attack, duration, crest_factor]
+    return F.concat(spectrum["mfcc"], F.array(*(x.cast("double") for x in rest)))
+
+
 def band_power(rate: float, low: float = 500.0, high: float = 4000.0):
     """An Arrow-batched function of a sample array: root mean square magnitude of its Hann spectrum in a band, by 100, 1 at most."""
 

@@ -92,21 +92,65 @@ def progress_updates(rows: DataFrame, keys: tuple[str, ...] = KEYS, seconds: flo
     return found.select(*keys, F.explode("result").alias("seq"))
 
 
-def buffered_windows(rows: DataFrame, keys: tuple[str, ...] = KEYS, trigger: int = 20, most: int = 40, least_sum: float = 8.0) -> DataFrame:
-    """Count windows: with ``trigger`` or more rows buffered, a window is emitted and the buffer cleared if its intensities sum to ``least_sum``; over ``most`` rows the first ``trigger`` go."""
+def closed_run(level: float = 0.4, least: float = 3.0) -> Callable[[Column], Column]:
+    """Of buffered rows (t, v): the first run over ``level`` that lasts ``least`` or more and that a lower row ends, as (start, end); null without one."""
+
+    def find(buf: Column) -> Column:
+        def step(acc, x):
+            on = x["v"] > level
+            ends = ~on & (F.round(acc["last"] - acc["first"], 9) >= least)
+            return F.struct(
+                F.when(on, F.coalesce(acc["first"], x["t"])).alias("first"),
+                F.when(on, x["t"]).alias("last"),
+                F.coalesce(acc["found"], F.when(ends, F.struct(acc["first"].alias("start"), acc["last"].alias("end")))).alias("found"),
+            )
+
+        none = F.lit(None).cast("double")
+        zero = F.struct(none.alias("first"), none.alias("last"), F.lit(None).cast("struct<start:double,end:double>").alias("found"))
+        return F.aggregate(buf, zero, step, lambda acc: acc["found"])
+
+    return find
+
+
+def buffered_windows(rows: DataFrame, keys: tuple[str, ...] = KEYS, trigger: int = 20, most: int = 40, find: Callable[[Column], Column] | None = None) -> DataFrame:
+    """Count windows (keys, start, end, n): with ``trigger`` or more rows buffered, ``find`` looks for a run among them.
+
+    If it finds one, the run is emitted with the number of rows buffered, and the buffer is cleared;
+    else, over ``most`` rows, the first ``trigger`` go. ``find`` is ``closed_run()`` by default.
+    """
+    find = find or closed_run()
 
     def step(acc, x):
         buf = F.concat(acc["buf"], F.array(F.struct(x["t"].alias("t"), x["intensity"].alias("v"))))
-        total = F.aggregate(buf, F.lit(0.0), lambda a, b: a + b["v"])
-        emits = (F.size(buf) >= trigger) & (total >= least_sum)
-        window = F.struct(buf[0]["t"].alias("start"), F.element_at(buf, -1)["t"].alias("end"), F.size(buf).alias("n"))
+        found = F.when(F.size(buf) >= trigger, find(buf))
+        window = F.struct(found["start"].alias("start"), found["end"].alias("end"), F.size(buf).alias("n"))
         left = F.when(F.size(buf) > most, F.slice(buf, trigger + 1, F.size(buf))).otherwise(buf)
-        return F.struct(F.when(emits, F.slice(buf, 1, 0)).otherwise(left).alias("buf"), F.when(emits, F.concat(acc["out"], F.array(window))).otherwise(acc["out"]).alias("out"))
+        return F.struct(F.when(found.isNotNull(), F.slice(buf, 1, 0)).otherwise(left).alias("buf"), F.when(found.isNotNull(), F.concat(acc["out"], F.array(window))).otherwise(acc["out"]).alias("out"))
 
     state = "struct<buf:array<struct<t:double,v:double>>,out:array<struct<start:double,end:double,n:int>>>"
     return fold(rows, keys, ("t", "seq"), ("intensity",), state, step, lambda acc: acc["out"]).select(*keys, F.inline("result"))
 
 
+def merge_clusters(clusters: DataFrame, gap: float = 2.0, small: int = 3, keys: tuple[str, ...] = ("video_id",)) -> DataFrame:
+    """Clusters (keys, first, last, hits) less than ``gap`` apart become one where either has fewer than ``small`` hits, in a chain.
+
+    The hits of what is merged so far count, so a chain of small clusters stops growing once it is
+    large and meets another large one.
+    """
+    r = "struct<first:double,last:double,hits:bigint>"
+
+    def step(acc, x):
+        cur, out = acc["cur"], acc["out"]
+        own = F.struct(x["first"].alias("first"), x["last"].alias("last"), x["hits"].cast("bigint").alias("hits"))
+        joins = (F.round(x["first"] - cur["last"], 9) < gap) & ((cur["hits"] < small) | (x["hits"] < small))
+        merged = F.struct(cur["first"].alias("first"), x["last"].alias("last"), (cur["hits"] + x["hits"]).cast("bigint").alias("hits"))
+        fresh = F.coalesce(~joins, F.lit(True))
+        return F.struct(F.when(fresh, own).otherwise(merged).alias("cur"), F.when(fresh & cur.isNotNull(), F.concat(out, F.array(cur))).otherwise(out).alias("out"))
+
+    found = fold(clusters, keys, ("first", "last"), ("hits",), f"struct<cur:{r},out:array<{r}>>", step, lambda acc: F.when(acc["cur"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(acc["cur"]))))
+    return found.select(*keys, F.inline("result"))
+
+
 def exact_sessions(peaks: DataFrame, stats: DataFrame, key: str = "video_id", keys: tuple[str, ...] = KEYS) -> DataFrame:
     """Clusters with the clause for clusters of four or more: (keys, seq, cluster), clusters counted from 0.
 

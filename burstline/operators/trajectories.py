@@ -60,7 +60,8 @@ def smoothness(points: Column) -> Column:
 
 
 def trajectory_confidence(n: Column, expected: float, smooth: Column, velocity: Column) -> Column:
-    moves = F.when(velocity < 0.05, 0.3).when(velocity > 2.0, 0.7).otherwise(1.0)
+    """0.3 for length, 0.3 for smoothness, 0.2 for a likely speed (neither still nor too fast), 0.16 for being found at all."""
+    moves = F.when(velocity < 0.01, 0.3).when(velocity > 0.5, 0.7).otherwise(1.0)
     return 0.3 * F.least(n / expected, F.lit(1.0)) + 0.3 * smooth + 0.2 * moves + 0.16
 
 
@@ -68,17 +69,20 @@ def joint_movement(joints: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     """Rows (t, joint, x, y) to one row per frame: mean displacement of its joints (of 0.3, 1 at most), largest
     wrist speed, displacement of the root or else the neck, and the weighted movement, squashed.
 
-    Each joint is compared with itself one frame before; frames without any are left out.
+    Each joint is compared with itself in the frame just before, so a joint that this frame lacks has
+    not moved; frames without any such joint are left out. Joints without a weight don't count for
+    the weighted movement, which is 0 without others.
     """
     order = Window.partitionBy(*keys, "joint").orderBy("t")
-    moved = joints.withColumns({"step": speed(F.col("x") - F.lag("x").over(order), F.col("y") - F.lag("y").over(order)), "dt": F.col("t") - F.lag("t").over(order)})
-    moved = moved.where("step IS NOT NULL AND dt > 0")
+    moved = joints.withColumn("frame", F.dense_rank().over(Window.partitionBy(*keys).orderBy("t")))
+    moved = moved.withColumns({"step": speed(F.col("x") - F.lag("x").over(order), F.col("y") - F.lag("y").over(order)), "dt": F.col("t") - F.lag("t").over(order), "apart": F.col("frame") - F.lag("frame").over(order)})
+    moved = moved.where("step IS NOT NULL AND apart = 1 AND dt > 0")
     kind = F.regexp_extract("joint", "(wrist|elbow|shoulder|neck|root)$", 1)
-    weight = F.coalesce(*(F.when(kind == name, F.lit(w)) for name, w in JOINT_WEIGHTS.items()), F.lit(0.0))
+    weight = F.coalesce(*(F.when(kind == name, F.lit(w)) for name, w in JOINT_WEIGHTS.items()))
     out = moved.withColumns({"kind": kind, "weight": weight}).groupBy(*keys, "t").agg(
         F.least(F.avg("step") / 0.3, F.lit(1.0)).alias("movement"),
         F.coalesce(F.max(F.when(F.col("kind") == "wrist", F.col("step") / F.col("dt"))), F.lit(0.0)).alias("wrist_velocity"),
         F.coalesce(F.max(F.when(F.col("kind") == "root", F.col("step"))), F.max(F.when(F.col("kind") == "neck", F.col("step"))), F.lit(0.0)).alias("displacement"),
-        (F.sum(F.col("weight") * F.col("step")) / F.count("*") / F.first("dt")).alias("weighted"),
+        (F.sum(F.col("weight") * F.col("step")) / F.count("weight") / F.first("dt")).alias("weighted"),
     )
-    return out.withColumn("weighted", 1 / (1 + F.exp(-5 * F.col("weighted"))))
+    return out.withColumn("weighted", F.coalesce(1 / (1 + F.exp(-5 * F.col("weighted"))), F.lit(0.0)))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from burstline.operators import detection as D
 from burstline.operators import folds
-from burstline.plans.detection import STATS, peaks, scored
+from burstline.plans.detection import GAPS, SCORED, STATS, peaks, scored
 from burstline.sources.tables import SIGNAL_SQL, signal
 
 
@@ -28,7 +28,7 @@ def progress_throttle(spark, sf_dir):
 
 
 def count_window_buffer(spark, sf_dir):
-    rows = folds.buffered_windows(signal(spark, sf_dir), trigger=6, most=12, least_sum=4.5)
+    rows = folds.buffered_windows(signal(spark, sf_dir), trigger=6, most=12)
     return rows.select("video_id", "segment", "n", F.round("start", 6).alias("start"), F.round("end", 6).alias("end"))
 
 
@@ -42,6 +42,22 @@ def rally_merge_adjacent(spark, sf_dir):
     return rows.select("video_id", "hits", *(F.round(c, 6).alias(c) for c in ("start", "end", "mean_intensity")))
 
 
+def cluster_merge_adjacent(spark, sf_dir):
+    """Clusters split at gaps over 1, merged again where either is small."""
+    rows = D.sessions(D.with_gaps(peaks(spark, sf_dir)), F.col("gap") > 1.0)
+    clusters = rows.groupBy("video_id", "cluster").agg(F.min("t").alias("first"), F.max("t").alias("last"), F.count("*").alias("hits"))
+    return folds.merge_clusters(clusters).select("video_id", "hits", F.round("first", 6).alias("first"), F.round("last", 6).alias("last"))
+
+
+def rally_padding(spark, sf_dir):
+    """Rallies of the machine padded by 1 either way, the start 0 at least; the hits are those of the rally itself."""
+    frames = signal(spark, sf_dir).withColumn("active", F.col("intensity") >= 0.4)
+    rallies = folds.hit_states(frames).select("video_id", "segment", F.explode("rallies").alias("r")).select("video_id", "segment", "r.start", "r.end")
+    inside = frames.select("video_id", "segment", "t", "intensity").join(rallies, ["video_id", "segment"]).where((F.col("t") >= F.col("start")) & (F.col("t") <= F.col("end")))
+    found = inside.groupBy("video_id", "segment", "start", "end").agg(F.count("*").alias("frames"), F.avg("intensity").alias("intensity"))
+    return found.select("video_id", "segment", "frames", F.round("intensity", 6).alias("intensity"), F.round(F.greatest(F.lit(0.0), F.col("start") - 1.0), 6).alias("start"), F.round(F.col("end") + 1.0, 6).alias("end"))
+
+
 def hit_state_machine(spark, sf_dir):
     frames = signal(spark, sf_dir).withColumn("active", F.col("intensity") >= 0.4)
     rows = folds.hit_states(frames)
@@ -60,6 +76,9 @@ def _walk(table: str, columns: str, start: str, advance: str, result: str) -> st
         ) {result}"""
 
 
+_JOINS = '(n."start" - w.e < 2.0::DOUBLE AND (w.e - w.s < 5.0::DOUBLE OR n."end" - n."start" < 5.0::DOUBLE))'
+_NEAR = "(round(n.first - w.l, 9) < 2.0 AND (w.h < 3 OR n.hits < 3))"
+
 QUERIES = {
     "debounce": (
         debounce,
@@ -91,7 +110,18 @@ QUERIES = {
                 CASE WHEN n.t - w.anchor >= 4.0 OR (n.t - n.segment * 120) / 120 - w.p >= 0.05::DOUBLE THEN n.t ELSE w.anchor END, CASE WHEN n.t - w.anchor >= 4.0 OR (n.t - n.segment * 120) / 120 - w.p >= 0.05::DOUBLE THEN (n.t - n.segment * 120) / 120 ELSE w.p END""",
                 "SELECT video_id, segment, seq FROM w WHERE t = anchor"),
     ),
-    "count_window_buffer": (count_window_buffer, None),
+    "count_window_buffer": (
+        count_window_buffer,
+        f"""WITH RECURSIVE {SIGNAL_SQL}, n AS (SELECT *, row_number() OVER (PARTITION BY video_id, segment ORDER BY t, seq) AS rn FROM signal),
+        w AS (
+            SELECT video_id, segment, CAST(0 AS BIGINT) AS rn, CAST([] AS DOUBLE[]) AS ts, CAST([] AS DOUBLE[]) AS vs, CAST(NULL AS DOUBLE) AS s, CAST(NULL AS DOUBLE) AS e, CAST(NULL AS BIGINT) AS n FROM n WHERE rn = 1
+            UNION ALL
+            SELECT video_id, segment, rn, CASE WHEN r IS NOT NULL THEN [] WHEN len(ts) > 12 THEN ts[7:] ELSE ts END, CASE WHEN r IS NOT NULL THEN [] WHEN len(ts) > 12 THEN vs[7:] ELSE vs END, r[1], r[2], CASE WHEN r IS NOT NULL THEN len(ts) END
+            FROM (SELECT *, CASE WHEN len(ts) >= 6 THEN [x FOR x IN runs IF x[2] IS NOT NULL AND round(x[2] - x[1], 9) >= 3.0][1] END AS r
+                FROM (SELECT *, [[ts[i], ts[list_min([j FOR j IN range(i, len(ts) + 1) IF vs[j] <= 0.4::DOUBLE]) - 1]] FOR i IN range(1, len(ts) + 1) IF vs[i] > 0.4::DOUBLE AND (i = 1 OR vs[i - 1] <= 0.4::DOUBLE)] AS runs
+                    FROM (SELECT n.video_id, n.segment, n.rn, list_append(w.ts, n.t) AS ts, list_append(w.vs, n.intensity) AS vs FROM w JOIN n ON n.video_id = w.video_id AND n.segment = w.segment AND n.rn = w.rn + 1)))
+        ) SELECT video_id, segment, CAST(n AS INTEGER) AS n, round(s, 6) AS "start", round(e, 6) AS "end" FROM w WHERE n IS NOT NULL""",
+    ),
     "exact_dynamic_sessions": (
         exact_dynamic_sessions,
         f"WITH RECURSIVE {STATS}, s AS (SELECT p.*, boundary AS b, max_interval AS m, coalesce(p90, 5.0) AS q FROM peaks AS p JOIN stats USING (video_id)), "
@@ -100,7 +130,28 @@ QUERIES = {
                 CASE WHEN n.t - w.t <= 10 AND (n.t - w.t < 0.3::DOUBLE OR (n.t - w.t <= n.b AND (n.t - w.t <= n.m OR (w.size >= 4 AND n.t - w.t <= least(1.15::DOUBLE * n.m, n.q)) OR (w.confidence > 0.7::DOUBLE AND n.confidence > 0.7::DOUBLE AND n.t - w.t <= 1.1::DOUBLE * n.m)))) THEN w.cluster ELSE w.cluster + 1 END""",
                 "SELECT video_id, segment, seq, cluster FROM w"),
     ),
-    "rally_merge_adjacent": (rally_merge_adjacent, None),
+    "rally_merge_adjacent": (
+        rally_merge_adjacent,
+        f"""WITH RECURSIVE {SCORED}, n AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY "start", cluster) AS rn FROM scored),
+        w AS (
+            SELECT video_id, rn, 1 AS grp, "start" AS s, "end" AS e, mean_intensity AS mi, hits FROM n WHERE rn = 1
+            UNION ALL
+            SELECT n.video_id, n.rn, CASE WHEN {_JOINS} THEN w.grp ELSE w.grp + 1 END, CASE WHEN {_JOINS} THEN least(w.s, n."start") ELSE n."start" END, CASE WHEN {_JOINS} THEN greatest(w.e, n."end") ELSE n."end" END,
+                   CASE WHEN {_JOINS} THEN (w.mi + n.mean_intensity) / 2 ELSE n.mean_intensity END, CASE WHEN {_JOINS} THEN w.hits + n.hits ELSE n.hits END
+            FROM w JOIN n ON n.video_id = w.video_id AND n.rn = w.rn + 1
+        ) SELECT video_id, hits, round(s, 6) AS "start", round(e, 6) AS "end", round(mi, 6) AS mean_intensity FROM w QUALIFY row_number() OVER (PARTITION BY video_id, grp ORDER BY rn DESC) = 1""",
+    ),
+    "cluster_merge_adjacent": (
+        cluster_merge_adjacent,
+        f"""WITH RECURSIVE {GAPS}, k AS (SELECT *, sum(CASE WHEN gap > 1.0 THEN 1 ELSE 0 END) OVER (PARTITION BY video_id ORDER BY t, seq ROWS UNBOUNDED PRECEDING) AS cluster FROM gaps),
+        c AS (SELECT video_id, min(t) AS first, max(t) AS last, count(*) AS hits FROM k GROUP BY video_id, cluster), n AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY first, last) AS rn FROM c),
+        w AS (
+            SELECT video_id, rn, 1 AS grp, first AS f, last AS l, hits AS h FROM n WHERE rn = 1
+            UNION ALL
+            SELECT n.video_id, n.rn, CASE WHEN {_NEAR} THEN w.grp ELSE w.grp + 1 END, CASE WHEN {_NEAR} THEN w.f ELSE n.first END, n.last, CASE WHEN {_NEAR} THEN w.h + n.hits ELSE n.hits END
+            FROM w JOIN n ON n.video_id = w.video_id AND n.rn = w.rn + 1
+        ) SELECT video_id, h AS hits, round(f, 6) AS "first", round(l, 6) AS "last" FROM w QUALIFY row_number() OVER (PARTITION BY video_id, grp ORDER BY rn DESC) = 1""",
+    ),
     "hit_state_machine": (
         hit_state_machine,
         f"WITH RECURSIVE {SIGNAL_SQL}, f AS (SELECT *, intensity >= 0.4::DOUBLE AS active FROM signal), "
@@ -116,3 +167,9 @@ QUERIES = {
                 FROM z LEFT JOIN o ON o.video_id = z.video_id AND o.segment = z.segment WHERE back = 1"""),
     ),
 }
+QUERIES["rally_padding"] = (
+    rally_padding,
+    QUERIES["hit_state_machine"][1].rsplit("SELECT z.video_id", 1)[0]
+    + """SELECT o.video_id, o.segment, count(*) AS frames, round(avg(f.intensity), 6) AS intensity, round(greatest(0.0::DOUBLE, os - 1.0), 6) AS "start", round(oe + 1.0, 6) AS "end"
+        FROM o JOIN f ON f.video_id = o.video_id AND f.segment = o.segment AND f.t BETWEEN os AND oe GROUP BY o.video_id, o.segment, os, oe""",
+)

@@ -9,7 +9,7 @@ from burstline.functions import signal as S
 from burstline.operators import detection as D
 from burstline.operators import models as M
 from burstline.operators import trajectories as J
-from burstline.plans.detection import GAPS, peaks
+from burstline.plans.detection import GAPS, STATS, peaks
 from burstline.sources.tables import SIGNAL_SQL, read, signal
 
 RATE = 1000.0
@@ -69,7 +69,24 @@ def spectral_features(spark, sf_dir):
     """Spectra of 256 samples made of each vector, four times over."""
     rows = _samples(spark, sf_dir).select("vec_id", F.concat("x", "x", "x", "x").alias("x"))
     rows = rows.select("vec_id", S.spectrum(16000.0)(F.col("x")).alias("s"), S.band_power(16000.0)(F.col("x")).alias("p"))
-    return rows.select("vec_id", *(F.round(f"s.{c}", 4).alias(c) for c in ("dominant", "centroid", "rolloff", "contrast", "ratio", "mfcc_variance")), F.round("p", 5).alias("band_power"))
+    return rows.select("vec_id", *(F.round(f"s.{c}", 4).alias(c) for c in ("dominant", "centroid", "rolloff", "contrast", "flux", "ratio", "mfcc_variance")), F.round("p", 5).alias("band_power"))
+
+
+def gated_spectrum(spark, sf_dir):
+    """Spectra of loud samples alone: the cheap gate comes before the Python function in the plan."""
+    rows = _samples(spark, sf_dir).select("vec_id", F.concat("x", "x", "x", "x").alias("x")).where(S.peak(F.col("x")) > 0.35)
+    return rows.select("vec_id", S.spectrum(16000.0)(F.col("x")).alias("s")).select("vec_id", F.round("s.dominant", 4).alias("dominant"), F.round("s.flux", 4).alias("flux"))
+
+
+def _features(spark, sf_dir):
+    x = F.col("x")
+    rows = _samples(spark, sf_dir).select("vec_id", S.spectrum(16000.0)(F.concat(x, x, x, x)).alias("s"), S.attack_time(x, 16000.0).alias("attack"), S.event_duration(x, 16000.0).alias("duration"), S.crest(S.peak(x), S.rms(x)).alias("crest"))
+    return rows.select("vec_id", S.feature_vector(F.col("s"), F.col("attack"), F.col("duration"), F.col("crest")).alias("x"))
+
+
+def feature_assembly(spark, sf_dir):
+    rows = _features(spark, sf_dir)
+    return rows.select("vec_id", F.size("x").cast("long").alias("dimensions"), *(F.round(F.element_at("x", i), 4).alias(name) for name, i in (("centroid", 14), ("flux", 17), ("zero_crossings", 18), ("crest", 23))))
 
 
 def _points(spark, sf_dir):
@@ -117,8 +134,15 @@ def change_point_posterior(spark, sf_dir):
     return found.select("video_id", "segment", "seq", F.round("probability", 6).alias("probability"), "is_change")
 
 
+def change_point_weighted(spark, sf_dir):
+    """As ``change_point_posterior``, with a change weighed by the likelihood of a gap between runs."""
+    rows = peaks(spark, sf_dir)
+    found = M.change_points(D.with_gaps(rows), D.interval_statistics(rows), strict=False)
+    return found.select("video_id", "segment", "seq", F.round("probability", 6).alias("probability"), "run_length", "is_change")
+
+
 def gmm_classify(spark, sf_dir):
-    rows = _samples(spark, sf_dir).select("vec_id", F.slice("x", 1, 23).alias("x"))
+    rows = _features(spark, sf_dir).persist()  # each step of the fit reads them
     mixture = M.fit_mixture(rows, "x", "vec_id", k=3, steps=12)
     return M.classify(rows, mixture, "x").select("vec_id", "class", F.round("probability", 4).alias("probability"))
 
@@ -184,14 +208,53 @@ QUERIES = {
         f"""WITH {POINTS}, d AS (SELECT *, sqrt((x - lag(x) OVER w) * (x - lag(x) OVER w) + (y - lag(y) OVER w) * (y - lag(y) OVER w)) AS step, t - lag(t) OVER w AS dt FROM points WINDOW w AS (PARTITION BY video_id, segment ORDER BY t, seq))
         SELECT video_id, segment, count(*) AS n, round(avg(confidence), 5) AS confidence, round(coalesce(max(CASE WHEN dt > 0 THEN step / dt END), 0), 5) AS max_speed, round(coalesce(avg(CASE WHEN dt > 0 THEN step / dt END), 0), 5) AS mean_speed, round(coalesce(sum(step), 0), 5) AS length FROM d GROUP BY ALL""",
     ),
-    "trajectory_shape": (trajectory_shape, None),
+    "trajectory_shape": (
+        trajectory_shape,
+        f"""WITH {POINTS}, r AS (SELECT *, row_number() OVER (PARTITION BY video_id, segment ORDER BY t DESC, seq DESC) AS r FROM points),
+        l AS (SELECT video_id, segment, list(x ORDER BY t, seq) AS x, list(y ORDER BY t, seq) AS y FROM r WHERE r <= 8 GROUP BY ALL),
+        d AS (SELECT *, len(x) AS n, least(len(x), 5) AS m, [x[i + 1] - x[i] FOR i IN range(1, len(x))] AS dx, [y[i + 1] - y[i] FOR i IN range(1, len(x))] AS dy FROM l),
+        k AS (SELECT *, [CASE WHEN sqrt(dx[i] * dx[i] + dy[i] * dy[i]) * sqrt(dx[i + 1] * dx[i + 1] + dy[i + 1] * dy[i + 1]) > 0
+                THEN acos(greatest(-1.0::DOUBLE, least(1.0::DOUBLE, (dx[i] * dx[i + 1] + dy[i] * dy[i + 1]) / (sqrt(dx[i] * dx[i] + dy[i] * dy[i]) * sqrt(dx[i + 1] * dx[i + 1] + dy[i + 1] * dy[i + 1]))))) ELSE 0.0::DOUBLE END FOR i IN range(1, len(dx))] AS turns FROM d),
+        v AS (SELECT video_id, segment, n, CASE WHEN n < 3 THEN 1.0::DOUBLE ELSE greatest(0.0::DOUBLE, 1 - list_avg(turns) / (pi() / 6)) END AS smooth,
+                CASE WHEN m >= 2 THEN sqrt(((x[n] - x[n - m + 1]) / (m * 0.1::DOUBLE)) ** 2 + ((y[n] - y[n - m + 1]) / (m * 0.1::DOUBLE)) ** 2) ELSE 0.0::DOUBLE END AS velocity FROM k)
+        SELECT video_id, segment, round(smooth, 5) AS smooth, round(velocity, 5) AS velocity,
+               round(0.3::DOUBLE * least(n / 8.0::DOUBLE, 1.0::DOUBLE) + 0.3::DOUBLE * smooth + 0.2::DOUBLE * CASE WHEN velocity < 0.01::DOUBLE THEN 0.3::DOUBLE WHEN velocity > 0.5::DOUBLE THEN 0.7::DOUBLE ELSE 1.0::DOUBLE END + 0.16::DOUBLE, 5) AS confidence FROM v""",
+    ),
     "primary_argmax": (
         primary_argmax,
         f"""WITH {POINTS}, f AS (SELECT *, CAST(floor(t / 8) AS BIGINT) AS frame, round(0.7::DOUBLE * sqrt(x * x + y * y) + 0.3::DOUBLE * confidence, 9) AS w FROM points), r AS (SELECT *, row_number() OVER (PARTITION BY video_id, frame ORDER BY seq) AS r FROM f),
         k AS (SELECT *, count(*) OVER (PARTITION BY video_id, frame) AS n FROM r WHERE r <= 3)
         SELECT video_id, frame, seq, n, round(w, 6) AS weight FROM k QUALIFY row_number() OVER (PARTITION BY video_id, frame ORDER BY w DESC, r) = 1""",
     ),
-    "joint_movement": (joint_movement, None),
+    "joint_movement": (
+        joint_movement,
+        f"""WITH {POINTS}, j AS (SELECT video_id, floor(t / 8) * 8.0::DOUBLE AS f, CASE event_type WHEN 'click' THEN 'left_wrist' WHEN 'error' THEN 'right_wrist' WHEN 'purchase' THEN 'neck' WHEN 'signup' THEN 'root' WHEN 'view' THEN 'left_elbow' END AS joint, x, y
+            FROM points QUALIFY row_number() OVER (PARTITION BY video_id, floor(t / 8), event_type ORDER BY t DESC, seq DESC) = 1),
+        k AS (SELECT *, dense_rank() OVER (PARTITION BY video_id ORDER BY f) AS frame FROM j),
+        m AS (SELECT *, sqrt((x - lag(x) OVER o) ** 2 + (y - lag(y) OVER o) ** 2) AS step, f - lag(f) OVER o AS dt, frame - lag(frame) OVER o AS apart FROM k WINDOW o AS (PARTITION BY video_id, joint ORDER BY f)),
+        w AS (SELECT *, CASE WHEN joint LIKE '%wrist' THEN 2.0::DOUBLE WHEN joint LIKE '%elbow' THEN 1.5::DOUBLE WHEN joint = 'neck' THEN 0.8::DOUBLE WHEN joint = 'root' THEN 0.5::DOUBLE END AS weight FROM m WHERE apart = 1)
+        SELECT video_id, f AS t, round(least(avg(step) / 0.3::DOUBLE, 1.0::DOUBLE), 5) AS movement, round(coalesce(max(step / dt) FILTER (joint LIKE '%wrist'), 0.0::DOUBLE), 5) AS wrist_velocity,
+               round(coalesce(max(step) FILTER (joint = 'root'), max(step) FILTER (joint = 'neck'), 0.0::DOUBLE), 5) AS displacement, round(1 / (1 + exp(-5 * (sum(weight * step) / count(weight) / max(dt)))), 5) AS weighted
+        FROM w GROUP BY video_id, f""",
+    ),
+    "gated_spectrum": (gated_spectrum, None),
+    "feature_assembly": (feature_assembly, None),
+    "change_point_weighted": (
+        change_point_weighted,
+        f"""WITH RECURSIVE {STATS}, c AS (SELECT video_id, segment, seq, gap, row_number() OVER (PARTITION BY video_id, segment ORDER BY t, seq) AS rn,
+                greatest(0.4::DOUBLE, least(mean, p75, 3.0::DOUBLE)) AS wm, greatest(0.3::DOUBLE, least(0.8::DOUBLE * sd, 1.5::DOUBLE)) AS ws,
+                greatest(8.0::DOUBLE, least(20.0::DOUBLE, (p90 + p95) / 2)) AS bm, greatest(2.0::DOUBLE, least(5.0::DOUBLE, 1.5::DOUBLE * sd)) AS bs
+            FROM gaps JOIN stats USING (video_id) WHERE gap IS NOT NULL),
+        g AS (SELECT *, exp(-(gap - wm) * (gap - wm) / (2 * ws * ws)) / (ws * sqrt(2 * pi())) AS inside, exp(-(gap - bm) * (gap - bm) / (2 * bs * bs)) / (bs * sqrt(2 * pi())) AS outside FROM c),
+        p AS (
+            SELECT DISTINCT video_id, segment, CAST(0 AS BIGINT) AS rn, CAST(NULL AS BIGINT) AS seq, [1.0::DOUBLE] AS p FROM g
+            UNION ALL
+            SELECT video_id, segment, rn, seq, CASE WHEN list_sum(q) > 0 THEN [v / list_sum(q) FOR v IN q] ELSE [0.0::DOUBLE FOR v IN q] END
+            FROM (SELECT g.video_id, g.segment, g.rn, g.seq, list_prepend(0.05::DOUBLE * outside * list_sum(p.p), [p.p[i] * (CASE WHEN i = 1 THEN outside WHEN i < 4 THEN 0.6::DOUBLE * inside + 0.4::DOUBLE * outside ELSE inside END) * 0.95::DOUBLE FOR i IN range(1, len(p.p) + 1)]) AS q
+                FROM p JOIN g ON g.video_id = p.video_id AND g.segment = p.segment AND g.rn = p.rn + 1)
+        ), o AS (SELECT video_id, segment, seq, p[1] AS probability, CAST(round(list_sum([(i - 1) * p[i] FOR i IN range(1, len(p) + 1)])) AS BIGINT) AS run_length FROM p WHERE rn > 0)
+        SELECT video_id, segment, seq, round(probability, 6) AS probability, run_length, probability >= 0.55::DOUBLE AND run_length >= 3 AS is_change FROM o""",
+    ),
     "change_point_posterior": (change_point_posterior, f"WITH {GAPS} SELECT video_id, segment, seq, 0.05::DOUBLE AS probability, false AS is_change FROM gaps WHERE gap IS NOT NULL"),
     "gmm_classify": (gmm_classify, None),
     "training_pools": (
