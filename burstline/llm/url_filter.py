@@ -7,12 +7,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from burstline.llm.tables import written
+from burstline.llm.tables import join_small, written
 
 #: Words in host names by which URLs of the training sample are labelled as unwanted. Fixed values.
 UNWANTED_WORDS = ("spam", "pills", "casino", "bets", "ads", "porn", "viagra", "lottery", "phish", "malware", "crack", "warez", "xxx", "payday", "replica")
 #: The bounded training sample, rows by a hash of the URL.
 SAMPLE_ROWS = 20_000
+#: URLs of the usual rate that each suffix is given beside its own.
+PRIOR = 5
 TREES = 12
 DEPTH = 4
 FEATURES = ("length", "host_length", "path_length", "depth", "labels", "digit_share", "host_digit_share", "hyphens", "entropy", "parameters", "query_length", "fragment_length", "secure", "longest_label", "vowel_share", "suffix_rate")
@@ -63,15 +65,16 @@ def _suffix(host: Column) -> Column:
     return F.substring_index(host, ".", -2)
 
 
-def with_features(rows: DataFrame, suffix_rates: dict[str, float], usual_rate: float) -> DataFrame:
+def with_features(rows: DataFrame, suffix_rates: DataFrame, usual_rate: float) -> DataFrame:
+    """``rows`` with a column for each of ``FEATURES``; suffixes without a rate have the usual one."""
+    named = rows.withColumn("__suffix", _suffix(F.col("host")))
+    known = suffix_rates.select(F.col("suffix").alias("__suffix"), F.col("rate").alias("__rate"))
+    rows = join_small(named, known, "__suffix", "left").drop("__suffix")
     host, path, query = F.col("host"), F.col("path"), F.col("query")
     n = lambda c: F.length(c).cast("double")
     count = lambda text, pattern: F.length(F.regexp_replace(text, pattern, "")).cast("double")
     share = lambda text, drop: F.when(F.length(text) > 0, count(text, drop) / F.length(text)).otherwise(0.0)
     url = F.concat(host, path, query)
-    rate = F.lit(usual_rate)
-    for suffix, value in suffix_rates.items():
-        rate = F.when(_suffix(host) == suffix, value).otherwise(rate)
     features = {
         "length": n(url),
         "host_length": n(host),
@@ -88,9 +91,9 @@ def with_features(rows: DataFrame, suffix_rates: dict[str, float], usual_rate: f
         "secure": F.coalesce(F.col("url").startswith("https"), F.lit(False)).cast("double"),
         "longest_label": F.coalesce(F.array_max(F.transform(F.split(host, "[.]"), lambda x: F.length(x))), F.lit(0)).cast("double"),
         "vowel_share": share(host, "[^aeiou]"),
-        "suffix_rate": rate,
+        "suffix_rate": F.coalesce("__rate", F.lit(usual_rate)),
     }
-    return rows.withColumns({f"f_{name}": value for name, value in features.items()})
+    return rows.withColumns({f"f_{name}": value for name, value in features.items()}).drop("__rate")
 
 
 def labelled(rows: DataFrame) -> DataFrame:
@@ -100,9 +103,9 @@ def labelled(rows: DataFrame) -> DataFrame:
 
 
 class UrlModel:
-    """The fitted trees, with the block rate of each frequent suffix (its last two labels)."""
+    """The fitted trees, with the block rate of each suffix (its last two labels)."""
 
-    def __init__(self, trees, suffix_rates: dict[str, float], usual_rate: float):
+    def __init__(self, trees, suffix_rates: DataFrame, usual_rate: float):
         self.trees, self.suffix_rates, self.usual_rate = trees, suffix_rates, usual_rate
 
     def score(self, rows: DataFrame) -> DataFrame:
@@ -117,26 +120,30 @@ class UrlModel:
         return scored.select(*rows.columns, vector_to_array("probability")[1].alias("p_block"))
 
 
-def train(labels: DataFrame, most_rows: int = SAMPLE_ROWS, trees: int = TREES, depth: int = DEPTH, suffixes: int = 20) -> UrlModel:
-    """Boosted trees from rows with url, its parts and ``label`` (0 or 1): a sample of ``most_rows`` by hash of the URL.
+def train(labels: DataFrame, most_rows: int = SAMPLE_ROWS, trees: int = TREES, depth: int = DEPTH) -> UrlModel:
+    """Boosted trees from rows with url, its parts and ``label`` (0 or 1): a sample of ``most_rows`` different URLs, by hash.
 
-    Suffix statistics are the block rates, in the sample, of its ``suffixes`` most frequent ones.
-    A sample with one kind of label alone gives a model that answers its rate.
+    Suffix statistics are block rates over all different labelled URLs, drawn to the usual rate by
+    ``PRIOR`` URLs, so that a rare suffix has no extreme one. Repeated URLs count once, with the larger
+    label; null URLs are left out. A sample with one kind of label alone gives a model that answers
+    its rate.
     """
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.feature import VectorAssembler
 
-    sample = labels.select("url", "host", "path", "query", "fragment", "label").orderBy(F.xxhash64("url"), "url").limit(most_rows)
-    sample = written(sample, "urls")
-    rates = sample.groupBy(_suffix(F.col("host")).alias("suffix")).agg(F.count("*").alias("n"), F.avg("label").alias("rate")).orderBy(F.desc("n"), "suffix").limit(suffixes).collect()
-    usual = sample.agg(F.avg("label")).first()[0] or 0.0
-    suffix_rates = {r["suffix"]: r["rate"] for r in rates}
-    if usual in (0.0, 1.0):
-        return UrlModel(None, suffix_rates, usual)
-    featured = with_features(sample, suffix_rates, usual)
+    names = ("url", "host", "path", "query", "fragment")
+    different = written(labels.where("url IS NOT NULL").groupBy(*names).agg(F.max("label").alias("label")), "labels")
+    usual = different.agg(F.avg("label")).first()[0] or 0.0
+    rates = different.groupBy(_suffix(F.col("host")).alias("suffix")).agg(((F.sum("label") + PRIOR * usual) / (F.count("*") + PRIOR)).alias("rate"))
+    rates = written(rates, "suffixes")
+    sample = written(different.orderBy(F.xxhash64("url"), "url").limit(most_rows), "urls")
+    kinds = [r[0] for r in sample.select("label").distinct().collect()]
+    if len(kinds) < 2:
+        return UrlModel(None, rates, kinds[0] if kinds else 0.0)
+    featured = with_features(sample, rates, usual)
     rows = VectorAssembler(inputCols=[f"f_{c}" for c in FEATURES], outputCol="features").transform(featured).select("features", "label")
     fitted = GBTClassifier(maxIter=trees, maxDepth=depth, stepSize=0.3, seed=5, maxMemoryInMB=64).fit(rows.coalesce(4))
-    return UrlModel(fitted, suffix_rates, usual)
+    return UrlModel(fitted, rates, usual)
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str, str]], model: UrlModel | None = None, id_col: str = "page_id", url_col: str = "url", threshold: float = 0.5) -> DataFrame:
