@@ -53,6 +53,8 @@ def _search(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray,
     dim = len(c)
     top = float(np.abs(c).max(initial=0)) * float(np.abs(q).max(initial=0)) * max(dim, 1)
     kind = np.float64 if top < _EXACT else np.int64  # sums of products are exact either way
+    # integers beyond 53 bits are rounded where bounds are compared as floats
+    rounding = 0.0 if top < _EXACT else top * 2.0**-50
     order = np.argsort(-(c.astype(np.float64) ** 2).sum(axis=1), kind="stable")  # heavy dimensions first
     c, q = c[order].astype(kind), q[order].astype(kind)
     # the norm of what lies in dimensions from each one on
@@ -65,7 +67,7 @@ def _search(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray,
         for at in range(DIM_BLOCK, dim, DIM_BLOCK):
             if len(alive) > k:
                 # what the remaining dimensions can add or take away, by Cauchy and Schwarz
-                slack = c_rest[at][alive] * q_rest[at][i] * (1 + 1e-9) + 1
+                slack = c_rest[at][alive] * q_rest[at][i] * (1 + 1e-9) + 1 + rounding
                 kth = len(alive) - k
                 floor = np.partition(part - slack, kth)[kth]
                 keep = part + slack >= floor
