@@ -43,3 +43,18 @@ def preset_by_title(title: Column, words: tuple[str, ...] = ("手机", "现场",
     for word in words:
         found = found | low.contains(word)
     return F.when(found, "mobile").otherwise("default")
+
+
+def display_name(nickname: Column, name: Column) -> Column:
+    """The nickname, or the name where that is empty or null."""
+    return F.coalesce(F.nullif(nickname, F.lit("")), name)
+
+
+def nearly(a: Column, b: Column, tolerance: float = 0.01) -> Column:
+    """Whether two numbers differ by less than ``tolerance``."""
+    return F.abs(a - b) < tolerance
+
+
+def report_line(name: Column, count: Column, share: Column) -> Column:
+    """One line of a fixed-width report: a name, a count and a percentage."""
+    return F.format_string("%-20s %8d %6.1f%%", name, count, 100 * share)

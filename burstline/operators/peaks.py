@@ -46,12 +46,27 @@ def hit_confidence(amplitude: Column, level: Column, concentration: Column, freq
     return F.least(total, one)
 
 
+def confidence_breakdown(amplitude: Column, level: Column, concentration: Column, frequency: Column, ratio_: Column) -> Column:
+    """What a confidence is made of, term by term; the features not told apart count 0.02."""
+    one = F.lit(1.0)
+    pitch = F.when(frequency.between(1000, 3000), 1.0).when(frequency.between(300, 5000), 0.6).otherwise(0.3)
+    return F.struct(
+        (0.33 * F.least(amplitude / 0.6, one)).alias("amplitude"),
+        (0.23 * F.least(amplitude / (level + 0.001) / 4, one)).alias("crest"),
+        (0.14 * concentration).alias("concentration"),
+        (0.14 * pitch).alias("frequency"),
+        (0.14 * F.least(ratio_ / 0.15, one)).alias("high_frequency"),
+        F.lit(0.02).alias("other"),
+    )
+
+
 def adaptive_threshold(mean: Column, sd: Column, base: float) -> Column:
     """The whole signal's threshold: 0.8 deviations over its mean, kept within a fifth of ``base``."""
     return clamp(mean + 0.8 * sd, 0.8 * base, 1.2 * base)
 
 
 def engine_threshold(mean: Column, largest: Column, base: float) -> Column:
+    """``base``, lower for a weak signal (mean under 0.5), higher for a strong one; ``base`` where there are no peaks."""
     low = F.greatest(F.lit(0.8 * base), F.lit(0.4))
     return F.when(mean < 0.5, low).when((mean > 0.7) & (largest > 0.8), F.least(F.lit(1.2 * base), F.lit(0.8))).otherwise(base)
 

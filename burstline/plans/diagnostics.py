@@ -43,6 +43,19 @@ def hit_confidence(spark, sf_dir):
     return rows.select("video_id", "seq", F.round("hit", 6).alias("hit"))
 
 
+def confidence_breakdown(spark, sf_dir):
+    c = F.col
+    rows = _candidates(spark, sf_dir).withColumn("b", P.confidence_breakdown(c("amplitude"), c("rms"), c("energy"), c("frequency"), c("energy") / 4))
+    return rows.select("video_id", "seq", *(F.round(f"b.{name}", 6).alias(name) for name in ("amplitude", "crest", "concentration", "frequency", "high_frequency", "other")))
+
+
+def engine_threshold(spark, sf_dir):
+    """Each video's threshold by its mean and largest confidence, and how many peaks pass it."""
+    rows = signal(spark, sf_dir)
+    found = rows.groupBy("video_id").agg(F.avg("confidence").alias("mean"), F.max("confidence").alias("largest")).select("video_id", P.engine_threshold(F.round("mean", 9), F.col("largest"), 0.65).alias("threshold"))
+    return rows.join(found, "video_id").groupBy("video_id", F.round("threshold", 6).alias("threshold")).agg(F.count_if(F.col("confidence") >= F.col("threshold")).alias("passed"))
+
+
 def _stages():
     c = F.col
     return {"amplitude": P.amplitude_gate(c("amplitude"), c("rms")), "duration": P.duration_gate(c("amplitude"), c("duration")), "confidence": P.confidence_gate(c("amplitude"), c("confidence"))}
@@ -152,6 +165,17 @@ QUERIES = {
         + 0.09::DOUBLE * least(2 * (energy / 3), 1) + 0.05::DOUBLE * least(5 * (energy / 8), 1) + 0.05::DOUBLE * CASE WHEN duration / 10 > 0.0003::DOUBLE AND duration / 10 < 0.03::DOUBLE THEN 1.0::DOUBLE ELSE 0.7::DOUBLE END + 0.07::DOUBLE * least(value / 5 / 50, 1)
         + 0.07::DOUBLE * CASE WHEN duration < 0.02::DOUBLE THEN greatest(0.0::DOUBLE, (duration - 0.015::DOUBLE) / 0.005::DOUBLE) WHEN duration > 0.1::DOUBLE THEN greatest(0.0::DOUBLE, (0.12::DOUBLE - duration) / 0.02::DOUBLE) ELSE 1.0::DOUBLE END), 6) AS hit FROM candidates""",
     ),
+    "confidence_breakdown": (
+        confidence_breakdown,
+        f"""WITH {c} SELECT video_id, seq, round(0.33::DOUBLE * least(amplitude / 0.6::DOUBLE, 1), 6) AS amplitude, round(0.23::DOUBLE * least(amplitude / (rms + 0.001::DOUBLE) / 4, 1), 6) AS crest, round(0.14::DOUBLE * energy, 6) AS concentration,
+        round(0.14::DOUBLE * CASE WHEN frequency BETWEEN 1000 AND 3000 THEN 1.0::DOUBLE WHEN frequency BETWEEN 300 AND 5000 THEN 0.6::DOUBLE ELSE 0.3::DOUBLE END, 6) AS frequency, round(0.14::DOUBLE * least(energy / 4 / 0.15::DOUBLE, 1), 6) AS high_frequency, 0.02::DOUBLE AS "other" FROM candidates""",
+    ),
+    "engine_threshold": (
+        engine_threshold,
+        f"""WITH {SIGNAL_SQL}, m AS (SELECT video_id, round(avg(confidence), 9) AS mean, max(confidence) AS largest FROM signal GROUP BY video_id),
+        h AS (SELECT video_id, CASE WHEN mean < 0.5::DOUBLE THEN greatest(0.8::DOUBLE * 0.65::DOUBLE, 0.4::DOUBLE) WHEN mean > 0.7::DOUBLE AND largest > 0.8::DOUBLE THEN least(1.2::DOUBLE * 0.65::DOUBLE, 0.8::DOUBLE) ELSE 0.65::DOUBLE END AS threshold FROM m)
+        SELECT video_id, round(threshold, 6) AS threshold, count(*) FILTER (confidence >= threshold) AS passed FROM signal JOIN h USING (video_id) GROUP BY video_id, threshold""",
+    ),
     "filter_funnel": (
         filter_funnel,
         f"WITH {c} " + " UNION ALL ".join(f"SELECT '{name}' AS stage, count(*) FILTER ({' AND '.join(list(_STAGES_SQL.values())[: i + 1])}) AS passed, round(count(*) FILTER ({' AND '.join(list(_STAGES_SQL.values())[: i + 1])}) / CAST(count(*) AS DOUBLE), 6) AS share FROM candidates" for i, name in enumerate(_STAGES_SQL)),

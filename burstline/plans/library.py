@@ -73,6 +73,32 @@ def city_search(spark, sf_dir):
     return rows.select("s_suppkey", "s_name", "n_name").orderBy("n_name", "s_suppkey")
 
 
+def prefix_match(spark, sf_dir):
+    """Scheduled items (orders) of a kind told by how their key begins."""
+    return read(spark, sf_dir, "orders").where(F.concat(F.lit("order-"), "o_orderpriority").startswith("order-1-")).select("o_orderkey", "o_orderpriority")
+
+
+def display_names(spark, sf_dir):
+    """Each customer's segment as a nickname, empty in one segment, or else the name."""
+    nickname = F.when(F.col("c_mktsegment") == "BUILDING", "").when(F.col("c_nationkey") % 5 != 0, F.col("c_mktsegment"))
+    return read(spark, sf_dir, "customer").select("c_custkey", text.display_name(nickname, F.col("c_name")).alias("shown"))
+
+
+def approx_equal(spark, sf_dir):
+    """Line items whose discount and tax are about equal."""
+    rows = read(spark, sf_dir, "lineitem").withColumn("nearly", text.nearly(F.round("l_discount", 2), F.round(F.col("l_tax") + 0.004, 3)))
+    return rows.groupBy("l_returnflag").agg(F.count("*").alias("n"), F.count_if("nearly").alias("nearly"))
+
+
+def report_lines(spark, sf_dir):
+    """A fixed-width report of event types, their counts and shares, largest first."""
+    rows = read(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"))
+    total = read(spark, sf_dir, "events").agg(F.count("*").alias("total"))
+    # five kinds and one total
+    rows = rows.join(F.broadcast(total), F.col("n") <= F.col("total")).select("event_type", "n", (F.col("n") / F.col("total")).alias("share"))
+    return rows.select("event_type", text.report_line(F.col("event_type"), F.col("n"), F.round("share", 6)).alias("line"))
+
+
 def lru_keep_newest(spark, sf_dir):
     rows = read(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderdate")
     kept = L.keep_newest(rows, 3, "o_custkey", "o_orderdate", "o_orderkey")
@@ -216,6 +242,13 @@ QUERIES = {
     ),
     "delete_parent_cascade": (delete_parent_cascade, h("SELECT type, count(*) AS n, sum(duration) AS edited FROM highlights WHERE video_id NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F') GROUP BY type")),
     "city_search": (city_search, "SELECT s_suppkey, s_name, n_name FROM supplier JOIN nation ON n_nationkey = s_nationkey WHERE n_regionkey = 1 AND contains(lower(s_name), 'supplier#0')"),
+    "prefix_match": (prefix_match, "SELECT o_orderkey, o_orderpriority FROM orders WHERE starts_with('order-' || o_orderpriority, 'order-1-')"),
+    "display_names": (display_names, "SELECT c_custkey, coalesce(nullif(CASE WHEN c_mktsegment = 'BUILDING' THEN '' WHEN c_nationkey % 5 <> 0 THEN c_mktsegment END, ''), c_name) AS shown FROM customer"),
+    "approx_equal": (approx_equal, "SELECT l_returnflag, count(*) AS n, count(*) FILTER (abs(round(l_discount, 2) - round(l_tax + 0.004::DOUBLE, 3)) < 0.01::DOUBLE) AS nearly FROM lineitem GROUP BY l_returnflag"),
+    "report_lines": (
+        report_lines,
+        "SELECT event_type, printf('%-20s %8d %6.1f%%', event_type, count(*), 100 * round(count(*) / sum(count(*)) OVER (), 6)) AS line FROM events GROUP BY event_type",
+    ),
     "lru_keep_newest": (
         lru_keep_newest,
         """WITH k AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) AS r, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS o FROM orders)

@@ -21,6 +21,27 @@ def write_labels(labels: DataFrame, path: str) -> None:
     labels.groupBy("video").agg(F.array_sort(F.collect_list(r)).alias("rallies")).write.mode("overwrite").json(path)
 
 
+def label_templates(media: DataFrame, name: str = "media") -> DataFrame:
+    """(video, rallies, metadata): for each media file a label document with one example rally to replace."""
+    example = F.struct(F.lit(10.0).alias("startTime"), F.lit(25.5).alias("endTime"), F.lit(80.0).alias("excitementScore"), F.lit("Example rally - replace with actual data").alias("notes"))
+    about = {"annotator": F.lit("Your Name"), "date": F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ssXXX"), "notes": F.lit("Ground truth annotations for rally detection")}
+    metadata = F.create_map(*(x for key, value in about.items() for x in (F.lit(key), value)))
+    return media.select(F.regexp_extract(name, "([^/]+)$", 1).alias("video"), F.array(example).alias("rallies"), metadata.alias("metadata"))
+
+
+COURT_SCHEMA = "struct<courts:array<struct<id:string,name:string,city:string,address:string,court_count:int,surface_type:string,price_range:string>>,total:int>"
+
+
+def read_courts(spark: SparkSession, path: str, city: str | None = None) -> DataFrame:
+    """Courts of saved service answers (one JSON text a file), one row each; of one city, if given.
+
+    An answer that isn't JSON gives none; fields that it lacks are null.
+    """
+    answers = spark.read.text(path, wholetext=True).select(F.from_json("value", COURT_SCHEMA).alias("answer"))
+    rows = answers.select(F.inline("answer.courts"))
+    return rows if city is None else rows.where(F.col("city") == city)
+
+
 def media_with_labels(spark: SparkSession, folder: str) -> DataFrame:
     """(stem, media, label): media files of a folder by extension, each with the JSON file of its name if there is one."""
     files = spark.read.format("binaryFile").load(folder).select("path")
@@ -30,9 +51,10 @@ def media_with_labels(spark: SparkSession, folder: str) -> DataFrame:
     return media.join(labels, "stem", "left")
 
 
-def write_report(rows: DataFrame, path: str) -> None:
-    """Nested rows as JSON lines, replacing what was there."""
-    rows.select(F.to_json(F.struct(*rows.columns)).alias("value")).write.mode("overwrite").text(path)
+def write_report(rows: DataFrame, path: str, pretty: bool = False) -> None:
+    """Nested rows as JSON, keys in order and times as ISO dates in UTC, replacing what was there; ``pretty`` indents."""
+    options = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ssXXX", "timeZone": "UTC", "pretty": str(pretty).lower()}
+    rows.select(F.to_json(F.struct(*sorted(rows.columns)), options).alias("value")).write.mode("overwrite").text(path)
 
 
 def read_report(spark: SparkSession, path: str, schema: str) -> DataFrame:

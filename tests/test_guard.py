@@ -11,7 +11,7 @@ import sys
 class Missing:
     def find_spec(self, name, path=None, target=None):
         if name == "corpus_pipeline" or name.startswith("burstline.llm"):
-            raise ModuleNotFoundError(name)
+            raise ModuleNotFoundError(name, name=name)
 
 sys.meta_path.insert(0, Missing())
 import __spark_entry__ as e
