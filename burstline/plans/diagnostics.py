@@ -46,7 +46,7 @@ def hit_confidence(spark, sf_dir):
 def confidence_breakdown(spark, sf_dir):
     c = F.col
     rows = _candidates(spark, sf_dir).withColumn("b", P.confidence_breakdown(c("amplitude"), c("rms"), c("energy"), c("frequency"), c("energy") / 4))
-    return rows.select("video_id", "seq", *(F.round(f"b.{name}", 6).alias(name) for name in ("amplitude", "crest", "concentration", "frequency", "high_frequency", "other")))
+    return rows.select("video_id", "seq", *(F.round(f"b.{name}", 8).alias(name) for name in ("amplitude", "crest", "concentration", "frequency", "high_frequency", "other")))
 
 
 def engine_threshold(spark, sf_dir):
@@ -167,8 +167,8 @@ QUERIES = {
     ),
     "confidence_breakdown": (
         confidence_breakdown,
-        f"""WITH {c} SELECT video_id, seq, round(0.33::DOUBLE * least(amplitude / 0.6::DOUBLE, 1), 6) AS amplitude, round(0.23::DOUBLE * least(amplitude / (rms + 0.001::DOUBLE) / 4, 1), 6) AS crest, round(0.14::DOUBLE * energy, 6) AS concentration,
-        round(0.14::DOUBLE * CASE WHEN frequency BETWEEN 1000 AND 3000 THEN 1.0::DOUBLE WHEN frequency BETWEEN 300 AND 5000 THEN 0.6::DOUBLE ELSE 0.3::DOUBLE END, 6) AS frequency, round(0.14::DOUBLE * least(energy / 4 / 0.15::DOUBLE, 1), 6) AS high_frequency, 0.02::DOUBLE AS "other" FROM candidates""",
+        f"""WITH {c} SELECT video_id, seq, round(0.33::DOUBLE * least(amplitude / 0.6::DOUBLE, 1), 8) AS amplitude, round(0.23::DOUBLE * least(amplitude / (rms + 0.001::DOUBLE) / 4, 1), 8) AS crest, round(0.14::DOUBLE * energy, 8) AS concentration,
+        round(0.14::DOUBLE * CASE WHEN frequency BETWEEN 1000 AND 3000 THEN 1.0::DOUBLE WHEN frequency BETWEEN 300 AND 5000 THEN 0.6::DOUBLE ELSE 0.3::DOUBLE END, 8) AS frequency, round(0.14::DOUBLE * least(energy / 4 / 0.15::DOUBLE, 1), 8) AS high_frequency, 0.02::DOUBLE AS "other" FROM candidates""",
     ),
     "engine_threshold": (
         engine_threshold,
