@@ -39,11 +39,12 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
     A document is an id with a text, so texts that share an id are judged apart, and of rows that
     repeat an id and a text one stays. The least by id, then by hash of the text, is the one
-    that stays; null ids come first.
+    that stays; null ids come first. The join that drops the others is hinted to be a shuffle, as
+    their number grows with the input.
     """
     rows = docs.select(F.struct("doc_id", F.xxhash64("text").alias("key")).alias("pair"), F.struct(*docs.columns).alias("row"), "text")
     gone = neardup.near_duplicates(rows, "pair").where(~F.col("kept")).select(F.col("pair").alias("gone")).distinct()
-    left = rows.drop("text").join(written(gone, "gone"), F.col("pair") == F.col("gone"), "left_anti")
+    left = rows.drop("text").join(written(gone, "gone").hint("merge"), F.col("pair") == F.col("gone"), "left_anti")
     repeats = written(rows.groupBy("pair").count().where("count > 1").select(F.col("pair").alias("again")), "repeats")
     if repeats.isEmpty():
         return left.select("row.*")
