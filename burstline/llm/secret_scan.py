@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from burstline.llm.tables import join_small, written
@@ -20,27 +20,34 @@ MOST_OWNERS = 1
 MOST_REPOSITORIES = 2
 
 
-def _found(text: Column, pattern: str, kind: int, group: int, least: int) -> Column:
-    """All leftmost non-overlapping matches as structs (start, kind, end, value); code points, end exclusive.
-
-    Positions come from the lengths of what lies between matches.
-    """
+def _pieces(text: Column, pattern: str, group: int) -> Column:
+    """All leftmost non-overlapping matches as structs (gap, own, value): code points before, within, and the group."""
     regex = F.lit(pattern)
     whole = F.regexp_extract_all(text, regex, F.lit(0))
-    values = F.regexp_extract_all(text, regex, F.lit(group))
-    gaps = F.split(text, pattern, -1)
-    lengths = F.zip_with(F.slice(gaps, 1, F.size(whole)), whole, lambda gap, match: F.struct(F.length(gap).alias("gap"), F.length(match).alias("own")))
-    placed = F.aggregate(
-        F.zip_with(lengths, values, lambda n, value: F.struct(n["gap"].alias("gap"), n["own"].alias("own"), value.alias("value"))),
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,kind:int,end:int,value:string>>").alias("found")),
-        lambda acc, m: F.struct(
-            (acc["at"] + m["gap"] + m["own"]).alias("at"),
-            F.concat(acc["found"], F.array(F.struct((acc["at"] + m["gap"]).alias("start"), F.lit(kind).alias("kind"), (acc["at"] + m["gap"] + m["own"]).alias("end"), m["value"].alias("value")))).alias("found"),
-        ),
-        lambda acc: acc["found"],
-    )
-    none = F.array().cast("array<struct<start:int,kind:int,end:int,value:string>>")
-    return F.filter(F.when(F.regexp_like(text, regex), placed).otherwise(none), lambda m: F.length(m["value"]) >= least)
+    gaps = F.slice(F.split(text, pattern, -1), 1, F.size(whole))
+    lengths = F.zip_with(gaps, whole, lambda gap, match: F.struct(F.length(gap).alias("gap"), F.length(match).alias("own")))
+    pieces = F.zip_with(lengths, F.regexp_extract_all(text, regex, F.lit(group)), lambda n, value: F.struct(n["gap"].alias("gap"), n["own"].alias("own"), value.alias("value")))
+    return F.when(F.regexp_like(text, regex), pieces).otherwise(F.array().cast("array<struct<gap:int,own:int,value:string>>"))
+
+
+def _spans(rows: DataFrame) -> DataFrame:
+    """(row, owner, repository, m) of the matches that count, ``m`` being (start, kind, end, value), end exclusive.
+
+    Ends are running sums over a text's matches of a kind, and what overlaps a base span is told by
+    running extremes over its matches by place, so the work grows with the matches and not with their pairs.
+    """
+    least = F.element_at(F.array(*(F.lit(n) for *_, n in BASE), F.lit(0)), F.col("kind") + 1)
+    each = rows.select("row", "owner", "repository", F.posexplode("kinds").alias("kind", "pieces")).select("row", "owner", "repository", "kind", F.posexplode("pieces").alias("n", "piece"))
+    so_far = Window.partitionBy("row", "kind").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
+    each = each.repartition("row").withColumn("end", F.sum(F.col("piece.gap") + F.col("piece.own")).over(so_far).cast("int"))
+    each = each.select("row", "owner", "repository", "kind", (F.col("end") - F.col("piece.own")).alias("start"), "end", F.col("piece.value").alias("value")).where(F.length("value") >= least)
+    of_text, base = Window.partitionBy("row"), F.col("kind") < len(BASE)
+    before = F.max(F.when(base, F.col("end"))).over(of_text.orderBy("start").rangeBetween(Window.unboundedPreceding, 0))
+    after = F.min(F.when(base, F.col("start"))).over(of_text.orderBy(F.desc("start")).rangeBetween(Window.unboundedPreceding, 0))
+    each = each.withColumn("before", before).withColumn("after", after)
+    apart = (F.coalesce("before", F.lit(0)) <= F.col("start")) & (F.coalesce("after", "end") >= F.col("end"))
+    looks = F.regexp_like("value", F.lit("[0-9]")) & F.regexp_like("value", F.lit("[A-Za-z]"))
+    return each.where(base | (apart & looks)).select("row", "owner", "repository", F.struct("start", "kind", "end", "value").alias("m"))
 
 
 def _joined(spans: Column) -> Column:
@@ -61,19 +68,19 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reposi
     span. A base value in more than these counts as a copied example, and stays. ``owner`` is the
     source by default, ``repository`` the source and language. Null texts are empty; a null owner
     or repository is one of its own; rows without spans have empty strings and the hash of none;
-    ids may be null or repeat, as each row is scanned for itself.
+    ids may be null or repeat, as each row is scanned for itself. Texts of any length are read whole;
+    the matches of one text are sorted together, which spills.
     """
     owner = F.coalesce(F.col("source") if owner is None else owner, F.lit(""))
     repository = F.coalesce(F.concat_ws("/", "source", "lang") if repository is None else repository, F.lit(""))
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), owner.alias("owner"), repository.alias("repository"), text.alias("text"))
-    base = F.array_sort(F.concat(*(_found(F.col("text"), pattern, i, group, least) for i, (_, pattern, group, least) in enumerate(BASE))))
-    rows = rows.select("id", "owner", "repository", base.alias("base"), _found(F.col("text"), CANDIDATE, len(BASE), 0, 20).alias("more"))
-    apart = F.filter("more", lambda m: F.regexp_like(m["value"], F.lit("[0-9]")) & F.regexp_like(m["value"], F.lit("[A-Za-z]")) & ~F.exists("base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
-    rows = written(rows.withColumn("more", apart).withColumn("row", F.monotonically_increasing_id()), "secrets")
+    kinds = F.array(*(_pieces(F.col("text"), pattern, group) for _, pattern, group, _ in BASE), _pieces(F.col("text"), CANDIDATE, 0))
+    rows = rows.select("id", "owner", "repository", kinds.alias("kinds"), F.monotonically_increasing_id().alias("row"))
+    rows = written(rows, "secrets")
 
-    each = rows.where("size(base) + size(more) > 0").select("row", "owner", "repository", F.explode(F.concat("base", "more")).alias("m"))
-    each = each.select("row", "owner", "repository", "m", F.sha2(F.col("m.value"), 256).alias("hash"))
+    each = _spans(rows.where(F.exists("kinds", lambda k: F.size(k) > 0))).withColumn("hash", F.sha2(F.col("m.value"), 256))
+    each = written(each, "spans")
     held = each.groupBy("hash", "owner", "repository").count()
     held = held.groupBy("hash", "owner").agg(F.count("*").alias("repositories")).groupBy("hash").agg(F.count("*").alias("owners"), F.sum("repositories").alias("repositories"))
     judged = join_small(each, held, "hash").withColumn("live", (F.col("owners") <= most_owners) & (F.col("repositories") <= most_repositories))

@@ -1,5 +1,6 @@
 """Secrets, decontamination, line and paragraph dedup against plain Python."""
 
+import bisect
 import hashlib
 import re
 
@@ -253,3 +254,23 @@ def plain_pieces(text):
     r = substring_dedup.PIECE_REACH
     first = [i for i in range(len(h)) if i == 0 or (all(pair[i] < x for x in pair[max(0, i - r) : i]) and all(pair[i] <= x for x in pair[i + 1 : i + r + 1]))]
     return [(int(words.start[a]), int(words.end[b - 1])) for a, b in zip(first, first[1:] + [len(h)], strict=True)]
+
+
+def test_secrets_of_a_long_text(spark):
+    """Many matches in one text: places by a plain scan, and none of the overlapping candidates added."""
+    line = "AKIA{0:016d}AB token={0:08d}x {0:032x} é {0:020d}q\n"
+    text = "".join(line.format(i) for i in range(4000))
+    rows = spark.createDataFrame([(1, text, "s", "en")], "doc_id long, text string, source string, lang string")
+    r = secret_scan.scan(rows).first()
+    found = {(s.start, s.kind, s.end) for s in r.found}
+    want = set()
+    for i, (_, pattern, group, least) in enumerate(secret_scan.BASE):
+        want |= {(m.start(), i, m.end()) for m in re.finditer(pattern, text) if len(m.group(group)) >= least}
+    more = [m for m in re.finditer(secret_scan.CANDIDATE, text) if re.search("[0-9]", m.group()) and re.search("[A-Za-z]", m.group())]
+    base = sorted((a, b) for a, _, b in want)
+    starts = [a for a, _ in base]
+    for m in more:
+        at = bisect.bisect_left(starts, m.end())
+        if not any(b > m.start() for _, b in base[max(0, at - 5) : at]):
+            want.add((m.start(), len(secret_scan.BASE), m.end()))
+    assert found == want and r.n_owned == 4000 and [s.start for s in r.found] == sorted(s.start for s in r.found)
