@@ -1,19 +1,21 @@
 """Order-dependent passes over one key's rows, as folds of sorted arrays.
 
-A fold sees one group in one array, so groups must be bounded: signals are folded per video and
-segment of 120 signal seconds, as detection itself handles segments one by one.
+A fold sees one group in one array, so groups must be bounded. Passes of the detection that handles
+segments of 120 signal seconds one by one are folded per video and segment. Passes over whole videos
+are folded per island: windows number the stretches between rows at which the state is known.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from burstline.config import FusionConfig
 
 KEYS = ("video_id", "segment")
+VIDEO = ("video_id",)
 
 
 def fold(rows: DataFrame, keys: tuple[str, ...], order: tuple[str, ...], fields: tuple[str, ...], state: str, step: Callable[[Column, Column], Column], finish: Callable[[Column], Column] | None = None) -> DataFrame:
@@ -37,11 +39,15 @@ def _peak(x: Column) -> Column:
     return F.struct(x["t"].alias("t"), x["confidence"].alias("confidence"), x["seq"].alias("seq"))
 
 
-def debounce(peaks: DataFrame, interval: float = 0.1, keys: tuple[str, ...] = KEYS) -> DataFrame:
+def debounce(peaks: DataFrame, interval: float = 0.1, keys: tuple[str, ...] = VIDEO) -> DataFrame:
     """Of peaks within ``interval`` of the one that opened their group, the last more confident one stays.
 
-    A replacement does not move the time that later peaks are measured from.
+    A replacement does not move the time that later peaks are measured from. A peak ``interval`` or
+    more after its neighbour opens a group whatever came before, so the fold starts anew there.
     """
+    order = Window.partitionBy(*keys).orderBy("t", "seq")
+    opens_island = F.coalesce(F.col("t") - F.lag("t").over(order) >= interval, F.lit(False))
+    islands = peaks.withColumn("island", opens_island.cast("long")).withColumn("island", F.sum("island").over(order.rowsBetween(Window.unboundedPreceding, 0)))
 
     def step(acc, x):
         out, anchor = acc["out"], acc["anchor"]
@@ -50,7 +56,7 @@ def debounce(peaks: DataFrame, interval: float = 0.1, keys: tuple[str, ...] = KE
         replaced = F.concat(F.slice(out, 1, F.size(out) - 1), F.array(_peak(x)))
         return F.struct(F.when(opens, x["t"]).otherwise(anchor).alias("anchor"), F.when(opens, F.concat(out, F.array(_peak(x)))).when(better, replaced).otherwise(out).alias("out"))
 
-    found = fold(peaks, keys, ("t", "seq"), ("confidence",), f"struct<anchor:double,out:array<{_PEAK}>>", step, lambda acc: acc["out"])
+    found = fold(islands, (*keys, "island"), ("t", "seq"), ("confidence",), f"struct<anchor:double,out:array<{_PEAK}>>", step, lambda acc: acc["out"])
     return found.select(*keys, F.inline("result"))
 
 
@@ -203,8 +209,24 @@ def merge_adjacent(rallies: DataFrame, gap: float = 2.0, short: float = 5.0, key
 IDLE, STARTING, IN_RALLY, ENDING = "idle", "starting", "inRally", "ending"
 
 
-def hit_states(frames: DataFrame, config: FusionConfig = FusionConfig(), keys: tuple[str, ...] = KEYS, flush_ending: bool = False) -> DataFrame:
-    """(keys, final, rallies): the machine over frames (t, seq, active), in order.
+def with_islands(frames: DataFrame, config: FusionConfig = FusionConfig(), keys: tuple[str, ...] = VIDEO) -> DataFrame:
+    """``frames`` (t, seq, active) with island, and followed: whether the island ends here and another comes.
+
+    After an inactive frame ``max_pause`` or more after the last active one (or with none before), the
+    machine is idle or ending, and takes the next frame alike: an island starts there.
+    """
+    order = Window.partitionBy(*keys).orderBy("t", "seq")
+    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
+    last = F.last(F.when(F.col("active"), F.col("t")), ignorenulls=True).over(so_far)
+    rests = F.coalesce(~F.col("active") & (last.isNull() | (F.col("t") - last >= config.max_pause)), F.lit(False))
+    rows = frames.withColumn("followed", rests)
+    opens = F.coalesce(F.lag("followed").over(order), F.lit(False))
+    rows = rows.withColumn("island", opens.cast("long")).withColumn("followed", F.col("followed") & F.lead(F.lit(True)).over(order).isNotNull())
+    return rows.withColumn("island", F.sum("island").over(so_far))
+
+
+def hit_islands(islands: DataFrame, config: FusionConfig = FusionConfig(), keys: tuple[str, ...] = VIDEO, flush_ending: bool = False) -> DataFrame:
+    """(keys, island, final, rallies): the machine over the rows of ``with_islands``; final is null but for a video's last island.
 
     Idle, starting (until enough frames in a row are active), in a rally (until none was active
     for ``max_pause``), ending (the rally is emitted at the next frame, if long enough, and an
@@ -229,15 +251,22 @@ def hit_states(frames: DataFrame, config: FusionConfig = FusionConfig(), keys: t
             F.when(resting, F.when(active, t)).when((state == STARTING) & ~active, F.lit(None).cast("double")).otherwise(start).alias("start"),
             F.when(active, t).otherwise(last).alias("last"),
             F.when(resting, 1).otherwise(grown).cast("int").alias("n"),
+            x["followed"].alias("followed"),
             F.when(emits, F.concat(out, F.array(F.struct(start.alias("start"), last.alias("end"))))).otherwise(out).alias("out"),
         )
 
     def finish(acc):
-        open_at_end = acc["state"].isin(IN_RALLY, ENDING) if flush_ending else acc["state"] == IN_RALLY
+        open_at_end = (acc["state"] == IN_RALLY) | ((acc["state"] == ENDING) & (F.lit(flush_ending) | acc["followed"]))
         emits = open_at_end & (acc["last"] - acc["start"] >= config.min_duration)
         rallies = F.when(emits, F.concat(acc["out"], F.array(F.struct(acc["start"].alias("start"), acc["last"].alias("end"))))).otherwise(acc["out"])
-        return F.struct(F.coalesce(acc["state"], F.lit(IDLE)).alias("final"), rallies.alias("rallies"))
+        return F.struct(F.when(~acc["followed"], F.coalesce(acc["state"], F.lit(IDLE))).alias("final"), rallies.alias("rallies"))
+
+    state = "struct<state:string,start:double,last:double,n:int,followed:boolean,out:array<struct<start:double,end:double>>>"
+    found = fold(islands, (*keys, "island"), ("t", "seq"), ("active", "followed"), state, step, finish)
+    return found.select(*keys, "island", "result.final", "result.rallies")
+
 
-    state = "struct<state:string,start:double,last:double,n:int,out:array<struct<start:double,end:double>>>"
-    found = fold(frames, keys, ("t", "seq"), ("active",), state, step, finish)
-    return found.select(*keys, "result.final", "result.rallies")
+def hit_states(frames: DataFrame, config: FusionConfig = FusionConfig(), keys: tuple[str, ...] = VIDEO, flush_ending: bool = False) -> DataFrame:
+    """(keys, final, rallies): ``hit_islands`` by video, for videos whose rallies fit in one row."""
+    found = hit_islands(with_islands(frames, config, keys), config, keys, flush_ending)
+    return found.groupBy(*keys).agg(F.max("final").alias("final"), F.array_sort(F.flatten(F.collect_list("rallies"))).alias("rallies"))

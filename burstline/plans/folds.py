@@ -11,7 +11,7 @@ from burstline.sources.tables import SIGNAL_SQL, signal
 
 
 def debounce(spark, sf_dir):
-    return folds.debounce(signal(spark, sf_dir), 3.0).select("video_id", "segment", "seq")
+    return folds.debounce(signal(spark, sf_dir), 3.0).select("video_id", "seq")
 
 
 def postprocess_merge(spark, sf_dir):
@@ -51,17 +51,18 @@ def cluster_merge_adjacent(spark, sf_dir):
 
 def rally_padding(spark, sf_dir):
     """Rallies of the machine padded by 1 either way, the start 0 at least; the hits are those of the rally itself."""
-    frames = signal(spark, sf_dir).withColumn("active", F.col("intensity") >= 0.4)
-    rallies = folds.hit_states(frames).select("video_id", "segment", F.explode("rallies").alias("r")).select("video_id", "segment", "r.start", "r.end")
-    inside = frames.select("video_id", "segment", "t", "intensity").join(rallies, ["video_id", "segment"]).where((F.col("t") >= F.col("start")) & (F.col("t") <= F.col("end")))
-    found = inside.groupBy("video_id", "segment", "start", "end").agg(F.count("*").alias("frames"), F.avg("intensity").alias("intensity"))
-    return found.select("video_id", "segment", "frames", F.round("intensity", 6).alias("intensity"), F.round(F.greatest(F.lit(0.0), F.col("start") - 1.0), 6).alias("start"), F.round(F.col("end") + 1.0, 6).alias("end"))
+    frames = folds.with_islands(signal(spark, sf_dir).withColumn("active", F.col("intensity") >= 0.4))
+    rallies = folds.hit_islands(frames).select("video_id", "island", F.inline("rallies"))
+    inside = frames.select("video_id", "island", "t", "intensity").join(rallies, ["video_id", "island"]).where((F.col("t") >= F.col("start")) & (F.col("t") <= F.col("end")))
+    found = inside.groupBy("video_id", "island", "start", "end").agg(F.count("*").alias("frames"), F.avg("intensity").alias("intensity"))
+    return found.select("video_id", "frames", F.round("intensity", 6).alias("intensity"), F.round(F.greatest(F.lit(0.0), F.col("start") - 1.0), 6).alias("start"), F.round(F.col("end") + 1.0, 6).alias("end"))
 
 
 def hit_state_machine(spark, sf_dir):
     frames = signal(spark, sf_dir).withColumn("active", F.col("intensity") >= 0.4)
-    rows = folds.hit_states(frames)
-    return rows.select("video_id", "segment", "final", F.explode_outer("rallies").alias("r")).select("video_id", "segment", "final", F.round("r.start", 6).alias("start"), F.round("r.end", 6).alias("end"))
+    islands = folds.hit_islands(folds.with_islands(frames))
+    rallies = islands.select("video_id", F.inline("rallies"))
+    return islands.where("final IS NOT NULL").join(rallies, "video_id", "left").select("video_id", "final", F.round("start", 6).alias("start"), F.round("end", 6).alias("end"))
 
 
 def _walk(table: str, columns: str, start: str, advance: str, result: str) -> str:
@@ -76,17 +77,19 @@ def _walk(table: str, columns: str, start: str, advance: str, result: str) -> st
         ) {result}"""
 
 
+#: Every video as one segment, for walks over whole videos.
+WHOLE_SQL = "whole AS (SELECT * REPLACE (CAST(0 AS BIGINT) AS segment) FROM signal)"
 _JOINS = '(n."start" - w.e < 2.0::DOUBLE AND (w.e - w.s < 5.0::DOUBLE OR n."end" - n."start" < 5.0::DOUBLE))'
 _NEAR = "(round(n.first - w.l, 9) < 2.0 AND (w.h < 3 OR n.hits < 3))"
 
 QUERIES = {
     "debounce": (
         debounce,
-        f"WITH RECURSIVE {SIGNAL_SQL}, "
-        + _walk("signal", "confidence", "t AS anchor, 1 AS grp, seq AS kept, confidence AS best", """
+        f"WITH RECURSIVE {SIGNAL_SQL}, {WHOLE_SQL}, "
+        + _walk("whole", "confidence", "t AS anchor, 1 AS grp, seq AS kept, confidence AS best", """
                 CASE WHEN n.t - w.anchor >= 3.0 THEN n.t ELSE w.anchor END, CASE WHEN n.t - w.anchor >= 3.0 THEN w.grp + 1 ELSE w.grp END,
                 CASE WHEN n.t - w.anchor >= 3.0 OR n.confidence > w.best THEN n.seq ELSE w.kept END, CASE WHEN n.t - w.anchor >= 3.0 OR n.confidence > w.best THEN n.confidence ELSE w.best END""",
-                "SELECT video_id, segment, arg_max(kept, rn) AS seq FROM w GROUP BY video_id, segment, grp"),
+                "SELECT video_id, arg_max(kept, rn) AS seq FROM w GROUP BY video_id, segment, grp"),
     ),
     "postprocess_merge": (
         postprocess_merge,
@@ -154,7 +157,7 @@ QUERIES = {
     ),
     "hit_state_machine": (
         hit_state_machine,
-        f"WITH RECURSIVE {SIGNAL_SQL}, f AS (SELECT *, intensity >= 0.4::DOUBLE AS active FROM signal), "
+        f"WITH RECURSIVE {SIGNAL_SQL}, {WHOLE_SQL}, f AS (SELECT *, intensity >= 0.4::DOUBLE AS active FROM whole), "
         + _walk("f", "active", "CASE WHEN active THEN 1 ELSE 0 END AS state, CASE WHEN active THEN t END AS s, CASE WHEN active THEN t END AS e, 1 AS k, CAST(NULL AS DOUBLE) AS os, CAST(NULL AS DOUBLE) AS oe", """
                 CASE WHEN w.state IN (0, 3) THEN CASE WHEN n.active THEN 1 ELSE 0 END WHEN w.state = 1 THEN CASE WHEN NOT n.active THEN 0 WHEN w.k + 1 >= 3 THEN 2 ELSE 1 END ELSE CASE WHEN NOT n.active AND n.t - w.e >= 2.0 THEN 3 ELSE 2 END END,
                 CASE WHEN w.state IN (0, 3) THEN CASE WHEN n.active THEN n.t END WHEN w.state = 1 AND NOT n.active THEN NULL ELSE w.s END,
@@ -163,13 +166,13 @@ QUERIES = {
                 CASE WHEN w.state = 3 AND w.e - w.s >= 3.0 THEN w.s END, CASE WHEN w.state = 3 AND w.e - w.s >= 3.0 THEN w.e END""",
                 """, z AS (SELECT *, row_number() OVER (PARTITION BY video_id, segment ORDER BY rn DESC) AS back FROM w),
                 o AS (SELECT video_id, segment, os, oe FROM z WHERE os IS NOT NULL UNION ALL SELECT video_id, segment, s, e FROM z WHERE back = 1 AND state = 2 AND e - s >= 3.0)
-                SELECT z.video_id, z.segment, ['idle', 'starting', 'inRally', 'ending'][z.state + 1] AS final, round(o.os, 6) AS "start", round(o.oe, 6) AS "end"
+                SELECT z.video_id, ['idle', 'starting', 'inRally', 'ending'][z.state + 1] AS final, round(o.os, 6) AS "start", round(o.oe, 6) AS "end"
                 FROM z LEFT JOIN o ON o.video_id = z.video_id AND o.segment = z.segment WHERE back = 1"""),
     ),
 }
 QUERIES["rally_padding"] = (
     rally_padding,
     QUERIES["hit_state_machine"][1].rsplit("SELECT z.video_id", 1)[0]
-    + """SELECT o.video_id, o.segment, count(*) AS frames, round(avg(f.intensity), 6) AS intensity, round(greatest(0.0::DOUBLE, os - 1.0), 6) AS "start", round(oe + 1.0, 6) AS "end"
+    + """SELECT o.video_id, count(*) AS frames, round(avg(f.intensity), 6) AS intensity, round(greatest(0.0::DOUBLE, os - 1.0), 6) AS "start", round(oe + 1.0, 6) AS "end"
         FROM o JOIN f ON f.video_id = o.video_id AND f.segment = o.segment AND f.t BETWEEN os AND oe GROUP BY o.video_id, o.segment, os, oe""",
 )

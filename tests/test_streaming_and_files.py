@@ -1,4 +1,5 @@
 import json
+import random
 
 import pandas as pd
 import pytest
@@ -38,6 +39,36 @@ def test_step_machine_agrees(name):
     assert (done, machine.state) == PATTERNS[name]
 
 
+def test_islands_equal_one_walk_over_the_video(spark):
+    """Long random videos that cross segment bounds: the machine frame by frame, with and without flush; debounce as a loop."""
+    rng = random.Random(5)
+    rows = []
+    for video in range(6):
+        t = 0.0
+        for seq in range(400):
+            t += rng.choice([0.0625, 0.25, 0.5, 1.0, 3.0])
+            rows.append((video, int(t // 120), seq, t, rng.random() < (0.2, 0.5, 0.8)[seq // 25 % 3], rng.randrange(64) / 64))
+    frames = spark.createDataFrame(rows, "video_id long, segment long, seq long, t double, active boolean, confidence double")
+    want, kept = {}, []
+    for video in range(6):
+        own = [r for r in rows if r[0] == video]
+        machine = S.HitStates(FusionConfig())
+        done = [x for r in own if (x := machine.step(r[3], r[4]))]
+        done += [x] if (x := machine.flush()) else []
+        want[video] = (done, machine.state)
+        anchor, best = None, None
+        for r in own:
+            if anchor is None or r[3] - anchor >= 0.3:
+                kept += [(video, best[2])] if best else []
+                anchor, best = r[3], r
+            elif r[5] > best[5]:
+                best = r
+        kept.append((video, best[2]))
+    got = {r.video_id: ([(x.start, x.end) for x in r.rallies], r.final) for r in folds.hit_states(frames).collect()}
+    assert got == want and sum(len(x[0]) for x in want.values()) > 20
+    assert sorted((r.video_id, r.seq) for r in folds.debounce(frames, 0.3).collect()) == sorted(kept)
+
+
 def stream(spark, tmp_path, batches, schema):
     """Each list of rows becomes a file, and files are read one a trigger."""
     folder = tmp_path / "in"
