@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from burstline.llm import decontaminate, language_id, line_dedup, lm_score, neardup, packing, secret_scan, substring_dedup, topk_search, url_filter
+from burstline.llm import decontaminate, hard_negatives, importance, language_id, line_dedup, lm_score, neardup, packing, secret_scan, sentence_pieces, substring_dedup, topk_search, url_filter
 from burstline.llm.tables import read
 
 
@@ -67,6 +67,25 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.repeated_parts(read(spark, sf_dir, "documents"))
 
 
+def op11_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    coded = sentence_pieces.decode(sentence_pieces.encode(read(spark, sf_dir, "documents"), path), path)
+    decimals = F.concat_ws(",", F.col("ids").cast("array<string>"))
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(decimals, 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = importance.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), percent=10, orders=(1, 1), buckets=10_000, least_words=20, seed=2024)
+    return drawn.drop("n_words")
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, positives=5, negatives=5, lo_percent=80, hi_percent=100, scale=256, label=label)
+
+
 def _secrets_sql() -> str:
     """Matches of each pattern with their places, then the owners of each value, then the digests."""
     parts = [*secret_scan.BASE, ("owned", secret_scan.CANDIDATE, 0, 20)]
@@ -144,6 +163,9 @@ QUERIES = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_exact_top_k": op9_exact_top_k,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_sentence_pieces": op11_sentence_pieces,
+    "op12_importance_resampling": op12_importance_resampling,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 def _near_dedup_sql(k: int, percent: int) -> str:
@@ -174,7 +196,69 @@ def _near_dedup_sql(k: int, percent: int) -> str:
     """
 
 
+def _importance_sql() -> str:
+    """CRC-32 by its bytewise table, once for each distinct word."""
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    words = f"regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{upper.lower()}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+    return f"""
+        WITH RECURSIVE bits AS (
+            SELECT CAST(i AS BIGINT) AS i, CAST(i AS BIGINT) AS c, 0 AS k FROM range(256) AS r(i)
+            UNION ALL
+            SELECT i, CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, k + 1 FROM bits WHERE k < 8
+        ), tab AS (
+            SELECT list(c ORDER BY i) AS t FROM bits WHERE k = 8
+        ), d AS (
+            SELECT row_number() OVER (ORDER BY doc_id) AS r, doc_id, {words} AS w FROM documents
+        ), x AS (
+            SELECT r, unnest(w) AS word FROM d
+        ), y AS (
+            SELECT unnest({words}) AS word FROM benchmark
+        ), u AS (
+            SELECT word, hex(encode(word)) AS h FROM (SELECT word FROM x UNION SELECT word FROM y)
+        ), b AS (
+            SELECT word, xor(list_reduce([CAST(4294967295 AS BIGINT)] || [CAST(CAST('0x' || h[2 * i - 1:2 * i] AS INTEGER) AS BIGINT) FOR i IN range(1, len(h) // 2 + 1)],
+                   lambda a, v: xor(a // 256, t[xor(a % 256, v) + 1])), 4294967295) % 10000 AS bucket
+            FROM u, tab
+        ), s AS (
+            SELECT bucket, count(*) AS s FROM x JOIN b USING (word) GROUP BY bucket
+        ), t AS (
+            SELECT bucket, count(*) AS t FROM y JOIN b USING (word) GROUP BY bucket
+        ), g AS (
+            SELECT bucket, CAST(floor(1000 * ln((coalesce(t, 0) + 1.0::DOUBLE) * ((SELECT count(*) FROM x) + 10000) / ((s + 1.0::DOUBLE) * ((SELECT count(*) FROM y) + 10000)))) AS BIGINT) AS gain
+            FROM s LEFT JOIN t USING (bucket)
+        ), f AS (
+            SELECT r, count(*) AS n, CAST(floor(sum(gain) / CAST(count(*) AS DOUBLE)) AS BIGINT) AS weight FROM x JOIN b USING (word) JOIN g USING (bucket) GROUP BY r
+        ), z AS (
+            SELECT doc_id, coalesce(n, 0) AS n, coalesce(weight, 0) AS weight,
+                   coalesce(weight, 0) + CAST(floor(-1000.0::DOUBLE * ln(-ln((CAST('0x' || substr(sha256('2024:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296.0::DOUBLE))) AS BIGINT) AS score
+            FROM d LEFT JOIN f USING (r)
+        ), k AS (
+            SELECT *, row_number() OVER (PARTITION BY n >= 20 ORDER BY score DESC, doc_id) AS place, count(*) FILTER (n >= 20) OVER () AS eligible FROM z
+        )
+        SELECT doc_id, CAST(n AS BIGINT) AS n_features, weight, score, CASE WHEN n >= 20 AND place <= 10 * eligible // 100 THEN place END AS rank FROM k
+    """
+
+
 SQL: dict[str, str] = {
+    "op12_importance_resampling": _importance_sql(),
+    "op13_hard_negatives": """
+        WITH v AS (
+            SELECT vec_id, CAST(CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS BIGINT) AS label, [floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS e
+            FROM embeddings
+            WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+        ), s AS (
+            SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same, CAST(list_inner_product(a.e, c.e) AS BIGINT) AS score
+            FROM v AS a JOIN v AS c ON a.vec_id <> c.vec_id AND len(a.e) = len(c.e) WHERE a.vec_id % 100 = 0
+        ), p AS (
+            SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+            QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+        ), n AS (
+            SELECT anchor_id, positive_id, positive_score, vec_id AS negative_id, score AS negative_score,
+                   row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS rank
+            FROM p JOIN s USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score
+        )
+        SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5
+    """,
     "op5_minhash_near_dedup": _near_dedup_sql(3, 85),
     "op2_secret_scan": _secrets_sql(),
     "op7_line_dedup": _line_dedup_sql(),
