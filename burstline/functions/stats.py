@@ -15,16 +15,6 @@ def floor_rank(n: Column, p: float) -> Column:
     return F.least(F.floor(n * F.lit(p)), n - 1) + 1
 
 
-def ranked_value(value: Column, rank: Column, n: Column, p: float) -> Column:
-    """Aggregate: the value whose ``rank`` (1-based, by size) is that of percentile ``p``."""
-    return F.max(F.when(rank == floor_rank(n, p), value))
-
-
-def median(value: Column, rank: Column, n: Column) -> Column:
-    """Aggregate: the true median of values ranked from 1 to ``n``."""
-    return F.avg(F.when((rank == F.floor((n + 1) / 2)) | (rank == F.floor((n + 2) / 2)), value))
-
-
 def ratio(a: Column, b: Column) -> Column:
     """a / b, 0 where b is 0 or null."""
     return F.when(b != 0, a / b).otherwise(F.lit(0.0))

@@ -7,43 +7,43 @@ from pyspark.sql import functions as F
 
 from burstline.config import RallyConfig
 from burstline.functions import scoring
-from burstline.functions.stats import clamp, median, ranked_value
+from burstline.functions.stats import clamp, floor_rank
+from burstline.operators.ordered import values_at_ranks, with_previous, with_running_sum
+from burstline.sources.scratch import written
 
 #: Interval statistics of videos with fewer than two peaks.
 DEFAULTS = {"mean": 2.0, "sd": 1.0, "median": 2.0, "p60": None, "p75": 3.0, "p90": 5.0, "p95": 8.0, "boundary": 12.0, "max_interval": 5.5}
 
 
-def in_order(*keys: str):
-    return Window.partitionBy(*keys).orderBy("t", "seq")
-
-
 def confident(peaks: DataFrame, config: RallyConfig = RallyConfig()) -> DataFrame:
     return peaks.where(F.col("confidence") >= config.min_confidence)
 
 
-def with_gaps(peaks: DataFrame, key: str = "video_id") -> DataFrame:
-    """``gap``: time since the video's previous peak, null at its first."""
-    return peaks.withColumn("gap", F.col("t") - F.lag("t").over(in_order(key)))
+def with_gaps(peaks: DataFrame, key: str = "video_id", carry: tuple[str, ...] = ()) -> DataFrame:
+    """``gap``: time since the video's previous peak, null at its first; ``before``: its columns ``carry``, if any."""
+    rows = with_previous(peaks, ("t", *carry), "before", (key,))
+    rows = rows.withColumn("gap", F.col("t") - F.col("before.t"))
+    return rows if carry else rows.drop("before")
+
+
+def _share(p: int):
+    return lambda m: floor_rank(m, p / 100)
 
 
 def interval_statistics(peaks: DataFrame, key: str = "video_id") -> DataFrame:
     """One row per video: n peaks, mean, sd (population), median, p60 to p95 by floored rank, boundary, max_interval.
 
-    Ranks come from a sorted window, which spills, so a video with very many peaks needs no array
-    in memory.
+    Ranks are found by counting (``ordered.values_at_ranks``), so no task sorts a whole video.
     """
-    gaps = with_gaps(peaks, key)
-    by_size = Window.partitionBy(key).orderBy(F.col("gap").asc_nulls_last(), "seq")
-    all_of = Window.partitionBy(key)
-    ranked = gaps.select(key, "gap", F.row_number().over(by_size).alias("rank"), F.count("gap").over(all_of).alias("m"))
-    value, rank, m = F.col("gap"), F.col("rank"), F.col("m")
-    stats = ranked.groupBy(key).agg(
-        F.count("*").alias("n"),
-        F.avg("gap").alias("mean"),
-        F.stddev_pop("gap").alias("sd"),
-        median(value, rank, m).alias("median"),
-        *(ranked_value(value, rank, m, p / 100).alias(f"p{p}") for p in (60, 75, 90, 95)),
-    )
+    return gap_statistics(written(with_gaps(peaks, key).select(key, "gap"), "gaps"), key)
+
+
+def gap_statistics(gaps: DataFrame, key: str = "video_id") -> DataFrame:
+    """``interval_statistics`` of rows with their ``gap``; they are read three times."""
+    stats = gaps.groupBy(key).agg(F.count("*").alias("n"), F.avg("gap").alias("mean"), F.stddev_pop("gap").alias("sd"))
+    middle = {"low": lambda m: F.floor((m + 1) / 2), "high": lambda m: F.floor((m + 2) / 2)}
+    at = values_at_ranks(gaps, "gap", {**middle, **{f"p{p}": _share(p) for p in (60, 75, 90, 95)}}, key)
+    stats = stats.join(at, key).withColumn("median", (F.col("low") + F.col("high")) / 2)
     few = F.col("n") < 2
     boundary = clamp(F.least(F.col("p90"), F.col("mean") + 2.5 * F.col("sd")), 5.0, 8.0)
     longest = clamp(F.least(F.col("p60"), F.col("mean") + F.col("sd")), 2.5, 4.0)
@@ -53,7 +53,7 @@ def interval_statistics(peaks: DataFrame, key: str = "video_id") -> DataFrame:
 
 def sessions(peaks: DataFrame, split, key: str = "video_id") -> DataFrame:
     """``cluster``: how many earlier peaks of the video open a cluster (where ``split`` holds)."""
-    return peaks.withColumn("cluster", F.sum(F.when(split, 1).otherwise(0)).over(in_order(key)))
+    return with_running_sum(peaks, F.when(split, 1).otherwise(0), "cluster", (key,))
 
 
 def fixed_gap_sessions(peaks: DataFrame, config: RallyConfig = RallyConfig(), key: str = "video_id") -> DataFrame:
@@ -65,8 +65,8 @@ def dynamic_gap_sessions(peaks: DataFrame, key: str = "video_id") -> DataFrame:
 
     The clause for clusters of four or more peaks depends on the cluster so far; ``folds.exact_sessions`` has it.
     """
-    gaps = with_gaps(peaks, key).withColumn("before", F.lag("confidence").over(in_order(key)))
-    joined = gaps.join(interval_statistics(peaks, key).select(key, "boundary", "max_interval"), key)
+    gaps = written(with_gaps(peaks, key, ("confidence",)).withColumn("before", F.col("before.confidence")), "gaps")
+    joined = gaps.join(gap_statistics(gaps, key).select(key, "boundary", "max_interval"), key)
     both = (F.col("before") > 0.7) & (F.col("confidence") > 0.7) & (F.col("gap") <= 1.1 * F.col("max_interval"))
     near = (F.col("gap") <= F.col("max_interval")) | both
     same = (F.col("gap") <= 10) & ((F.col("gap") < 0.3) | ((F.col("gap") <= F.col("boundary")) & near))

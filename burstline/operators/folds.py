@@ -1,8 +1,10 @@
 """Order-dependent passes over one key's rows, as folds of sorted arrays.
 
 A fold sees one group in one array, so groups must be bounded. Passes of the detection that handles
-segments of 120 signal seconds one by one are folded per video and segment. Passes over whole videos
-are folded per island: windows number the stretches between rows at which the state is known.
+segments of 120 signal seconds one by one are folded per video and segment. Debounce and the state machine
+are folded per island: windows number the stretches between rows at which the state is known. Merging and
+exact sessions count a key's rows first; keys with more than ``chains.CHUNK`` are passed over in chunks
+whose transitions are composed (``chains``).
 """
 
 from __future__ import annotations
@@ -13,6 +15,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from burstline.config import FusionConfig
+from burstline.operators import chains
+from burstline.operators.ordered import with_previous
+from burstline.sources.scratch import written
 
 KEYS = ("video_id", "segment")
 VIDEO = ("video_id",)
@@ -137,13 +142,14 @@ def buffered_windows(rows: DataFrame, keys: tuple[str, ...] = KEYS, trigger: int
     return fold(rows, keys, ("t", "seq"), ("intensity",), state, step, lambda acc: acc["out"]).select(*keys, F.inline("result"))
 
 
-def merge_clusters(clusters: DataFrame, gap: float = 2.0, small: int = 3, keys: tuple[str, ...] = ("video_id",)) -> DataFrame:
+def merge_clusters(clusters: DataFrame, gap: float = 2.0, small: int = 3, keys: tuple[str, ...] = VIDEO) -> DataFrame:
     """Clusters (keys, first, last, hits) less than ``gap`` apart become one where either has fewer than ``small`` hits, in a chain.
 
     The hits of what is merged so far count, so a chain of small clusters stops growing once it is
-    large and meets another large one.
+    large and meets another large one. Long keys: the state is how many hits the chain has, ``small`` at most.
     """
     r = "struct<first:double,last:double,hits:bigint>"
+    short, long = chains.split_by_length(written(clusters.select(*keys, "first", "last", F.col("hits").cast("long").alias("hits")), "clusters"), keys)
 
     def step(acc, x):
         cur, out = acc["cur"], acc["out"]
@@ -153,44 +159,80 @@ def merge_clusters(clusters: DataFrame, gap: float = 2.0, small: int = 3, keys:
         fresh = F.coalesce(~joins, F.lit(True))
         return F.struct(F.when(fresh, own).otherwise(merged).alias("cur"), F.when(fresh & cur.isNotNull(), F.concat(out, F.array(cur))).otherwise(out).alias("out"))
 
-    found = fold(clusters, keys, ("first", "last"), ("hits",), f"struct<cur:{r},out:array<{r}>>", step, lambda acc: F.when(acc["cur"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(acc["cur"]))))
-    return found.select(*keys, F.inline("result"))
+    found = fold(short, keys, ("first", "last"), ("hits",), f"struct<cur:{r},out:array<{r}>>", step, lambda acc: F.when(acc["cur"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(acc["cur"]))))
+    found = found.select(*keys, F.inline("result"))
+    if long is None:
+        return found
+    rows = with_previous(long, ("last",), "previous", keys, "first", "last")
+    near = F.coalesce(F.round(F.col("first") - F.col("previous.last"), 9) < gap, F.lit(False))
+    capped = lambda hits: F.least(hits, F.lit(small))
+    moves = []
+    for had in range(small + 1):  # hits of the chain
+        joins = near & ((F.lit(had) < small) | (F.col("hits") < small))
+        moves.append((F.when(joins, capped(F.lit(had) + F.col("hits"))).otherwise(capped(F.col("hits"))), ~joins))
+    grouped = chains.automaton(rows, moves, 0, keys, "first", "last", ("first", "last", "hits"))
+    merged = grouped.groupBy(*keys, "group").agg(F.min("first").alias("first"), F.max_by("last", F.struct("first", "last")).alias("last"), F.sum("hits").alias("hits"))
+    return found.unionByName(merged.drop("group"))
 
 
 def exact_sessions(peaks: DataFrame, stats: DataFrame, key: str = "video_id", keys: tuple[str, ...] = KEYS) -> DataFrame:
     """Clusters with the clause for clusters of four or more: (keys, seq, cluster), clusters counted from 0.
 
-    ``stats`` has boundary, max_interval and p90 of each video.
+    ``stats`` has boundary, max_interval and p90 of each video. Long keys: the state is the size of the
+    cluster so far, four at most, as a row's gap is known from the row before.
     """
     rows = peaks.join(stats.select(key, "boundary", "max_interval", F.coalesce("p90", F.lit(5.0)).alias("p90")), key)
+    short, long = chains.split_by_length(written(rows.select(*dict.fromkeys((*keys, key)), "t", "seq", "confidence", "boundary", "max_interval", "p90"), "peaks"), keys)
+
+    def same(gap, before, large, x):
+        m = x["max_interval"]
+        stretched = large & (gap <= F.least(1.15 * m, x["p90"]))
+        both = (before > 0.7) & (x["confidence"] > 0.7) & (gap <= 1.1 * m)
+        return (gap <= 10) & ((gap < 0.3) | ((gap <= x["boundary"]) & ((gap <= m) | stretched | both)))
 
     def step(acc, x):
-        gap, m = x["t"] - acc["t"], x["max_interval"]
-        large = (acc["size"] >= 4) & (gap <= F.least(1.15 * m, x["p90"]))
-        both = (acc["c"] > 0.7) & (x["confidence"] > 0.7) & (gap <= 1.1 * m)
-        same = (gap <= 10) & ((gap < 0.3) | ((gap <= x["boundary"]) & ((gap <= m) | large | both)))
-        opens = F.coalesce(~same, F.lit(True))
+        opens = F.coalesce(~same(x["t"] - acc["t"], acc["c"], acc["size"] >= 4, x), F.lit(True))
         cluster = F.coalesce(acc["cluster"] + F.when(opens, 1).otherwise(0), F.lit(0))
         placed = F.struct(x["seq"].alias("seq"), cluster.cast("bigint").alias("cluster"))
         return F.struct(x["t"].alias("t"), x["confidence"].alias("c"), F.when(opens, 1).otherwise(acc["size"] + 1).cast("int").alias("size"), cluster.cast("int").alias("cluster"), F.concat(acc["out"], F.array(placed)).alias("out"))
 
     state = "struct<t:double,c:double,size:int,cluster:int,out:array<struct<seq:bigint,cluster:bigint>>>"
-    return fold(rows, keys, ("t", "seq"), ("confidence", "boundary", "max_interval", "p90"), state, step, lambda acc: acc["out"]).select(*keys, F.inline("result"))
+    found = fold(short, keys, ("t", "seq"), ("confidence", "boundary", "max_interval", "p90"), state, step, lambda acc: acc["out"]).select(*keys, F.inline("result"))
+    if long is None:
+        return found
+    rows = with_previous(long, ("t", "confidence"), "previous", keys)
+    row = {c: F.col(c) for c in ("max_interval", "p90", "confidence", "boundary")}
+    moves = []
+    for size in range(5):  # of the cluster so far, 0 before a key's first row
+        joins = F.coalesce(same(F.col("t") - F.col("previous.t"), F.col("previous.confidence"), F.lit(size >= 4), row), F.lit(False))
+        moves.append((F.when(joins, min(size + 1, 4)).otherwise(1), ~joins))
+    grouped = chains.automaton(rows, moves, 0, keys, "t", "seq", ("seq",))
+    return found.unionByName(grouped.select(*keys, "seq", (F.col("group") - 1).alias("cluster")))
+
+
+#: What a rally may carry besides its bounds, intensities and hits; null where a column isn't there.
+METADATA = {"has_peaks": "boolean", "pose_confidence": "double", "players": "int", "peak_times": "array<double>"}
 
 
-def merge_adjacent(rallies: DataFrame, gap: float = 2.0, short: float = 5.0, keys: tuple[str, ...] = ("video_id",)) -> DataFrame:
+def merge_adjacent(rallies: DataFrame, gap: float = 2.0, short: float = 5.0, keys: tuple[str, ...] = VIDEO) -> DataFrame:
     """Neighbours less than ``gap`` apart become one where either is shorter than ``short``, in a chain.
 
-    A merged rally has the outer bounds, the larger peak intensity, the mean of the two mean
-    intensities and the sum of hits.
-    """
-    r = "struct<start:double,end:double,mean_intensity:double,max_intensity:double,hits:bigint>"
+    A merged rally has the outer bounds, the larger peak intensity, the mean of the two mean intensities
+    (and of the two pose confidences), the sum of hits, peaks if either has, the first number of players that is
+    known, and the peak times of both in a row. Columns of ``METADATA`` that ``rallies`` lacks are null.
 
-    def as_r(x):
-        return F.struct(*(x[c].alias(c) for c in ("start", "end", "mean_intensity", "max_intensity")), x["hits"].cast("bigint").alias("hits"))
+    Long keys are grouped in chunks (``chains.merge_groups``); a rally merged of k rallies weighs the first
+    by 2^(1-k) and the i-th by 2^(i-1-k), which is the mean of two along the chain.
+    """
+    names = ("start", "end", "mean_intensity", "max_intensity", "hits", *METADATA)
+    lacking = {c: F.lit(None).cast(kind) for c, kind in METADATA.items() if c not in rallies.columns}
+    rows = rallies.withColumns(lacking).withColumn("hits", F.coalesce(F.col("hits").cast("long"), F.lit(0))).withColumns({c: F.col(c).cast(kind) for c, kind in METADATA.items()})
+    few, many = chains.split_by_length(written(rows.select(*keys, "cluster", *names), "rallies"), keys)
+    r = "struct<start:double,end:double,mean_intensity:double,max_intensity:double,hits:bigint," + ",".join(f"{c}:{kind}" for c, kind in METADATA.items()) + ">"
 
     def step(acc, x):
         cur, out = acc["cur"], acc["out"]
+        own = F.struct(*(x[c].alias(c) for c in names))
         joins = (x["start"] - cur["end"] < gap) & ((cur["end"] - cur["start"] < short) | (x["end"] - x["start"] < short))
         merged = F.struct(
             F.least(cur["start"], x["start"]).alias("start"),
@@ -198,12 +240,35 @@ def merge_adjacent(rallies: DataFrame, gap: float = 2.0, short: float = 5.0, key
             ((cur["mean_intensity"] + x["mean_intensity"]) / 2).alias("mean_intensity"),
             F.greatest(cur["max_intensity"], x["max_intensity"]).alias("max_intensity"),
             (cur["hits"] + x["hits"]).cast("bigint").alias("hits"),
+            (cur["has_peaks"] | x["has_peaks"]).alias("has_peaks"),
+            ((cur["pose_confidence"] + x["pose_confidence"]) / 2).alias("pose_confidence"),
+            F.coalesce(cur["players"], x["players"]).alias("players"),
+            F.when(cur["peak_times"].isNull(), x["peak_times"]).otherwise(F.concat(cur["peak_times"], F.coalesce(x["peak_times"], F.array().cast("array<double>")))).alias("peak_times"),
         )
         fresh = F.coalesce(~joins, F.lit(True))
-        return F.struct(F.when(fresh, as_r(x)).otherwise(merged).alias("cur"), F.when(fresh & cur.isNotNull(), F.concat(out, F.array(cur))).otherwise(out).alias("out"))
+        return F.struct(F.when(fresh, own).otherwise(merged).alias("cur"), F.when(fresh & cur.isNotNull(), F.concat(out, F.array(cur))).otherwise(out).alias("out"))
 
-    found = fold(rallies, keys, ("start", "cluster"), ("end", "mean_intensity", "max_intensity", "hits"), f"struct<cur:{r},out:array<{r}>>", step, lambda acc: F.when(acc["cur"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(acc["cur"]))))
-    return found.select(*keys, F.inline("result"))
+    found = fold(few, keys, ("start", "cluster"), names[1:], f"struct<cur:{r},out:array<{r}>>", step, lambda acc: F.when(acc["cur"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(acc["cur"]))))
+    found = found.select(*keys, F.inline("result"))
+    if many is None:
+        return found
+    grouped = written(chains.merge_groups(many, gap, short, keys), "groups")
+    sizes = grouped.groupBy(*keys, "group").agg((F.max("place") + 1).alias("k"))
+    weight = F.pow(F.lit(2.0), F.when(F.col("place") == 0, F.lit(1)).otherwise(F.col("place")) - F.col("k"))
+    at = F.col("place")
+    merged = grouped.join(sizes, [*keys, "group"]).groupBy(*keys, "group").agg(
+        F.min("start").alias("start"),
+        F.max("end").alias("end"),
+        F.sum(F.col("mean_intensity") * weight).alias("mean_intensity"),
+        F.max("max_intensity").alias("max_intensity"),
+        F.sum("hits").alias("hits"),
+        F.max("has_peaks").alias("has_peaks"),
+        F.sum(F.col("pose_confidence") * weight).alias("pose_confidence"),
+        F.min_by("players", F.when(F.col("players").isNotNull(), at)).alias("players"),
+        F.array_sort(F.collect_list(F.when(F.col("peak_times").isNotNull(), F.struct(at.alias("at"), F.col("peak_times").alias("times"))))).alias("times"),
+    )
+    times = F.when(F.size("times") > 0, F.flatten(F.transform("times", lambda x: x["times"])))
+    return found.unionByName(merged.withColumn("peak_times", times).select(*keys, *names))
 
 
 IDLE, STARTING, IN_RALLY, ENDING = "idle", "starting", "inRally", "ending"

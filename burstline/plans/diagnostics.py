@@ -6,8 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from burstline.functions import text
-from burstline.functions.stats import median, ranked_value
+from burstline.functions.stats import floor_rank
 from burstline.operators import peaks as P
+from burstline.operators.ordered import values_at_ranks
 from burstline.sources.tables import SIGNAL_SQL, signal
 
 
@@ -94,10 +95,10 @@ def local_window_filter(spark, sf_dir):
 
 def global_audio_features(spark, sf_dir):
     """Level statistics of each signal: mean, sample deviation, largest, median and 90th percentile by floored rank."""
-    w = Window.partitionBy("video_id")
-    rows = signal(spark, sf_dir).select("video_id", "amplitude", F.row_number().over(w.orderBy("amplitude", "seq")).alias("rank"), F.count("*").over(w).alias("n"))
-    value, rank, n = F.col("amplitude"), F.col("rank"), F.col("n")
-    out = rows.groupBy("video_id").agg(F.avg(value).alias("mean"), F.coalesce(F.stddev_samp(value), F.lit(0.0)).alias("sd"), F.max(value).alias("largest"), median(value, rank, n).alias("median"), ranked_value(value, rank, n, 0.9).alias("p90"))
+    rows = signal(spark, sf_dir)
+    out = rows.groupBy("video_id").agg(F.avg("amplitude").alias("mean"), F.coalesce(F.stddev_samp("amplitude"), F.lit(0.0)).alias("sd"), F.max("amplitude").alias("largest"))
+    at = values_at_ranks(rows, "amplitude", {"low": lambda m: F.floor((m + 1) / 2), "high": lambda m: F.floor((m + 2) / 2), "p90": lambda m: floor_rank(m, 0.9)})
+    out = out.join(at, "video_id").withColumn("median", (F.col("low") + F.col("high")) / 2)
     return out.select("video_id", *(F.round(c, 7).alias(c) for c in ("mean", "sd", "largest", "median", "p90")))
 
 

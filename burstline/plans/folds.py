@@ -38,8 +38,19 @@ def exact_dynamic_sessions(spark, sf_dir):
 
 
 def rally_merge_adjacent(spark, sf_dir):
-    rows = folds.merge_adjacent(scored(spark, sf_dir).select("video_id", "cluster", "start", "end", "mean_intensity", "max_intensity", "hits"))
-    return rows.select("video_id", "hits", *(F.round(c, 6).alias(c) for c in ("start", "end", "mean_intensity")))
+    """Merged rallies with all that they carry; a rally's pose confidence is that of its peaks, a third of them don't know their players."""
+    carried = {
+        "has_peaks": F.col("max_intensity") > 0.9,
+        "pose_confidence": F.col("mean_confidence"),
+        "players": F.when(F.col("cluster") % 3 != 0, F.col("cluster") % 2 + 1),
+        "peak_times": F.when(F.col("cluster") % 5 != 0, F.array("first", "last")),
+    }
+    rows = folds.merge_adjacent(scored(spark, sf_dir).select("video_id", "cluster", "start", "end", "mean_intensity", "max_intensity", "hits", *(c.alias(name) for name, c in carried.items())))
+    times = F.coalesce(F.size("peak_times"), F.lit(0))
+    return rows.select(
+        "video_id", "hits", "has_peaks", "players", *(F.round(c, 6).alias(c) for c in ("start", "end")), *(F.round(c, 8).alias(c) for c in ("mean_intensity", "max_intensity", "pose_confidence")),
+        F.greatest(times, F.lit(0)).alias("peak_count"), F.round(F.get("peak_times", F.lit(0)), 6).alias("first_peak"), F.round(F.get("peak_times", times - 1), 6).alias("last_peak"),
+    )
 
 
 def cluster_merge_adjacent(spark, sf_dir):
@@ -135,14 +146,19 @@ QUERIES = {
     ),
     "rally_merge_adjacent": (
         rally_merge_adjacent,
-        f"""WITH RECURSIVE {SCORED}, n AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY "start", cluster) AS rn FROM scored),
+        f"""WITH RECURSIVE {SCORED}, n AS (
+            SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY "start", cluster) AS rn, max_intensity > 0.9::DOUBLE AS hp, CASE WHEN cluster % 3 <> 0 THEN CAST(cluster % 2 + 1 AS INTEGER) END AS players,
+                   CASE WHEN cluster % 5 <> 0 THEN [first, last] END AS times FROM scored),
         w AS (
-            SELECT video_id, rn, 1 AS grp, "start" AS s, "end" AS e, mean_intensity AS mi, hits FROM n WHERE rn = 1
+            SELECT video_id, rn, 1 AS grp, "start" AS s, "end" AS e, mean_intensity AS mi, max_intensity AS xi, mean_confidence AS pc, hits, hp, players, times FROM n WHERE rn = 1
             UNION ALL
             SELECT n.video_id, n.rn, CASE WHEN {_JOINS} THEN w.grp ELSE w.grp + 1 END, CASE WHEN {_JOINS} THEN least(w.s, n."start") ELSE n."start" END, CASE WHEN {_JOINS} THEN greatest(w.e, n."end") ELSE n."end" END,
-                   CASE WHEN {_JOINS} THEN (w.mi + n.mean_intensity) / 2 ELSE n.mean_intensity END, CASE WHEN {_JOINS} THEN w.hits + n.hits ELSE n.hits END
+                   CASE WHEN {_JOINS} THEN (w.mi + n.mean_intensity) / 2 ELSE n.mean_intensity END, CASE WHEN {_JOINS} THEN greatest(w.xi, n.max_intensity) ELSE n.max_intensity END,
+                   CASE WHEN {_JOINS} THEN (w.pc + n.mean_confidence) / 2 ELSE n.mean_confidence END, CASE WHEN {_JOINS} THEN w.hits + n.hits ELSE n.hits END, CASE WHEN {_JOINS} THEN w.hp OR n.hp ELSE n.hp END,
+                   CASE WHEN {_JOINS} THEN coalesce(w.players, n.players) ELSE n.players END, CASE WHEN {_JOINS} AND w.times IS NOT NULL THEN list_concat(w.times, coalesce(n.times, CAST([] AS DOUBLE[]))) ELSE n.times END
             FROM w JOIN n ON n.video_id = w.video_id AND n.rn = w.rn + 1
-        ) SELECT video_id, hits, round(s, 6) AS "start", round(e, 6) AS "end", round(mi, 6) AS mean_intensity FROM w QUALIFY row_number() OVER (PARTITION BY video_id, grp ORDER BY rn DESC) = 1""",
+        ) SELECT video_id, hits, hp AS has_peaks, players, round(s, 6) AS "start", round(e, 6) AS "end", round(mi, 8) AS mean_intensity, round(xi, 8) AS max_intensity, round(pc, 8) AS pose_confidence,
+                 CAST(coalesce(len(times), 0) AS INTEGER) AS peak_count, round(times[1], 6) AS first_peak, round(times[-1], 6) AS last_peak FROM w QUALIFY row_number() OVER (PARTITION BY video_id, grp ORDER BY rn DESC) = 1""",
     ),
     "cluster_merge_adjacent": (
         cluster_merge_adjacent,
