@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Callable, Iterator
 from itertools import islice
 
@@ -18,9 +19,10 @@ from burstline.llm.wordsets import frugal
 #: The character that stands for a space.
 MARK = "▁"
 #: Chunks whose ids a worker remembers, in each of two generations, and the longest of them in characters.
-CHUNK_CACHE = 150_000
+CHUNK_CACHE = 300_000
 LONGEST_CACHED = 48
-#: Chunks of a text that are looked up at once, and ids that are decoded at once.
+#: Characters from which a text is encoded alone, in parts of ``CHUNKS`` chunks, and ids that are decoded at once.
+LONG_TEXT = 1_000_000
 CHUNKS = 200_000
 IDS = 200_000
 #: Bytes of text, or ids, that are handled between two output batches; one longer text is handled alone.
@@ -62,12 +64,12 @@ class PieceModel:
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
-    def _table(self, chunks: list[str]) -> dict[str, bytes]:
-        """The distinct ``chunks`` with their ids, four bytes an id, each segmented once."""
+    def _table(self, chunks: set[str]) -> dict[str, bytes]:
+        """``chunks`` with their ids, four bytes an id, each segmented once."""
         if len(self.known) >= CHUNK_CACHE:  # chunks not used for a whole generation are forgotten
             self.older, self.known = self.known, {}
         table, missing = {}, []
-        for chunk in set(chunks):
+        for chunk in chunks:
             ids = self.known.get(chunk)
             if ids is None and (ids := self.older.get(chunk)) is not None:
                 self.known[chunk] = ids
@@ -76,23 +78,27 @@ class PieceModel:
             else:
                 table[chunk] = ids
         for chunk, ids in zip(missing, self.bare.encode(missing, num_threads=1), strict=True):
-            table[chunk] = np.array(ids, dtype="<i4").tobytes()
+            table[chunk] = array("i", ids).tobytes()
             if len(chunk) <= LONGEST_CACHED:
                 self.known[chunk] = table[chunk]
         return table
 
-    def encode(self, text: str) -> bytes:
-        """The ids of ``text``, four bytes an id."""
-        if not text:
-            return b""
-        if not self.by_chunk:
-            return np.array(self.whole.encode(text), dtype="<i4").tobytes()
-        found = self.pattern.finditer(self.prefix + text.replace(" ", MARK))
+    def _long(self, text: str) -> bytes:
+        found = self.pattern.finditer(text)
         parts = []
         while chunks := [m[0] for m in islice(found, CHUNKS)]:
-            parts.append(b"".join(map(self._table(chunks).__getitem__, chunks)))
+            parts.append(b"".join(map(self._table(set(chunks)).__getitem__, chunks)))
         return b"".join(parts)
 
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text, four bytes an id. The table is of the chunks of all but the long texts."""
+        if not self.by_chunk:
+            return [array("i", self.whole.encode(text)).tobytes() for text in texts]
+        marked = [self.prefix + text.replace(" ", MARK) if text else "" for text in texts]
+        chunks = [self.pattern.findall(text) if len(text) < LONG_TEXT else None for text in marked]
+        table = self._table(set().union(*(c for c in chunks if c)))
+        return [self._long(text) if c is None else b"".join(map(table.__getitem__, c)) for text, c in zip(marked, chunks, strict=True)]
+
     def decode(self, ids: np.ndarray) -> str:
         """The text of ``ids``, as the library gives it.
 
@@ -134,7 +140,7 @@ def _encoded(path: str) -> Callable:
         for batch in batches:
             texts = batch.column(batch.num_columns - 1).cast(pa.large_string()).fill_null("")
             for at, to in _groups(pc.binary_length(texts).to_numpy(zero_copy_only=False), SLICE_BYTES):
-                ids = [model.encode(text) for text in texts.slice(at, to - at).to_pylist()]
+                ids = model.encode(texts.slice(at, to - at).to_pylist())
                 offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])]).astype("<i4")
                 column = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(ids), dtype="<i4")))
                 rest = batch.slice(at, to - at)
@@ -166,8 +172,8 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", keep: tuple[str,
 
     A text is cut into chunks, a run of markers (spaces) with the word after it; the distinct chunks
     make a table that is segmented once each, and the ids of the table's rows are put back in the
-    place of every chunk. The table is one of some 200,000 chunks at a time inside a task, and
-    what it found is remembered for later ones in two generations of ``CHUNK_CACHE`` chunks. So
+    place of every chunk. A table is that of some ``SLICE_BYTES`` of text inside a task (of a part of
+    one longer text), and what it found is remembered for later ones in two generations of ``CHUNK_CACHE`` chunks. So
     nothing is shuffled, memory is bounded whatever the vocabulary, and a lost executor costs its tasks alone.
     A model whose pieces cross markers, or with rules that change the text, encodes texts whole.
 

@@ -20,14 +20,16 @@ def library():
 def test_model_equals_the_library(at_once, monkeypatch):
     monkeypatch.setattr(sentence_pieces, "IDS", at_once)
     monkeypatch.setattr(sentence_pieces, "CHUNKS", at_once)
+    monkeypatch.setattr(sentence_pieces, "LONG_TEXT", at_once)
     monkeypatch.setattr(sentence_pieces, "CHUNK_CACHE", 50)
     rng = random.Random(1)
     letters = list(" \n\t▁abcde.é😀0Z\x00\r")
     model, plain = sentence_pieces.PieceModel(PATH), library()
     assert model.by_chunk
-    for text in [t or "" for t in TEXTS] + ["".join(rng.choices(letters, k=rng.randint(1, 200))) for _ in range(1500)]:
+    texts = [t or "" for t in TEXTS] + ["".join(rng.choices(letters, k=rng.randint(1, 200))) for _ in range(1500)]
+    for text, coded in zip(texts, model.encode(texts), strict=True):
         want = plain.encode(text)
-        ids = np.frombuffer(model.encode(text), dtype="<i4")
+        ids = np.frombuffer(coded, dtype="<i4")
         assert ids.tolist() == want
         assert model.decode(ids) == plain.decode(want)
 
@@ -35,7 +37,7 @@ def test_model_equals_the_library(at_once, monkeypatch):
 def test_models_that_change_texts_are_used_whole(monkeypatch):
     model = sentence_pieces.PieceModel(PATH)
     model.by_chunk = False
-    assert np.frombuffer(model.encode("a  b\nc"), dtype="<i4").tolist() == library().encode("a  b\nc")
+    assert np.frombuffer(model.encode(["a  b\nc"])[0], dtype="<i4").tolist() == library().encode("a  b\nc")
 
 
 def test_query_and_columns(spark, tmp_path, monkeypatch):
