@@ -117,27 +117,3 @@ def hit_state_machine(frames: DataFrame, config: FusionConfig = FusionConfig(),
 def _milliseconds(text: str) -> int:
     number, unit = text.split()
     return int(float(number) * {"milliseconds": 1, "second": 1000, "seconds": 1000, "minute": 60_000, "minutes": 60_000, "hours": 3_600_000}[unit])
-
-
-def upsert_states(batch: DataFrame, path: str, keys: list[str], order: str) -> None:
-    """``foreachBatch`` body: a table of the latest row of each key, rewritten from its old rows and the batch.
-
-    Each version is written whole beside the last one, and counts once its success marker is
-    there, so readers see one or the other, and a repeated batch gives the same table.
-    """
-    spark = batch.sparkSession
-    root = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
-    versions = sorted(int(s.getPath().getName().removeprefix("v")) for s in (fs.listStatus(root) if fs.exists(root) else []) if s.getPath().getName().startswith("v") and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS")))
-    rows = batch
-    if versions:
-        rows = spark.read.parquet(f"{path}/v{versions[-1]}").unionByName(batch)
-    latest = rows.groupBy(*keys).agg(F.max_by(F.struct(*rows.columns), order).alias("r")).select("r.*")
-    latest.write.mode("overwrite").parquet(f"{path}/v{versions[-1] + 1 if versions else 0}")
-
-
-def latest_states(spark, path: str) -> DataFrame:
-    root = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
-    names = [s.getPath().getName() for s in fs.listStatus(root) if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
-    return spark.read.parquet(f"{path}/v{max(int(n.removeprefix('v')) for n in names)}")

@@ -106,13 +106,6 @@ def test_streamed_sessions_agree_with_batch(spark, tmp_path):
     assert sorted(r.hits for r in spark.table("sessions").collect()) == [2, 3, 3]
 
 
-def test_upsert(spark, tmp_path):
-    path = str(tmp_path / "states")
-    S.upsert_states(spark.createDataFrame([(1, 1, 0.2), (2, 1, 0.1)], "video_id long, updated long, progress double"), path, ["video_id"], "updated")
-    S.upsert_states(spark.createDataFrame([(1, 2, 0.9)], "video_id long, updated long, progress double"), path, ["video_id"], "updated")
-    assert sorted(map(tuple, S.latest_states(spark, path).collect())) == [(1, 2, 0.9), (2, 1, 0.1)]
-
-
 def test_labels_and_media(spark, tmp_path):
     (tmp_path / "a.mp4").write_bytes(b"x")
     (tmp_path / "b.MOV").write_bytes(b"x")
