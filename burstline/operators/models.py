@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from burstline.functions.signal import log_gaussian
@@ -64,6 +64,27 @@ def change_points(gaps: DataFrame, stats: DataFrame, key: str = "video_id", keys
     return found.withColumn("is_change", (F.col("probability") >= 0.55) & (F.col("run_length") >= 3))
 
 
+#: Centres up to which all of them are compared with a row at once.
+MOST_CENTRES = 1_000
+
+
+def nearest_centre(rows: DataFrame, centres: DataFrame, vector: str, digits: int = 9) -> DataFrame:
+    """``rows`` with ``nearest``, the label of the nearest of ``centres`` (label, c), and ``distance``, rounded to ``digits``; ties to the smaller label.
+
+    The centres become one constant array, once their number is known to be ``MOST_CENTRES`` at most; more are an error.
+    """
+    from burstline.functions.signal import distance
+
+    found = sorted(centres.select("label", "c").limit(MOST_CENTRES + 1).collect())
+    if len(found) > MOST_CENTRES:
+        raise ValueError(f"more than {MOST_CENTRES} centres")
+    if not found:
+        return rows.withColumns({"nearest": F.lit(None).cast("int"), "distance": F.lit(None).cast("double")})
+    known = F.array(*(F.struct(F.lit(label).alias("label"), F.array(*(F.lit(float(v)) for v in c)).alias("c")) for label, c in found))
+    best = F.array_min(F.transform(known, lambda k: F.struct(F.round(distance(F.col(vector), k["c"]), digits).alias("distance"), k["label"].alias("label"))))
+    return rows.withColumn("__best", best).withColumns({"nearest": F.col("__best.label"), "distance": F.col("__best.distance")}).drop("__best")
+
+
 class Mixture:
     """A mixture of Gaussians with diagonal covariances: weights, means and variances."""
 
@@ -75,16 +96,30 @@ class Mixture:
         return [F.lit(math.log(w)) + log_gaussian(x, vector(m), vector(v)) for w, m, v in zip(self.weights, self.means, self.variances, strict=True)]
 
 
-def seed_means(rows: DataFrame, vector: str, order: str, k: int) -> list[list[float]]:
-    """Farthest-point seeding: the first row by ``order``, then the row farthest from all chosen, ties to the first."""
+def uniform(identity: Column, round_: int, seed: int) -> Column:
+    """A number in (0, 1) made of the SHA-256 of seed, round and identity: the same wherever the row lies."""
+    text = F.concat(F.lit(f"{seed}:{round_}:"), identity.cast("string"))
+    return (F.conv(F.substring(F.sha2(text, 256), 1, 12), 16, 10).cast("double") + 0.5) / F.lit(float(1 << 48))
+
+
+def seed_means(rows: DataFrame, vector: str, order: str, k: int, seed: int = 0) -> list[list[float]]:
+    """k-means++ seeding: the first centre is any row, each further one a row drawn by its squared distance from the nearest.
+
+    Draws are by exponential keys, -ln(u) / weight with a hashed ``uniform`` of the row's ``order``, of which the least
+    wins. One pass for each centre, no sums and no second pass, and the same rows whatever the partitions. Equal
+    keys go to the smaller ``order``. With fewer different vectors than ``k`` the remaining centres repeat the first.
+    """
     from burstline.functions.signal import distance
 
-    first = rows.orderBy(order).select(vector).first()
-    chosen = [first[0]]
-    while len(chosen) < k:
-        nearest = F.least(*(distance(F.col(vector), F.array(*(F.lit(float(a)) for a in c))) for c in chosen), F.lit(float("inf")))
-        chosen.append(rows.select(vector, order, nearest.alias("d")).orderBy(F.desc("d"), order).first()[0])
-    return [list(c) for c in chosen]
+    chosen: list[list[float]] = []
+    for j in range(k):
+        key = -F.log(uniform(F.col(order), j, seed))
+        if chosen:
+            far = F.least(*(distance(F.col(vector), F.array(*(F.lit(float(a)) for a in c))) for c in chosen), F.lit(float("inf")))
+            key = F.when(far > 0, key / (far * far))
+        found = rows.select(key.alias("key"), order, vector).where("key IS NOT NULL").agg(F.min_by(vector, F.struct("key", order))).first()[0]
+        chosen.append(list(found) if found is not None else list(chosen[0]))
+    return chosen
 
 
 def _moments(mixture: Mixture):

@@ -10,6 +10,7 @@ from burstline.operators import detection as D
 from burstline.operators import evaluation as E
 from burstline.operators import joins as J
 from burstline.plans.detection import SCORED, r_sql, scored
+from burstline.sources.scratch import written
 from burstline.sources.tables import SIGNAL_SQL, signal
 
 
@@ -71,13 +72,14 @@ def segment_overlap(spark, sf_dir):
 
 
 def _detected(spark, sf_dir):
+    """Rallies with their numbers; written, as an evaluation reads them several times."""
     number = F.row_number().over(Window.partitionBy("video_id").orderBy("start", "cluster"))
-    return _rallies(spark, sf_dir).select("video_id", number.alias("d"), "start", "end")
+    return written(_rallies(spark, sf_dir).select("video_id", number.alias("d"), "start", "end"), "detected")
 
 
-def _labels(spark, sf_dir):
+def _labels(detected):
     """Every rally but each fifth, moved by an offset of its number, and a second label near every third."""
-    rows = _detected(spark, sf_dir).where("d % 5 <> 0")
+    rows = detected.where("d % 5 <> 0")
     moved = rows.select("video_id", (F.col("d") * 2).alias("g"), (F.col("start") + (F.col("d") % 7) / 4.0 - 0.75).alias("start"), (F.col("end") + (F.col("d") % 3) / 4.0).alias("end"), F.when(F.col("d") % 2 == 0, F.col("d") * 7.0).alias("score"))
     second = rows.where("d % 3 = 0").select("video_id", (F.col("d") * 2 + 1).alias("g"), (F.col("start") + 0.375).alias("start"), (F.col("end") - 0.125).alias("end"), F.lit(-5.0).alias("score"))
     return moved.unionByName(second)
@@ -106,15 +108,13 @@ EVAL = f"""{SCORED}, detected AS (
 
 
 def tolerance_match(spark, sf_dir):
-    return E.tolerance_pairs(_detected(spark, sf_dir), _labels(spark, sf_dir), 1.0).select("video_id", "d", "g", F.round("error", 6).alias("error"))
-
-
-def _matched(spark, sf_dir):
-    return E.best_matches(E.tolerance_pairs(_detected(spark, sf_dir), _labels(spark, sf_dir), 1.0))
+    detected = _detected(spark, sf_dir)
+    return E.tolerance_pairs(detected, _labels(detected), 1.0).select("video_id", "d", "g", F.round("error", 6).alias("error"))
 
 
 def _evaluated(spark, sf_dir):
-    return E.evaluate(_detected(spark, sf_dir), _labels(spark, sf_dir))
+    detected = _detected(spark, sf_dir)
+    return E.evaluate(detected, _labels(detected))
 
 
 def best_match_eval(spark, sf_dir):
@@ -123,14 +123,15 @@ def best_match_eval(spark, sf_dir):
 
 
 def unmatched_anti(spark, sf_dir):
-    matched = _matched(spark, sf_dir)
-    lost = _labels(spark, sf_dir).join(matched, ["video_id", "g"], "left_anti").groupBy("video_id").agg(F.count("*").alias("n"), F.min("g").alias("first")).withColumn("side", F.lit("label"))
-    false = _detected(spark, sf_dir).join(matched, ["video_id", "d"], "left_anti").groupBy("video_id").agg(F.count("*").alias("n"), F.min("d").alias("first")).withColumn("side", F.lit("detection"))
+    detected = _detected(spark, sf_dir)
+    matched = E.best_matches(E.tolerance_pairs(detected, _labels(detected), 1.0))
+    lost = _labels(detected).join(matched, ["video_id", "g"], "left_anti").groupBy("video_id").agg(F.count("*").alias("n"), F.min("g").alias("first")).withColumn("side", F.lit("label"))
+    false = detected.join(matched, ["video_id", "d"], "left_anti").groupBy("video_id").agg(F.count("*").alias("n"), F.min("d").alias("first")).withColumn("side", F.lit("detection"))
     return lost.unionByName(false)
 
 
 def overlap_self_join(spark, sf_dir):
-    rows = _labels(spark, sf_dir).withColumnRenamed("g", "number")
+    rows = _labels(_detected(spark, sf_dir)).withColumnRenamed("g", "number")
     return J.overlapping_pairs(rows, 8.0)
 
 
@@ -139,11 +140,11 @@ def batch_eval_rollup(spark, sf_dir):
 
 
 def label_stats(spark, sf_dir):
-    return E.label_statistics(_labels(spark, sf_dir)).select("video_id", "labels", *(F.round(c, 6).alias(c) for c in ("shortest", "longest", "mean", "annotated")))
+    return E.label_statistics(_labels(_detected(spark, sf_dir))).select("video_id", "labels", *(F.round(c, 6).alias(c) for c in ("shortest", "longest", "mean", "annotated")))
 
 
 def label_violations(spark, sf_dir):
-    return E.violations(_labels(spark, sf_dir)).groupBy("video_id", "violation").agg(F.count("*").alias("n"))
+    return E.violations(_labels(_detected(spark, sf_dir))).groupBy("video_id", "violation").agg(F.count("*").alias("n"))
 
 
 def boundary_refinement(spark, sf_dir):

@@ -10,6 +10,7 @@ from burstline.operators import detection as D
 from burstline.operators import models as M
 from burstline.operators import trajectories as J
 from burstline.plans.detection import GAPS, STATS, peaks
+from burstline.sources.scratch import written
 from burstline.sources.tables import SIGNAL_SQL, read, signal
 
 RATE = 1000.0
@@ -51,13 +52,11 @@ def sliding_windows(spark, sf_dir):
 
 
 def euclid_nearest(spark, sf_dir):
-    """Each vector's nearest of ten label centres; ties to the smaller label."""
+    """Each vector's nearest of its classes' centres; ties to the smaller label."""
     rows = _samples(spark, sf_dir)
-    centres = rows.select("label", F.posexplode("x").alias("d", "v")).groupBy("label", "d").agg(F.avg("v").alias("v"))
-    # a centre per label of a small fixed set of classes
-    centres = centres.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "v"))), lambda s: s["v"]).alias("c")).select(F.col("label").alias("nearest"), "c")
-    pairs = rows.join(F.broadcast(centres)).withColumn("distance", F.round(S.distance(F.col("x"), F.col("c")), 6))
-    return pairs.groupBy("vec_id").agg(F.min(F.struct("distance", "nearest")).alias("m")).select("vec_id", F.col("m.nearest").alias("nearest"), F.round("m.distance", 5).alias("distance"))
+    centres = rows.where("label IS NOT NULL").select("label", F.posexplode("x").alias("d", "v")).groupBy("label", "d").agg(F.avg("v").alias("v"))
+    centres = centres.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "v"))), lambda s: s["v"]).alias("c"))
+    return M.nearest_centre(rows, centres, "x").select("vec_id", "nearest", F.round("distance", 5).alias("distance"))
 
 
 def gaussian_pdf(spark, sf_dir):
@@ -142,7 +141,7 @@ def change_point_weighted(spark, sf_dir):
 
 
 def gmm_classify(spark, sf_dir):
-    rows = _features(spark, sf_dir).persist()  # each step of the fit reads them
+    rows = written(_features(spark, sf_dir), "features")  # each step of the fit reads them
     mixture = M.fit_mixture(rows, "x", "vec_id", k=3, steps=12)
     return M.classify(rows, mixture, "x").select("vec_id", "class", F.round("probability", 4).alias("probability"))
 

@@ -1,5 +1,6 @@
 """Spectra and mixtures against plain Python, gates before kernels, and the file formats."""
 
+import hashlib
 import json
 import math
 
@@ -84,15 +85,38 @@ def test_gate_comes_before_the_kernel(spark, tiny):
     assert plan.index("ArrowEvalPython") < plan.index("Filter")  # printed from the top: the filter is below
 
 
+def plain_seeds(x, k, seed=0):
+    """k-means++ by exponential keys, row by row."""
+    chosen = []
+    for j in range(k):
+        keys = []
+        for i, v in enumerate(x):
+            u = (int(hashlib.sha256(f"{seed}:{j}:{i}".encode()).hexdigest()[:12], 16) + 0.5) / 2**48
+            weight = min(((v - x[c]) ** 2).sum() for c in chosen) if chosen else 1.0
+            keys.append(-math.log(u) / weight if weight > 0 else math.inf)
+        chosen.append(int(np.argmin(keys)))
+    return chosen
+
+
+def test_seeds_are_drawn_by_squared_distance(spark):
+    """Of 60 points at 0, 30 at 1 and 10 at 3, and a first centre at 0, the second is drawn as 30 : 90."""
+    rows = spark.createDataFrame([(i, [0.0 if i < 60 else 1.0 if i < 90 else 3.0]) for i in range(100)], "i long, x array<double>").persist()
+    pairs = [tuple(c[0] for c in M.seed_means(rows, "x", "i", 2, seed)) for seed in range(40)]
+    rows.unpersist()
+    from_zero = [b for a, b in pairs if a == 0.0]
+    assert 15 <= len(from_zero) <= 33 and 0.0 not in from_zero
+    assert 0.5 <= from_zero.count(3.0) / len(from_zero) <= 0.95
+    assert M.seed_means(rows.where("i < 60"), "x", "i", 3) == [[0.0]] * 3
+
+
 def test_mixture_equals_plain_em(spark):
     rng = np.random.default_rng(3)
     x = np.concatenate([rng.normal(c, 1.0, (40, 4)) for c in (-4, 0, 5)])
     rows = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "i long, x array<double>").repartition(3)
     got = M.fit_mixture(rows, "x", "i", k=3, steps=7)
-    chosen = [0]
-    while len(chosen) < 3:
-        d = np.min([np.sqrt(((x - x[c]) ** 2).sum(axis=1)) for c in chosen], axis=0)
-        chosen.append(int(d.argmax()))
+    chosen = plain_seeds(x, 3)
+    for parts in (2, 8):
+        assert M.seed_means(rows.repartition(parts), "x", "i", 3) == [list(x[c]) for c in chosen]
     weights, means, variances = np.ones(3) / 3, x[chosen], np.ones((3, 4))
     before = -math.inf
     for _ in range(7):
