@@ -73,7 +73,7 @@ def _held_whole(rows: DataFrame, items: DataFrame, width: int) -> DataFrame:
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", width: int = WINDOW, least_percent: int = LEAST_PERCENT) -> DataFrame:
-    """(id, item, windows, found, share, substituted): every document that holds an item's template.
+    """(id, item, windows, found, share, substituted, text_hash): every document that holds an item's template.
 
     Both sides are brought to templates, and windows of ``width`` tokens are joined by hash. A
     found window counts if its slots are consistent: over all found windows of one occurrence of the
@@ -89,7 +89,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     Items with fewer than ``width`` tokens are one window of their own length, anywhere in a document.
     Windows of which less than half are plain words are not compared as templates; an item that has
     no others is held by a document with all its words, as they are but for case, in a row. Null
-    texts hold nothing; null ids are kept; repeated rows answer alike, once for each id and text.
+    texts hold nothing; null ids are kept; repeated rows answer alike, once for each id and text, whose hash is ``text_hash``.
     """
     items = benchmark.select(F.col(item_col).alias("item"), F.col(item_text_col).alias("text")).distinct()
     items = written(templates(items).where(F.size("token") > 0), "items")
@@ -112,7 +112,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     # only documents with a hit are read again, for their words
     again = templates(join_small(rows, hits.withColumnRenamed("id", "hit_id"), "key", elements="hits").where(F.col("id").eqNullSafe(F.col("hit_id"))).drop("hit_id").dropDuplicates(["id", "key"]))
     again = again.withColumn("hit", F.explode("hits")).select("id", "key", F.col("hit.at").alias("doc_at"), F.col("hit.hash").alias("hash"), F.slice("raw", F.col("hit.at") + 1, F.col("hit.n")).alias("doc_raw"), F.slice("token", F.col("hit.at") + 1, F.col("hit.n")).alias("doc_token"))
-    pairs = written(join_small(again, own, "hash").where(F.col("doc_token") == F.col("item_token")).where(~F.col("inside") | (F.lower(F.element_at("doc_raw", 1)) == F.lower(F.element_at("item_raw", 1)))), "pairs")
+    pairs = written(join_small(again, own, "hash", elements="item_raw").where(F.col("doc_token") == F.col("item_token")).where(~F.col("inside") | (F.lower(F.element_at("doc_raw", 1)) == F.lower(F.element_at("item_raw", 1)))), "pairs")
 
     slots = F.filter(F.zip_with(F.arrays_zip("item_token", "item_raw"), "doc_raw", lambda i, d: F.when(i["item_token"].startswith("<"), F.struct(F.concat_ws(" ", i["item_token"], F.lower(i["item_raw"])).alias("slot"), F.lower(d).alias("value")))), lambda x: x.isNotNull())
     pairs = pairs.select("id", "key", "item", "window", (F.col("doc_at") - F.col("item_at")).alias("shift"), slots.alias("slots"))
@@ -135,10 +135,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     found = found.select("id", "key", "item", "found", "windows", "substituted")
     if not dense.isEmpty():
         found = found.unionByName(_held_whole(rows, dense, width))
-    return found.groupBy(F.col("id").alias(id_col), F.col("item").alias(item_col)).agg(F.max("windows").alias("windows"), F.max("found").alias("found"), F.max(F.col("found") / F.col("windows")).alias("share"), F.max("substituted").alias("substituted"))
+    found = found.groupBy("id", "key", "item").agg(F.max("windows").alias("windows"), F.max("found").alias("found"), F.max(F.col("found") / F.col("windows")).alias("share"), F.max("substituted").alias("substituted"))
+    return found.select(F.col("id").alias(id_col), F.col("item").alias(item_col), "windows", "found", "share", "substituted", F.col("key").alias("text_hash"))
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """``docs`` without the contaminated documents."""
-    bad = contaminated(docs, benchmark, id_col, text_col, **how).select(F.col(id_col).alias("__id")).distinct()
-    return docs.join(written(bad, "contaminated"), F.col(id_col).eqNullSafe(F.col("__id")), "left_anti")
+    """``docs`` without the contaminated documents.
+
+    A document is an id with a text: texts that share an id, or have none, are judged apart, and rows that
+    repeat both go or stay together. Null and empty texts stay. The columns are those of ``docs``.
+    """
+    bad = contaminated(docs, benchmark, id_col, text_col, **how).select(F.col(id_col).alias("id"), "text_hash").distinct()
+    bad = written(bad.select(F.struct("id", "text_hash").alias("gone")), "contaminated")
+    rows = docs.select(F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash")).alias("pair"), F.struct(*docs.columns).alias("row"))
+    return join_small(rows, bad, F.col("pair") == F.col("gone"), "left_anti").select("row.*")

@@ -23,12 +23,13 @@ def _once(value):
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gram: int = GRAM, window: int = WINDOW) -> DataFrame:
-    """(id, text_hash, at, context): the selected fingerprints of each text, once for each window they stand for.
+    """(id, text_hash, at, print, before, after, contexts): the selected positions of each text, once each.
 
     Each ``gram`` filled lines in a row are hashed, and of each ``window`` such hashes in a row the
-    least is selected (the last of equals). ``context`` holds the fingerprint, its place in the
-    window and the window's other lines, the match extended both ways as far as a run of the least
-    length needs; ``at`` is the window's first line among the filled ones.
+    least is selected (the last of equals). A position that several windows select is one row: ``at`` is its
+    first line among the filled ones, ``print`` its hash; ``before`` and ``after`` are the hashes of the ``window`` - 1 lines
+    on either side, nearest first, and ``contexts`` has for each window that selects it the hash of all the window's lines, which
+    tells apart what surrounds equal fingerprints.
     """
     lines = F.filter(F.transform(F.split(F.col(text_col), "\n", -1), lambda x: F.trim(x)), lambda x: x != "")
     rows = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"), _once(F.transform(lines, lambda x: F.xxhash64(x))).alias("h"))
@@ -39,12 +40,45 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def of_window(i):
         # the negative place makes the least struct the last of equal hashes
         least = F.array_min(F.transform(F.sequence(F.lit(0), F.lit(window - 1)), lambda j: F.struct(F.element_at("g", i + j + 1).alias("g"), (-j).alias("at"))))
-        place = -least["at"]
-        before, after = F.slice("h", i + 1, place), F.slice("h", i + place + gram + 1, window - 1 - place)
-        return F.xxhash64(least["g"], place, F.concat(before, after))
-
-    rows = rows.select("id", "text_hash", F.posexplode(F.transform(F.sequence(F.lit(0), F.size("g") - window), of_window)).alias("at", "context"))
-    return rows
+        return F.struct((i - least["at"]).alias("at"), F.xxhash64(F.slice("h", i + 1, gram + window - 1)).alias("context"))
+
+    rows = rows.withColumn("w", _once(F.transform(F.sequence(F.lit(0), F.size("g") - window), of_window)))
+    # selected places never go back, so those of a position stand in a row: it opens where the place before differs
+    opens = F.filter(F.transform("w", lambda x, i: F.when((i == 0) | (F.get("w", i - 1)["at"] != x["at"]), i)), lambda i: i.isNotNull())
+    rows = rows.withColumn("opens", _once(opens))
+    ends = F.concat(F.slice("opens", 2, F.size("opens")), F.array(F.size("w")))
+    parts = F.zip_with("opens", ends, lambda a, b: F.struct(F.get("w", a)["at"].alias("at"), F.transform(F.slice("w", a + 1, b - a), lambda x: x["context"]).alias("contexts")))
+    rows = rows.select("id", "text_hash", "g", "h", F.explode(parts).alias("p")).select("id", "text_hash", "g", "h", "p.at", "p.contexts")
+    near = F.least(F.col("at"), F.lit(window - 1))
+    before = F.reverse(F.slice("h", F.col("at") - near + 1, near))
+    after = F.slice("h", F.col("at") + gram + 1, window - 1)
+    return rows.select("id", "text_hash", "at", F.element_at("g", F.col("at") + 1).alias("print"), before.alias("before"), after.alias("after"), "contexts")
+
+
+def _common(a, b):
+    """How many elements two arrays share from their beginning on."""
+    n = F.least(F.size(a), F.size(b))
+    differs = F.array_position(F.zip_with(F.slice(a, 1, n), F.slice(b, 1, n), lambda x, y: x == y), False)
+    return F.when(differs == 0, n).otherwise(differs - 1).cast("int")
+
+
+def matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gram: int = GRAM, window: int = WINDOW) -> DataFrame:
+    """(id, text_hash, at, n): stretches of ``n`` lines from ``at`` on that stand earlier too, each by a joined position extended both ways.
+
+    Positions whose fingerprint stands nowhere else go first. Those that are left are told apart by context, and each meets the
+    first holder of each of its contexts. From there the match is extended line by line to both sides, as far as the
+    fingerprint's windows reach; a longer run is the union of its positions' stretches.
+    """
+    marks = written(fingerprints(docs, id_col, text_col, gram, window), "fingerprints")
+    shared = written(marks.groupBy("print").agg(F.count("*").alias("n")).where("n > 1").select("print"), "shared")
+    marks = marks.join(shared.hint("merge"), "print", "left_semi").select("id", "text_hash", "at", "before", "after", F.explode("contexts").alias("context"))
+    marks = written(marks, "positions")
+    place = F.struct("id", "text_hash", "at", "before", "after")
+    first = marks.groupBy("context").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    earlier = F.struct("first.id", "first.text_hash", "first.at")
+    later = marks.join(written(first, "first").hint("merge"), "context").where(F.struct("id", "text_hash", "at") > earlier)
+    left, right = _common(F.col("before"), F.col("first.before")), _common(F.col("after"), F.col("first.after"))
+    return later.select("id", "text_hash", (F.col("at") - left).alias("at"), (left + gram + right).alias("n")).distinct()
 
 
 def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gram: int = GRAM, window: int = WINDOW) -> DataFrame:
@@ -54,22 +88,16 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     ``gram + window - 1`` lines or more that stands anywhere earlier in the corpus, by id, then
     hash of the text, then position, is a repeat, and its lines are deleted.
 
-    Every window of ``window`` fingerprints selects its least (``fingerprints``), so texts that share
-    so many lines share a selected fingerprint at the same place of the window. Positions are joined
-    by the fingerprint and the lines around it, to the first that holds them: each kind of
-    surroundings that a fingerprint has is followed to its own first holder, so no earlier partner
-    is left out. Matches of neighbouring windows join to runs of any length. The join is
-    hinted to be a shuffle, so it is the same plan at every size; a very frequent context is counted before it and is one short row per
-    position in it, which adaptive execution splits.
+    Texts that share so many lines share a selected fingerprint at the same place of them (``fingerprints``), with the same
+    context. Positions are joined to the first holder of each context and extended (``matches``); the stretches of a text together
+    are its runs. No earlier partner is left out, as a context's first holder has all lines of its window.
+
+    Joins are hinted to be shuffles, so they are the same plan at every size. A very frequent context is counted before the join
+    and is one short row per position in it, which adaptive execution splits.
     """
-    least = gram + window - 1
-    marks = written(fingerprints(docs, id_col, text_col, gram, window), "fingerprints")
-    place = F.struct("id", "text_hash", "at")
-    first = marks.groupBy("context").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    later = marks.join(written(first, "first").hint("merge"), "context").where(place > F.col("first")).select("id", "text_hash", "at").distinct()
-    lines = later.groupBy("id", "text_hash").agg(F.collect_list("at").alias("at"))
-    run = F.flatten(F.transform("at", lambda i: F.sequence(i, i + least - 1)))
-    return lines.select("id", "text_hash", F.array_sort(F.array_distinct(run)).alias("run"))
+    found = matches(docs, id_col, text_col, gram, window)
+    lines = found.groupBy("id", "text_hash").agg(F.collect_list(F.sequence("at", F.col("at") + F.col("n") - 1)).alias("runs"))
+    return lines.select("id", "text_hash", F.array_sort(F.array_distinct(F.flatten("runs"))).alias("run"))
 
 
 def delete_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gram: int = GRAM, window: int = WINDOW) -> DataFrame:

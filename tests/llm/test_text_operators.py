@@ -4,7 +4,10 @@ import bisect
 import hashlib
 import re
 
-from burstline.llm import decontaminate, line_dedup, secret_scan, substring_dedup
+import pytest
+from pyspark.sql import functions as F
+
+from burstline.llm import decontaminate, line_dedup, secret_scan, substring_dedup, tables
 
 KEY = "AKIA" + "ABCDEFGH12345678"
 HEX = "0123456789abcdef" * 2
@@ -98,6 +101,51 @@ def test_line_dedup_follows_every_earlier_holder(spark):
     assert got == {1: ("x\ny", 0), 2: ("p\nx\ny\nz", 0), 3: ("q\nr", 3), 4: ("s\nt", 3), 5: ("u\nv", 4), None: ("w\nx\ny", 0), 6: ("x\ny", 5)}
 
 
+@pytest.mark.parametrize(("gram", "window"), [(1, 1), (2, 2), (2, 4), (1, 5), (3, 3)])
+def test_winnowed_runs_by_definition(spark, gram, window):
+    """Every window of the least run that stands earlier anywhere is deleted, whatever lines lie around the fingerprints."""
+    import random
+
+    rng = random.Random(gram * 10 + window)
+    docs = [(i, "\n".join(rng.choice("abc" if rng.random() < 0.6 else "defghijklmnop") for _ in range(rng.randrange(25)))) for i in range(60)]
+    docs += [(i + 100, "\n".join(docs[i][1].split("\n")[3:] + ["z"] * 9)) for i in range(20)] + [(7, docs[9][1]), (None, docs[11][1]), (None, docs[12][1]), (200, None)]
+    rows = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    prints = line_dedup.fingerprints(rows, gram=gram, window=window)
+    places = prints.groupBy("id", "text_hash").agg(F.count("*").alias("n"), F.count_distinct("at").alias("d"), F.sum(F.size("contexts")).alias("windows")).collect()
+    if window > 1:
+        assert sum(r.n for r in places) < 0.85 * sum(r.windows for r in places)
+    hashes = {r.text: r.h for r in rows.select("text", F.xxhash64("text").alias("h")).distinct().collect()}
+    order = sorted(((i is not None, i or 0, hashes[t], i, t) for i, t in docs if t is not None), key=lambda x: x[:3])
+    least, seen, gone = gram + window - 1, set(), {}
+    for *_, i, t in order:
+        lines = [x for x in t.split("\n") if x.strip()]
+        for p in range(len(lines) - least + 1):
+            run = tuple(lines[p : p + least])
+            if run in seen:
+                gone.setdefault((i, hashes[t]), set()).update(range(p, p + least))
+            seen.add(run)
+    got = {(r.id, r.text_hash): set(r.run) for r in line_dedup.repeated_runs(rows, gram=gram, window=window).collect()}
+    assert got == gone and gone
+
+
+def test_clean_documents_are_told_by_id_and_text(spark):
+    item = "A train leaves Paris at 10 with 250 people and Maria walks 3 km to meet it before the other 250 people get off"
+    clean = "some words that lead up to the passage and go on for a while"
+    docs = [(1, item, 0), (1, clean, 1), (None, item, 2), (None, clean, 3), (5, clean, 4), (None, None, 5), (6, "", 6), (1, clean, 7), (1, item, 8)]
+    rows = spark.createDataFrame(docs, "doc_id long, text string, row int").repartition(3)
+    bench = spark.createDataFrame([(10, item)], "item_id long, text string")
+    for bound in (300_000, -1):  # both sides of join_small
+        before, tables.BROADCAST_ROWS = tables.BROADCAST_ROWS, bound
+        try:
+            left = decontaminate.clean_documents(rows, bench)
+            assert left.columns == rows.columns
+            assert sorted(r.row for r in left.collect()) == [1, 3, 4, 5, 6, 7]
+            found = decontaminate.contaminated(rows, bench).collect()
+        finally:
+            tables.BROADCAST_ROWS = before
+        assert sorted(((r.doc_id, r.item_id) for r in found), key=str) == [(1, 10), (None, 10)]
+
+
 def test_decontamination(spark):
     item = "A train leaves Paris at 10 with 250 people and Maria walks 3 km to meet it before the other 250 people get off"
     other = item.replace("Paris", "Oslo").replace("10", "7").replace("250", "90").replace("Maria", "Anna").replace("3 km", "5 miles")
