@@ -19,7 +19,14 @@ def peak(x: Column) -> Column:
     return F.coalesce(F.array_max(F.transform(x, lambda v: F.abs(v))), F.lit(0.0))
 
 
+def from_pcm(x: Column, bits: int = 16) -> Column:
+    """Integer samples brought to [-1, 1]: divided by the largest positive one; the lowest integer is held at -1."""
+    top = float((1 << (bits - 1)) - 1)
+    return F.transform(x, lambda v: F.greatest(v / F.lit(top), F.lit(-1.0)))
+
+
 def blended_peak(x: Column) -> Column:
+    """A level between noise and transients: six tenths of the root mean square, four of the peak."""
     return 0.6 * rms(x) + 0.4 * peak(x)
 
 
@@ -105,9 +112,15 @@ def sigmoid(x: Column) -> Column:
 
 
 def mel(hz: Column) -> Column:
+    """The mel scale's pitch of a frequency."""
     return 2595 * F.log10(1 + hz / 700)
 
 
+def hz_of_mel(pitch: Column) -> Column:
+    """The frequency of a pitch on the mel scale."""
+    return 700 * (F.pow(F.lit(10.0), pitch / 2595) - 1)
+
+
 @lru_cache(maxsize=16)
 def mel_filters(bins: int, rate: float, count: int = 26) -> np.ndarray:
     """Triangles over spectrum bins, evenly spaced in mel between 0 and half the rate."""
@@ -219,21 +232,27 @@ def feature_vector(spectrum: Column, attack: Column, duration: Column, crest_fac
     return F.concat(spectrum["mfcc"], F.array(*(x.cast("double") for x in rest)))
 
 
+def band_powers(samples: np.ndarray, rate: float, low: float, high: float) -> np.ndarray:
+    """Of each row of equally long samples: root mean square magnitude of its Hann spectrum from ``low`` to ``high``, by 100, 1 at most."""
+    rows, count = samples.shape
+    if not count:
+        return np.zeros(rows)
+    hz = np.arange(count // 2 + 1) * rate / count
+    inside = np.abs(np.fft.rfft(samples * np.hanning(count), axis=1))[:, (hz >= low) & (hz <= high)]
+    return np.minimum(np.sqrt((inside**2).mean(axis=1)) / 100, 1.0) if inside.shape[1] else np.zeros(rows)
+
+
 def band_power(rate: float, low: float = 500.0, high: float = 4000.0):
-    """An Arrow-batched function of a sample array: root mean square magnitude of its Hann spectrum in a band, by 100, 1 at most."""
+    """An Arrow-batched function of a sample array to its ``band_powers``; null or no samples give 0. Equal lengths are transformed together."""
 
     @F.pandas_udf("double")
     def run(samples: pd.Series) -> pd.Series:
-        out = []
-        for x in samples:
-            x = np.asarray(x if x is not None else [], dtype=float)
-            if not len(x):
-                out.append(0.0)
-                continue
-            magnitude = np.abs(np.fft.rfft(x * np.hanning(len(x))))
-            hz = np.arange(len(magnitude)) * rate / len(x)
-            inside = magnitude[(hz >= low) & (hz <= high)]
-            out.append(min(float(np.sqrt((inside**2).mean())) / 100, 1.0) if len(inside) else 0.0)
+        arrays = [np.asarray(x if x is not None else [], dtype=float) for x in samples]
+        lengths = np.array([len(x) for x in arrays], dtype=int)
+        out = np.zeros(len(arrays))
+        for length in np.unique(lengths):
+            at = np.flatnonzero(lengths == length)
+            out[at] = band_powers(np.stack([arrays[i] for i in at]), rate, low, high)
         return pd.Series(out)
 
     return run

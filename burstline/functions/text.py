@@ -19,6 +19,11 @@ def safe_name(name: Column, fallback: str = "file") -> Column:
     return F.when(F.coalesce(trimmed, F.lit("")) == "", F.lit(fallback)).otherwise(F.substring(trimmed, 1, 80))
 
 
+def export_name(title: Column, name: Column, index: Column, kind: str = "mp4") -> Column:
+    """The file name of an exported clip: its video's title, its own name and its number, all made safe."""
+    return F.concat_ws("_", safe_name(title, "video"), safe_name(name, "export"), F.concat(index.cast("string"), F.lit("." + kind)))
+
+
 def slot_start(slot: Column) -> tuple[Column, Column]:
     """(hour, minute) of ``HH:mm-...``; what isn't a number counts as 0."""
     parts = F.split(F.substring_index(slot, "-", 1), ":")

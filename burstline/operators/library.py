@@ -94,3 +94,27 @@ def change_status(rows: DataFrame, status: Column, now: Column) -> DataFrame:
 def append_export(exports: Column, entry: Column) -> Column:
     """A JSON list of strings with ``entry`` appended; what can't be read counts as empty."""
     return F.to_json(F.concat(F.coalesce(F.from_json(exports, "array<string>"), F.array().cast("array<string>")), F.array(entry)))
+
+
+def exportable(start: Column, end: Column) -> Column:
+    """Whether a clip's range can be exported: it begins at 0 or later and ends after it begins."""
+    return (start >= 0) & (end > start)
+
+
+def behaviour_scores(swipes: DataFrame, plays: DataFrame, now: DataFrame, key: str = "video_id", window: float = 60.0, most: int = 20) -> DataFrame:
+    """(key, swipes, stay, score) of each row of ``now`` (key, now): how fast a user moves on, from 0 to 1.
+
+    Of the last ``most`` swipes (key, t, seq) those of the last ``window`` seconds before now count, ten or more being fast;
+    of the last ``most`` plays (key, t, seq, duration) the mean duration counts, ten seconds or more being slow and 10.0
+    where there are none. A user without any swipe has 0.5.
+    """
+
+    def last(rows: DataFrame) -> DataFrame:
+        place = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("t"), F.desc("seq")))
+        return rows.withColumn("__place", place).where(F.col("__place") <= most)
+
+    moved = last(swipes).join(now, key).groupBy(key).agg(F.count_if(F.col("now") - F.col("t") < window).alias("swipes"))
+    stayed = last(plays).groupBy(key).agg(F.avg("duration").alias("stay"))
+    rows = now.join(moved, key, "left").join(stayed, key, "left").withColumn("stay", F.coalesce("stay", F.lit(10.0)))
+    score = 0.6 * F.least(F.col("swipes") / 10, F.lit(1.0)) + 0.4 * F.greatest(1 - F.col("stay") / 10, F.lit(0.0))
+    return rows.select(key, F.coalesce("swipes", F.lit(0)).alias("swipes"), "stay", F.coalesce(score, F.lit(0.5)).alias("score"))

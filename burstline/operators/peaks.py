@@ -116,6 +116,17 @@ def rejection_reason(stages: dict[str, Column]) -> Column:
     return F.coalesce(*(F.when(~cond, F.lit(name)) for name, cond in stages.items()))
 
 
+def reason_counts(rows: DataFrame, reason: Column, keys: tuple[str, ...] = ("video_id",)) -> DataFrame:
+    """(keys, reasons): a map of each reason to how many rows have it; rows without one don't count. ``counted`` reads it."""
+    counts = rows.select(*keys, reason.alias("reason")).where("reason IS NOT NULL").groupBy(*keys, "reason").agg(F.count("*").alias("n"))
+    return counts.groupBy(*keys).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("reason", "n")))).alias("reasons"))
+
+
+def counted(reasons: Column, reason: str) -> Column:
+    """The count of one reason, 0 where the map lacks it."""
+    return F.coalesce(F.try_element_at(reasons, F.lit(reason)), F.lit(0))
+
+
 def systematic_sample(rows: DataFrame, most: int, keys: tuple[str, ...]) -> DataFrame:
     """Every (n / ``most``)-th row of each key, in order of time, from the first; all rows of keys with fewer."""
     n = F.count("*").over(Window.partitionBy(*keys))

@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from burstline.operators.joins import band_join
+
 
 #: How much each joint's movement counts. Fixed values.
 JOINT_WEIGHTS = {"wrist": 2.0, "elbow": 1.5, "shoulder": 1.0, "neck": 0.8, "root": 0.5}
@@ -17,9 +19,21 @@ def speed(dx: Column, dy: Column) -> Column:
 
 
 def is_moving(dx: Column, dy: Column) -> Column:
+    """Whether a velocity is more than noise."""
     return speed(dx, dy) > 0.05
 
 
+def annotations(frames: DataFrame, points: DataFrame, tolerance: float = 0.1, size: float = 0.04, key: str = "video_id") -> DataFrame:
+    """(key, seq, boxes): of each frame the boxes (x, y, width, height) around points nearer than ``tolerance`` in time, in order of time.
+
+    Frames without such a point have none and are left out.
+    """
+    near = band_join(frames, points, tolerance, key).where(F.col("delta") < tolerance)
+    box = F.struct((F.col("r_x") - size / 2).alias("x"), (F.col("r_y") - size / 2).alias("y"), F.lit(size).alias("width"), F.lit(size).alias("height"))
+    listed = near.groupBy(key, "seq").agg(F.array_sort(F.collect_list(F.struct("r_t", "r_seq", box.alias("box")))).alias("found"))
+    return listed.select(key, "seq", F.transform("found", lambda x: x["box"]).alias("boxes"))
+
+
 def trajectory_statistics(points: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     """Points (t, seq, x, y, confidence) per key: mean confidence, largest and mean speed, path length."""
     order = Window.partitionBy(*keys).orderBy("t", "seq")

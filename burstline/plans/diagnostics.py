@@ -5,10 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from burstline.config import RallyConfig
 from burstline.functions import text
 from burstline.functions.stats import floor_rank
+from burstline.operators import detection as D
+from burstline.operators import models as M
 from burstline.operators import peaks as P
 from burstline.operators.ordered import values_at_ranks
+from burstline.plans.detection import SCORED
+from burstline.sources import files
+from burstline.sources.scratch import written
 from burstline.sources.tables import SIGNAL_SQL, signal
 
 
@@ -83,6 +89,29 @@ def rejected_peaks(spark, sf_dir):
     return rows.where("reason IS NOT NULL").select("video_id", "seq", "reason")
 
 
+def rejection_counts(spark, sf_dir):
+    """How many candidates of each video every stage rejects, from a map of counts; 0 where it lacks a stage."""
+    rows = P.reason_counts(_candidates(spark, sf_dir), P.rejection_reason(_stages()))
+    return rows.select("video_id", F.size("reasons").alias("kinds"), *(P.counted(F.col("reasons"), name).alias(name) for name in _stages()))
+
+
+def debug_report(spark, sf_dir):
+    """What each video's whole analysis document says, and how it begins."""
+    rows = written(D.dynamic_gap_sessions(D.confident(signal(spark, sf_dir))), "clustered")
+    rallies = written(D.scored(D.valid(D.rallies(rows))), "rallies")
+    stats = D.gap_statistics(rows.select("video_id", "gap"))
+    points = M.change_points(rows, stats, strict=False).join(rows.select("video_id", "seq", "t"), ["video_id", "seq"])
+    config = {"rallyDetection": {"minRallyDuration": RallyConfig.min_duration, "maxGap": RallyConfig.max_gap}, "audioAnalysis": {"minimumConfidence": RallyConfig.min_confidence}}
+    found = files.analysis_report(rallies, rows, stats, points, config)
+    text = files.report_json(found)
+    first = F.get("rallies", F.lit(0))
+    return found.select(
+        "video_id", F.col("videoInfo.rallyCount").alias("rallies"), F.col("videoInfo.totalHitCount").alias("hits"), F.round("videoInfo.longestRallyDuration", 6).alias("longest"), F.col("videoInfo.excitingRallyCount").alias("exciting"),
+        F.size("rallies").alias("listed"), F.greatest(F.size("hitEvents"), F.lit(0)).alias("events"), F.greatest(F.size("changePoints"), F.lit(0)).alias("changes"), F.round(first["startTime"], 6).alias("first_start"),
+        F.round("intervalStatistics.median", 6).alias("median"), F.substring(text, 1, 18).alias("begins"),
+    )
+
+
 def adaptive_threshold(spark, sf_dir):
     rows = signal(spark, sf_dir).groupBy("video_id").agg(F.avg("confidence").alias("mean"), F.stddev_pop("confidence").alias("sd"), F.max("confidence").alias("largest"))
     mean = F.round("mean", 9)
@@ -183,6 +212,21 @@ QUERIES = {
     ),
     "reason_top10": (reason_top10, f"WITH {c} SELECT ({_FIRST}) || '/' || event_type AS reason, count(*) AS n FROM candidates WHERE ({_FIRST}) IS NOT NULL GROUP BY ALL ORDER BY n DESC, reason LIMIT 10"),
     "rejected_peaks": (rejected_peaks, f"WITH {c} SELECT video_id, seq, {_FIRST} AS reason FROM candidates WHERE ({_FIRST}) IS NOT NULL"),
+    "rejection_counts": (
+        rejection_counts,
+        f"""WITH {c}, r AS (SELECT video_id, {_FIRST} AS reason FROM candidates)
+        SELECT video_id, CAST(count(DISTINCT reason) AS INTEGER) AS kinds, count(*) FILTER (reason = 'amplitude') AS amplitude, count(*) FILTER (reason = 'duration') AS duration, count(*) FILTER (reason = 'confidence') AS confidence
+        FROM r WHERE reason IS NOT NULL GROUP BY video_id""",
+    ),
+    "debug_report": (
+        debug_report,
+        f"""WITH {SCORED}, h AS (SELECT c.video_id, count(*) AS events FROM clustered AS c JOIN scored AS s ON s.video_id = c.video_id AND s.cluster = c.cluster GROUP BY c.video_id),
+        g AS (SELECT video_id, count(*) AS changes FROM gaps WHERE gap IS NOT NULL GROUP BY video_id)
+        SELECT s.video_id, count(*) AS rallies, CAST(sum(hits) AS BIGINT) AS hits, round(max("end" - "start"), 6) AS longest, count(*) FILTER (score >= 70) AS exciting,
+               CAST(least(count(*), 1000) AS INTEGER) AS listed, CAST(least(coalesce(max(events), 0), 1000) AS INTEGER) AS events, CAST(least(coalesce(max(changes), 0), 1000) AS INTEGER) AS changes,
+               round(arg_min("start", row("start", s.cluster)), 6) AS first_start, round(max(median), 6) AS median, '{{"changePoints":[{{' AS begins
+        FROM scored AS s LEFT JOIN h USING (video_id) LEFT JOIN g USING (video_id) LEFT JOIN stats AS t USING (video_id) GROUP BY s.video_id""",
+    ),
     "adaptive_threshold": (
         adaptive_threshold,
         f"""WITH {SIGNAL_SQL}, a AS (SELECT video_id, avg(confidence) AS mean, stddev_pop(confidence) AS sd, max(confidence) AS largest FROM signal GROUP BY video_id)

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from burstline.functions import scoring, text
 from burstline.operators import library as L
-from burstline.sources.tables import HIGHLIGHTS_SQL, highlights, read
+from burstline.sources.tables import HIGHLIGHTS_SQL, SIGNAL_SQL, highlights, read, signal
 
 
 def category_filter_counts(spark, sf_dir):
@@ -186,6 +187,20 @@ def sanitize_name(spark, sf_dir):
     return rows.unionByName(parts)
 
 
+def export_names(spark, sf_dir):
+    """File names of exported clips: title, export name and number."""
+    rows = read(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type", "p_size")
+    title = F.when(F.col("p_partkey") % 5 == 0, " . ").otherwise(F.col("p_name"))
+    name = F.when(F.col("p_partkey") % 7 == 0, "??").otherwise(F.concat("p_type", F.lit("/"), F.col("p_size").cast("string")))
+    return rows.select("p_partkey", text.export_name(title, name, F.col("p_size")).alias("name"))
+
+
+def export_ranges(spark, sf_dir):
+    """Clips cut out of orders' line items by days before shipping, of which only those with a valid range can be exported."""
+    rows = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_quantity") - 5).alias("start"), (F.col("l_tax") * 300).alias("end"))
+    return rows.where(L.exportable(F.col("start"), F.col("end"))).groupBy("l_linenumber").agg(F.count("*").alias("n"), F.round(F.sum(F.col("end") - F.col("start")), 3).alias("seconds"))
+
+
 def timeslot_parse(spark, sf_dir):
     slot = F.concat(F.lpad((F.col("o_orderkey") % 24).cast("string"), 2, "0"), F.lit(":"), F.when(F.col("o_orderkey") % 7 == 0, "xx").otherwise(F.lpad((F.col("o_orderkey") % 60).cast("string"), 2, "0")), F.lit("-23:59"))
     hour, minute = text.slot_start(slot)
@@ -325,10 +340,11 @@ def model_excitement(spark, sf_dir):
 
 
 def behaviour_score(spark, sf_dir):
-    """Swipes of the last minute before each customer's newest order, and how short their stays are; 0.5 without any."""
-    rows = read(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count_if(F.col("o_orderstatus") == "O").alias("swipes"), F.avg(F.col("o_totalprice") % 20).alias("stay"))
-    score = 0.6 * F.least(F.col("swipes") / 10, F.lit(1.0)) + 0.4 * F.greatest(1 - F.col("stay") / 10, F.lit(0.0))
-    return rows.select("o_custkey", F.round(F.when(F.col("swipes") == 0, 0.5).otherwise(score), 6).alias("score"))
+    """Clicks as swipes in the 60 seconds before each user's newest event, and views as plays."""
+    rows = signal(spark, sf_dir).select("video_id", "t", "seq", "event_type", (F.col("value") % 20).alias("duration"))
+    now = rows.groupBy("video_id").agg(F.max("t").alias("now"))
+    found = L.behaviour_scores(rows.where("event_type = 'click'"), rows.where("event_type = 'view'"), now)
+    return found.select("video_id", "swipes", F.round("stay", 6).alias("stay"), F.round("score", 6).alias("score"))
 
 
 def progress_ratios(spark, sf_dir):
@@ -403,8 +419,24 @@ QUERIES |= {
     ),
     "behaviour_score": (
         behaviour_score,
-        """WITH s AS (SELECT o_custkey, count(*) FILTER (o_orderstatus = 'O') AS swipes, avg(o_totalprice % 20) AS stay FROM orders GROUP BY o_custkey)
-        SELECT o_custkey, round(CASE WHEN swipes = 0 THEN 0.5 ELSE 0.6::DOUBLE * least(swipes / 10::DOUBLE, 1) + 0.4::DOUBLE * greatest(1 - stay / 10, 0) END, 6) AS score FROM s""",
+        f"""WITH {SIGNAL_SQL}, n AS (SELECT video_id, max(t) AS now FROM signal GROUP BY video_id),
+        k AS (SELECT *, row_number() OVER (PARTITION BY video_id, event_type ORDER BY t DESC, seq DESC) AS place FROM signal WHERE event_type IN ('click', 'view')),
+        s AS (SELECT video_id, count(*) FILTER (now - t < 60) AS swipes FROM k JOIN n USING (video_id) WHERE event_type = 'click' AND place <= 20 GROUP BY video_id),
+        p AS (SELECT video_id, avg(value % 20) AS stay FROM k WHERE event_type = 'view' AND place <= 20 GROUP BY video_id)
+        SELECT video_id, coalesce(swipes, 0) AS swipes, round(coalesce(stay, 10.0::DOUBLE), 6) AS stay,
+               round(CASE WHEN swipes IS NULL THEN 0.5::DOUBLE ELSE 0.6::DOUBLE * least(swipes / 10.0::DOUBLE, 1.0::DOUBLE) + 0.4::DOUBLE * greatest(1 - coalesce(stay, 10.0::DOUBLE) / 10, 0.0::DOUBLE) END, 6) AS score
+        FROM n LEFT JOIN s USING (video_id) LEFT JOIN p USING (video_id)""",
+    ),
+    "export_names": (
+        export_names,
+        """WITH r AS (SELECT p_partkey, p_size, CASE WHEN p_partkey % 5 = 0 THEN ' . ' ELSE p_name END AS title, CASE WHEN p_partkey % 7 = 0 THEN '??' ELSE p_type || '/' || p_size END AS name FROM part),
+        c AS (SELECT p_partkey, p_size, regexp_replace(translate(array_to_string([x FOR x IN string_split_regex(title, '[\\/:?%*|"<>\x00-\x1F\x7F]') IF x <> ''], '_'), ' ', '_'), '^[._]+|[._]+$', '', 'g') AS t,
+                     regexp_replace(translate(array_to_string([x FOR x IN string_split_regex(name, '[\\/:?%*|"<>\x00-\x1F\x7F]') IF x <> ''], '_'), ' ', '_'), '^[._]+|[._]+$', '', 'g') AS n FROM r)
+        SELECT p_partkey, CASE WHEN t = '' THEN 'video' ELSE substr(t, 1, 80) END || '_' || CASE WHEN n = '' THEN 'export' ELSE substr(n, 1, 80) END || '_' || p_size || '.mp4' AS name FROM c""",
+    ),
+    "export_ranges": (
+        export_ranges,
+        """SELECT l_linenumber, count(*) AS n, round(sum(l_tax * 300 - (l_quantity - 5)), 3) AS seconds FROM lineitem WHERE l_quantity - 5 >= 0 AND l_tax * 300 > l_quantity - 5 GROUP BY l_linenumber""",
     ),
     "progress_ratios": (
         progress_ratios,

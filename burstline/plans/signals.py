@@ -24,9 +24,9 @@ SAMPLES = "s AS (SELECT vec_id, label, [CAST(v AS DOUBLE) FOR v IN embedding] AS
 
 
 def array_rms_crest(spark, sf_dir):
-    rows = _samples(spark, sf_dir).select("vec_id", S.rms(F.col("x")).alias("rms"), S.peak(F.col("x")).alias("peak"), S.zero_crossing_rate(F.col("x")).alias("zcr"))
+    rows = _samples(spark, sf_dir).select("vec_id", S.rms(F.col("x")).alias("rms"), S.peak(F.col("x")).alias("peak"), S.zero_crossing_rate(F.col("x")).alias("zcr"), S.blended_peak(F.col("x")).alias("blended"))
     crest = S.crest(F.col("peak"), F.col("rms"))
-    return rows.select("vec_id", *(F.round(c, 6).alias(c) for c in ("rms", "peak", "zcr")), F.round(crest, 6).alias("crest"), F.round(F.least(crest / 4, F.lit(1.0)), 6).alias("crest_score"), F.round(0.6 * F.col("rms") + 0.4 * F.col("peak"), 6).alias("blended"))
+    return rows.select("vec_id", *(F.round(c, 6).alias(c) for c in ("rms", "peak", "zcr")), F.round(crest, 6).alias("crest"), F.round(F.least(crest / 4, F.lit(1.0)), 6).alias("crest_score"), F.round("blended", 6).alias("blended"))
 
 
 def energy_concentration(spark, sf_dir):
@@ -56,7 +56,7 @@ def euclid_nearest(spark, sf_dir):
     rows = _samples(spark, sf_dir)
     centres = rows.where("label IS NOT NULL").select("label", F.posexplode("x").alias("d", "v")).groupBy("label", "d").agg(F.avg("v").alias("v"))
     centres = centres.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "v"))), lambda s: s["v"]).alias("c"))
-    return M.nearest_centre(rows, centres, "x").select("vec_id", "nearest", F.round("distance", 5).alias("distance"))
+    return M.nearest_centre(rows, centres, "x", 6).select("vec_id", "nearest", F.round("distance", 5).alias("distance"))
 
 
 def gaussian_pdf(spark, sf_dir):
@@ -161,6 +161,35 @@ def pcm_scan_range(spark, sf_dir):
     return rows.select("event_id", F.round(F.least(pcm, F.lit(32767)) / 32767.0, 6).alias("sample"))
 
 
+def pcm_full_scan(spark, sf_dir):
+    """Whole arrays of 16-bit samples, brought to [-1, 1]: how many, the lowest, and the blended level."""
+    pcm = F.transform("embedding", lambda v: F.greatest(F.lit(-32768), F.least(F.lit(32767), F.floor(v.cast("double") * 131072))).cast("int"))
+    rows = read(spark, sf_dir, "embeddings").select("vec_id", S.from_pcm(pcm).alias("x"))
+    return rows.select("vec_id", F.size("x").alias("n"), F.round(F.array_min("x"), 6).alias("lowest"), F.round(S.blended_peak(F.col("x")), 6).alias("level"))
+
+
+def mel_scale(spark, sf_dir):
+    """Values as frequencies on the mel scale and back, and the pitch halfway to 8 kHz as a frequency."""
+    hz = F.col("value") * 40
+    rows = signal(spark, sf_dir).select("seq", hz.alias("hz"), S.mel(hz).alias("mel"))
+    return rows.select("seq", F.round("mel", 5).alias("mel"), F.round(S.hz_of_mel(F.col("mel")), 5).alias("hz"), F.round(S.hz_of_mel((F.col("mel") + S.mel(F.lit(8000.0))) / 2), 4).alias("halfway"))
+
+
+def moving_points(spark, sf_dir):
+    """Points of each segment that move on from the point before: more than noise."""
+    rows = _points(spark, sf_dir)
+    order = Window.partitionBy("video_id", "segment").orderBy("t", "seq")
+    step = rows.select("video_id", "segment", (F.col("x") - F.lag("x").over(order)).alias("dx"), (F.col("y") - F.lag("y").over(order)).alias("dy"))
+    return step.groupBy("video_id", "segment").agg(F.count("*").alias("n"), F.count_if(J.is_moving(F.col("dx"), F.col("dy"))).alias("moving"))
+
+
+def annotation_points(spark, sf_dir):
+    """Boxes to draw on frames (views): around the points of other kinds nearer than 0.1."""
+    rows = _points(spark, sf_dir)
+    found = J.annotations(rows.where("event_type = 'view'").select("video_id", "seq", "t"), rows.where("event_type <> 'view'").select("video_id", "seq", "t", "x", "y"))
+    return found.select("video_id", "seq", F.size("boxes").alias("n"), F.round(F.get("boxes", F.lit(0))["x"], 6).alias("x"), F.round(F.element_at("boxes", -1)["y"], 6).alias("y"))
+
+
 def frame_grid(spark, sf_dir):
     """One frame of every 12 signal seconds of a segment: the last at or before each tick."""
     rows = signal(spark, sf_dir).select("video_id", "segment", "seq", "t").withColumn("tick", F.ceil((F.col("t") - F.col("segment") * 120) / 12).cast("int"))
@@ -261,6 +290,26 @@ QUERIES = {
         f"""WITH {SIGNAL_SQL}, p AS (SELECT CASE WHEN confidence >= 0.75::DOUBLE THEN 'hit' WHEN confidence <= 0.35::DOUBLE THEN 'noise' END AS pool FROM signal) SELECT pool, count(*) AS n, CASE WHEN count(*) >= 30 THEN count(*) // 100 ELSE 0 END AS retrained FROM p WHERE pool IS NOT NULL GROUP BY pool""",
     ),
     "pcm_scan_range": (pcm_scan_range, "SELECT event_id, round(least(floor(value * 60), 32767) / 32767.0::DOUBLE, 6) AS sample FROM events WHERE ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-08'"),
+    "pcm_full_scan": (
+        pcm_full_scan,
+        """WITH s AS (SELECT vec_id, [greatest(-32768, least(32767, floor(CAST(v AS DOUBLE) * 131072))) / 32767.0::DOUBLE FOR v IN embedding] AS y FROM embeddings), s2 AS (SELECT vec_id, [greatest(v, -1.0::DOUBLE) FOR v IN y] AS x FROM s)
+        SELECT vec_id, CAST(len(x) AS INTEGER) AS n, round(list_min(x), 6) AS lowest, round(0.6::DOUBLE * sqrt(list_sum([v * v FOR v IN x]) / len(x)) + 0.4::DOUBLE * list_max([abs(v) FOR v IN x]), 6) AS level FROM s2""",
+    ),
+    "mel_scale": (
+        mel_scale,
+        f"""WITH {SIGNAL_SQL}, m AS (SELECT seq, 2595 * log10(1 + value * 40 / 700) AS mel FROM signal)
+        SELECT seq, round(mel, 5) AS mel, round(700 * (power(10.0::DOUBLE, mel / 2595) - 1), 5) AS hz, round(700 * (power(10.0::DOUBLE, (mel + 2595 * log10(1 + 8000.0::DOUBLE / 700)) / 2 / 2595) - 1), 4) AS halfway FROM m""",
+    ),
+    "moving_points": (
+        moving_points,
+        f"""WITH {POINTS}, d AS (SELECT video_id, segment, x - lag(x) OVER w AS dx, y - lag(y) OVER w AS dy FROM points WINDOW w AS (PARTITION BY video_id, segment ORDER BY t, seq))
+        SELECT video_id, segment, count(*) AS n, count(*) FILTER (sqrt(dx * dx + dy * dy) > 0.05::DOUBLE) AS moving FROM d GROUP BY ALL""",
+    ),
+    "annotation_points": (
+        annotation_points,
+        f"""WITH {POINTS} SELECT f.video_id, f.seq, CAST(count(*) AS INTEGER) AS n, round(arg_min(p.x, row(p.t, p.seq)) - 0.02::DOUBLE, 6) AS x, round(arg_max(p.y, row(p.t, p.seq)) - 0.02::DOUBLE, 6) AS y
+        FROM points AS f JOIN points AS p ON p.video_id = f.video_id AND abs(p.t - f.t) < 0.1::DOUBLE WHERE f.event_type = 'view' AND p.event_type <> 'view' GROUP BY f.video_id, f.seq""",
+    ),
     "frame_grid": (
         frame_grid,
         f"""WITH {SIGNAL_SQL}, k AS (SELECT video_id, segment, seq, t, CAST(ceil((t - segment * 120) / 12) AS INTEGER) AS tick FROM signal)
