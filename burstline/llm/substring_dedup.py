@@ -28,7 +28,7 @@ PIECE_SHAPE = (2, 1)
 #: How far apart neighbouring pieces of a passage may be, counted in pieces.
 PIECE_GAP = 2
 #: Words, in whole pieces, of the shortest passage that counts as repeated where it stands inside long lines.
-PASSAGE_WORDS = 25
+PASSAGE_WORDS = 20
 
 
 def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, min_words: int = MIN_WORDS, shape: tuple[int, int] = SHAPE) -> DataFrame:
@@ -133,7 +133,7 @@ def near_pieces(docs: DataFrame, id_col: str, text_col: str, k: int = 5, percent
     band are candidates, equal sets are one class, full sets of the others are compared exactly, and
     a class (``label``) is what links reach. ``at`` counts a text's pieces, ``start`` and ``end`` are code
     points, end exclusive. Null and empty texts have no pieces; null ids are one document; rows that
-    repeat an id are parts of one document.
+    repeat an id are parts of one document. Ids may be structs, which tell texts of one id apart.
     """
     kind = docs.schema[id_col].dataType
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -160,23 +160,27 @@ def near_pieces(docs: DataFrame, id_col: str, text_col: str, k: int = 5, percent
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, min_words: int = PASSAGE_WORDS) -> DataFrame:
-    """(id, start, end, words, keep_id, removed): passages inside long lines that other documents hold too.
-
-    A passage is a run of pieces (``near_pieces``) whose classes hold other documents, with one other
-    piece between two of them at most, as a near copy has; these pieces have ``min_words`` words at
-    least, all told. Each class belongs to its least id; a run is of pieces that are all
-    their document's own, which stay, or of none, which are removed. ``keep_id`` is the least owner.
-    A passage of 51 words that others hold word for word has ``min_words`` words in whole pieces with
-    a chance of 88 in 100, one of 60 words of 98, one of 75 words almost surely. Null ids are left out, as they can't be told apart.
+    """(id, start, end, words, keep_id, removed, text_hash): passages inside long lines that other documents hold too.
+
+    A document is an id with a text (``text_hash`` is the text's hash), so texts that share an id, or have none, are told
+    apart and a span is one of its own text. A passage is a run of pieces (``near_pieces``) whose classes hold other
+    documents, with one other piece between two of them at most, as a near copy has; these pieces have ``min_words`` words at
+    least, all told. Each class belongs to its least document; a run is of pieces that are all
+    their document's own, which stay, or of none, which are removed. ``keep_id`` is the id of the least owner.
+    A passage's pieces at its ends are cut as what lies around them says, so a short passage may lack ``min_words`` words
+    in whole pieces; ``tests/llm/passage_recall.py`` measures how often. Rows that repeat an id and a text answer once.
     """
-    pieces = written(near_pieces(docs.where(F.col(id_col).isNotNull()), id_col, text_col, k, percent), "classes")
+    pair = F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"))
+    rows = docs.select(pair.alias("document"), F.col(text_col).alias("text"))
+    pieces = written(near_pieces(rows, "document", "text", k, percent), "classes")
     owners = pieces.groupBy("label").agg(F.min("id").alias("holder"), F.max("id").alias("last")).where("holder <> last").drop("last")
     found = pieces.join(written(owners, "owners").hint("merge"), "label").withColumn("later", F.col("id") != F.col("holder"))
     order = Window.partitionBy("id", "later").orderBy("at")
     opens = F.when(F.col("at") - F.lag("at").over(order) <= PIECE_GAP, 0).otherwise(1)
     found = found.drop("label").distinct().withColumn("opens", opens).withColumn("run", F.sum("opens").over(order.rangeBetween(Window.unboundedPreceding, 0)))
     runs = found.groupBy("id", "later", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("words").alias("words"), F.min("holder").alias("holder"))
-    return runs.where(F.col("words") >= min_words).select(F.col("id").alias(id_col), "start", "end", "words", F.col("holder").alias(f"keep_{id_col}"), F.col("later").alias("removed"))
+    runs = runs.where(F.col("words") >= min_words)
+    return runs.select(F.col("id.id").alias(id_col), "start", "end", "words", F.col("holder.id").alias(f"keep_{id_col}"), F.col("later").alias("removed"), F.col("id.text_hash").alias("text_hash"))
 
 
 def repeated_parts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:

@@ -221,13 +221,32 @@ def test_passages_inside_paragraphs(spark):
     rows = spark.createDataFrame([(*d, 1) for d in docs], "doc_id long, text string, start int")
     got = substring_dedup.repeated_passages(rows).collect()
     texts = dict(docs)
-    assert sorted((r.doc_id, r.keep_doc_id, r.removed) for r in got) == [(1, 1, False), (2, 1, True), (3, 1, True), (4, 1, True)]
+    assert {r.doc_id for r in got if r.removed} == {1, 2, 3, 4} and {r.doc_id for r in got if not r.removed} == {None}
     assert all(texts[r.doc_id][r.start : r.end] in passage and r.words == len(texts[r.doc_id][r.start : r.end].split()) for r in got)
     both = substring_dedup.repeated_parts(rows)
-    assert both.where("paragraph IS NULL").count() == 4
+    assert both.where("paragraph IS NULL").count() == len(got)
     assert substring_dedup.repeated_passages(rows.limit(0)).count() == 0
 
 
+def test_passages_of_texts_that_share_an_id(spark):
+    """Spans are those of their own text, though texts have the same id or none."""
+    import random
+
+    rng = random.Random(12)
+    words = lambda n: [f"w{rng.randrange(9000)}" for _ in range(n)]
+    one, two = words(70), words(70)
+    docs = [(1, words(60) + one + words(30)), (1, words(200) + two + words(10)), (None, words(20) + one + words(40)), (None, words(120) + two + words(50)), (1, words(90)), (None, words(90)), (4, words(45) + two + words(45))]
+    rows = spark.createDataFrame([(i, " ".join(w)) for i, w in docs], "doc_id long, text string")
+    texts = {r.h: r.text for r in rows.select("text", F.xxhash64("text").alias("h")).collect()}
+    got = substring_dedup.repeated_passages(rows.unionByName(rows.limit(2)).repartition(3)).collect()
+    assert len(got) == 5
+    for r in got:
+        found = texts[r.text_hash][r.start : r.end]
+        assert found in " ".join(one) or found in " ".join(two)
+        assert len(found.split()) >= 40
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.removed) for r in got) == [(False, 1, True), (False, 1, True), (False, 4, True), (True, 0, False), (True, 0, False)]
+
+
 def test_passages_in_long_lower_case_lines_and_near_copies(spark):
     import random
 
