@@ -37,11 +37,6 @@ def weekday_names(days: Column) -> Column:
     return F.when(F.size(days) == 0, "每天").otherwise(F.array_join(F.transform(F.array_sort(days), lambda d: F.element_at(names, d.cast("int"))), ", "))
 
 
-def error_kind(message: Column) -> Column:
-    has = lambda *words: F.coalesce(*[F.when(message.contains(w), True) for w in words], F.lit(False))
-    return F.when(has("not found", "不存在"), "not found").when(has("space", "空间"), "space").when(has("permission", "权限"), "permission").otherwise("other")
-
-
 def preset_by_title(title: Column, words: tuple[str, ...] = ("手机", "现场", "mobile", "phone")) -> Column:
     low = F.lower(title)
     found = F.lit(False)

@@ -2,7 +2,7 @@
 
 A fold sees one group in one array, so groups must be bounded. Passes of the detection that handles
 segments of 120 signal seconds one by one are folded per video and segment. Debounce and the state machine
-are folded per island: windows number the stretches between rows at which the state is known. Merging and
+are folded per island, a stretch between rows at which the state is known. Merging and
 exact sessions count a key's rows first; keys with more than ``chains.CHUNK`` are passed over in chunks
 whose transitions are composed (``chains``).
 """
@@ -11,12 +11,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from burstline.config import FusionConfig
 from burstline.operators import chains
-from burstline.operators.ordered import with_previous
+from burstline.operators.ordered import with_previous, with_running_max, with_running_sum
 from burstline.sources.scratch import written
 
 KEYS = ("video_id", "segment")
@@ -50,9 +50,9 @@ def debounce(peaks: DataFrame, interval: float = 0.1, keys: tuple[str, ...] = VI
     A replacement does not move the time that later peaks are measured from. A peak ``interval`` or
     more after its neighbour opens a group whatever came before, so the fold starts anew there.
     """
-    order = Window.partitionBy(*keys).orderBy("t", "seq")
-    opens_island = F.coalesce(F.col("t") - F.lag("t").over(order) >= interval, F.lit(False))
-    islands = peaks.withColumn("island", opens_island.cast("long")).withColumn("island", F.sum("island").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = with_previous(peaks, ("t",), "__previous", keys)
+    opens = F.when(F.col("t") - F.col("__previous.t") >= interval, 1).otherwise(0)
+    islands = with_running_sum(rows, opens, "island", keys).drop("__previous")
 
     def step(acc, x):
         out, anchor = acc["out"], acc["anchor"]
@@ -280,14 +280,14 @@ def with_islands(frames: DataFrame, config: FusionConfig = FusionConfig(), keys:
     After an inactive frame ``max_pause`` or more after the last active one (or with none before), the
     machine is idle or ending, and takes the next frame alike: an island starts there.
     """
-    order = Window.partitionBy(*keys).orderBy("t", "seq")
-    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
-    last = F.last(F.when(F.col("active"), F.col("t")), ignorenulls=True).over(so_far)
-    rests = F.coalesce(~F.col("active") & (last.isNull() | (F.col("t") - last >= config.max_pause)), F.lit(False))
-    rows = frames.withColumn("followed", rests)
-    opens = F.coalesce(F.lag("followed").over(order), F.lit(False))
-    rows = rows.withColumn("island", opens.cast("long")).withColumn("followed", F.col("followed") & F.lead(F.lit(True)).over(order).isNotNull())
-    return rows.withColumn("island", F.sum("island").over(so_far))
+    # times go up, so the last active frame is the largest time of one
+    rows = with_running_max(frames, F.when(F.col("active"), F.col("t")), "__last", keys)
+    rests = F.coalesce(~F.col("active") & (F.col("__last").isNull() | (F.col("t") - F.col("__last") >= config.max_pause)), F.lit(False))
+    rows = with_previous(rows.withColumn("followed", rests), ("followed",), "__previous", keys)
+    rows = with_running_sum(rows, F.coalesce(F.col("__previous.followed"), F.lit(False)).cast("int"), "island", keys)
+    ends = frames.groupBy(*keys).agg(F.max(F.struct("t", "seq")).alias("__end"))
+    rows = rows.join(ends, list(keys)).withColumn("followed", F.col("followed") & (F.struct("t", "seq") < F.col("__end")))
+    return rows.drop("__last", "__previous", "__end")
 
 
 def hit_islands(islands: DataFrame, config: FusionConfig = FusionConfig(), keys: tuple[str, ...] = VIDEO, flush_ending: bool = False) -> DataFrame:

@@ -67,6 +67,24 @@ def with_running_sum(rows: DataFrame, value: Column, name: str, keys: tuple[str,
     return rows.withColumn(name, own).join(carried, [*keys, "__b"]).withColumn(name, F.col(name) + F.col("__before")).drop("__b", "__v", "__before")
 
 
+def with_running_max(rows: DataFrame, value: Column, name: str, keys: tuple[str, ...] = ("video_id",), t: str = "t", seq: str = "seq") -> DataFrame:
+    """``rows`` with ``name``: the largest ``value`` over the key's rows up to each, by ``t`` and ``seq``; null while all are."""
+    rows = rows.withColumn("__b", _bucket(t)).withColumn("__v", value)
+    largest = rows.groupBy(*keys, "__b").agg(F.max("__v").alias("__value"))
+    before = lambda v, w: F.max(v).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    upto = lambda a, i: F.array_max(F.transform(F.slice(a, 1, i), lambda x: x["value"]))
+    fold = lambda a: F.transform(a, lambda x, i: F.struct(x["b"].alias("__b"), upto(a, i).alias("__before")))
+    carried = _carried(largest, keys, lambda v, b: F.max(v), before, F.greatest, fold)
+    own = F.max("__v").over(Window.partitionBy(*keys, "__b").orderBy(t, seq).rowsBetween(Window.unboundedPreceding, 0))
+    return rows.withColumn(name, own).join(carried, [*keys, "__b"]).withColumn(name, F.greatest(name, "__before")).drop("__b", "__v", "__before")
+
+
+def count_windows(rows: DataFrame, size: int, keys: tuple[str, ...] = ("video_id",), t: str = "t", seq: str = "seq") -> DataFrame:
+    """``rows`` with ``window``: every ``size`` rows of a key in a row, by ``t`` and ``seq``, from 0."""
+    rows = with_running_sum(rows, F.lit(1), "window", keys, t, seq)
+    return rows.withColumn("window", F.floor((F.col("window") - 1) / size).cast("long"))
+
+
 def size_bin(value: Column, steps: int = 256) -> Column:
     """A bin that grows with ``value``: the octave of its size in ``steps`` parts, mirrored below 0."""
     size = F.abs(value)

@@ -84,8 +84,9 @@ def _features(spark, sf_dir):
 
 
 def feature_assembly(spark, sf_dir):
+    """All 23 numbers of each vector, in their order."""
     rows = _features(spark, sf_dir)
-    return rows.select("vec_id", F.size("x").cast("long").alias("dimensions"), *(F.round(F.element_at("x", i), 4).alias(name) for name, i in (("centroid", 14), ("flux", 17), ("zero_crossings", 18), ("crest", 23))))
+    return rows.select("vec_id", F.size("x").cast("long").alias("dimensions"), *(F.round(F.element_at("x", i), 4).alias(f"f{i:02d}") for i in range(1, 24)))
 
 
 def _points(spark, sf_dir):
@@ -197,6 +198,31 @@ def frame_grid(spark, sf_dir):
     return last.where("tick <= 10")
 
 
+#: Spectra of the 256 samples by the definition of the transform: ``power`` of 128 bins, ``spectra`` and ``mfcc`` of each vector.
+SPECTRA = f"""{SAMPLES}, windowed AS (
+    SELECT vec_id, j, 0.8165::DOUBLE * (1 - cos(2 * pi() * j / 256)) * x[j % 64 + 1] AS w, (0.5::DOUBLE - 0.5::DOUBLE * cos(2 * pi() * j / 255)) * x[j % 64 + 1] AS h FROM s, range(256) AS r(j)
+), power AS (
+    SELECT vec_id, k, 2 * sqrt(sum(w * cos(2 * pi() * k * j / 128)) ** 2 + sum(w * sin(2 * pi() * k * j / 128)) ** 2) * CASE WHEN k = 0 THEN sqrt(2.0::DOUBLE) ELSE 1.0::DOUBLE END AS p
+    FROM windowed, range(128) AS r(k) WHERE j < 128 GROUP BY vec_id, k
+), running AS (
+    SELECT *, sum(p) OVER (PARTITION BY vec_id ORDER BY k ROWS UNBOUNDED PRECEDING) AS upto, sum(p) OVER (PARTITION BY vec_id) AS total, p - lag(p) OVER (PARTITION BY vec_id ORDER BY k) AS d FROM power
+), spectra AS (
+    SELECT vec_id, arg_max(k, row(p, -k)) FILTER (k >= 16 AND k < 48) * 62.5::DOUBLE AS dominant, sum(k * 62.5::DOUBLE * p) / max(total) AS centroid, min(k) FILTER (upto >= 0.85::DOUBLE * total) * 62.5::DOUBLE AS rolloff,
+           greatest(0.0::DOUBLE, avg(p) FILTER (k >= 16 AND k < 48) - avg(p) FILTER (k >= 3 AND k < 8)) AS contrast, sqrt(sum(d * d)) / 128 AS flux, sum(p) FILTER (k >= 16 AND k < 48) / max(total) AS ratio
+    FROM running GROUP BY vec_id
+), edges AS (
+    SELECT i, CAST(floor(257 * 700 * (power(10.0::DOUBLE, i * (2595 * log10(1 + 8000.0::DOUBLE / 700)) / 27 / 2595) - 1) / 16000.0::DOUBLE) AS BIGINT) AS e FROM range(28) AS r(i)
+), filters AS (
+    SELECT a.i AS m, k, CASE WHEN k < b.e THEN (k - a.e) / CAST(b.e - a.e AS DOUBLE) ELSE (c.e - k) / CAST(c.e - b.e AS DOUBLE) END AS weight
+    FROM edges AS a JOIN edges AS b ON b.i = a.i + 1 JOIN edges AS c ON c.i = a.i + 2, range(128) AS r(k) WHERE k >= a.e AND k < c.e
+), logs AS (
+    SELECT vec_id, m, ln(greatest(coalesce(sum(weight * p), 0.0::DOUBLE), 1e-10::DOUBLE)) AS l FROM (SELECT DISTINCT vec_id FROM s) CROSS JOIN range(26) AS r(m) LEFT JOIN filters USING (m) LEFT JOIN power USING (vec_id, k) GROUP BY vec_id, m
+), mfcc AS (
+    SELECT vec_id, c, sum(l * cos(pi() * c * (m + 0.5::DOUBLE) / 26)) AS v FROM logs, range(13) AS r(c) GROUP BY vec_id, c
+), bands AS (
+    SELECT vec_id, least(sqrt(avg(q)) / 100, 1.0::DOUBLE) AS band_power FROM (
+        SELECT vec_id, k, sum(h * cos(2 * pi() * k * j / 256)) ** 2 + sum(h * sin(2 * pi() * k * j / 256)) ** 2 AS q FROM windowed, range(8, 65) AS r(k) GROUP BY vec_id, k) GROUP BY vec_id
+)"""
 _PEAK_AT = "(list_position([abs(v) FOR v IN x], list_max([abs(v) FOR v IN x])) - 1)"
 
 QUERIES = {
@@ -230,7 +256,11 @@ QUERIES = {
         SELECT vec_id, label AS nearest, round(dist, 5) AS distance FROM p QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY dist, label) = 1""",
     ),
     "gaussian_pdf": (gaussian_pdf, f"WITH {SAMPLES} SELECT vec_id, round(list_sum([-0.5::DOUBLE * (ln(2 * pi() * 0.02::DOUBLE) + v * v / 0.02::DOUBLE) FOR v IN x]), 5) AS log_density, round(1 / (1 + exp(-x[1])), 6) AS sigmoid FROM s"),
-    "spectral_features": (spectral_features, None),
+    "spectral_features": (
+        spectral_features,
+        f"""WITH {SPECTRA} SELECT s.vec_id, round(dominant, 4) AS dominant, round(centroid, 4) AS centroid, round(rolloff, 4) AS rolloff, round(contrast, 4) AS contrast, round(flux, 4) AS flux, round(ratio, 4) AS ratio,
+            round((SELECT var_pop(v) FROM mfcc AS m WHERE m.vec_id = s.vec_id), 4) AS mfcc_variance, round(band_power, 5) AS band_power FROM spectra AS s JOIN bands USING (vec_id)""",
+    ),
     "trajectory_stats": (
         trajectory_stats,
         f"""WITH {POINTS}, d AS (SELECT *, sqrt((x - lag(x) OVER w) * (x - lag(x) OVER w) + (y - lag(y) OVER w) * (y - lag(y) OVER w)) AS step, t - lag(t) OVER w AS dt FROM points WINDOW w AS (PARTITION BY video_id, segment ORDER BY t, seq))
@@ -265,8 +295,16 @@ QUERIES = {
                round(coalesce(max(step) FILTER (joint = 'root'), max(step) FILTER (joint = 'neck'), 0.0::DOUBLE), 5) AS displacement, round(1 / (1 + exp(-5 * (sum(weight * step) / count(weight) / max(dt)))), 5) AS weighted
         FROM w GROUP BY video_id, f""",
     ),
-    "gated_spectrum": (gated_spectrum, None),
-    "feature_assembly": (feature_assembly, None),
+    "gated_spectrum": (gated_spectrum, f"WITH {SPECTRA} SELECT vec_id, round(dominant, 4) AS dominant, round(flux, 4) AS flux FROM spectra JOIN s USING (vec_id) WHERE list_max([abs(v) FOR v IN x]) > 0.35::DOUBLE"),
+    "feature_assembly": (
+        feature_assembly,
+        f"""WITH {SPECTRA}, a AS (SELECT vec_id, x, {_PEAK_AT} AS p, list_max([abs(v) FOR v IN x]) AS m, sqrt(list_sum([v * v FOR v IN x]) / len(x)) AS rms FROM s),
+        b AS (SELECT *, [i FOR i IN range(0, len(x)) IF i >= p - 100 AND i < p AND abs(x[i + 1]) >= 0.1::DOUBLE * m] AS rise, [i FOR i IN range(0, len(x)) IF i < p AND abs(x[i + 1]) < 0.1::DOUBLE * m] AS quiet, [i FOR i IN range(0, len(x)) IF i > p AND abs(x[i + 1]) < 0.05::DOUBLE * m] AS still FROM a),
+        v AS (SELECT vec_id, list(v ORDER BY c) AS v FROM mfcc GROUP BY vec_id)
+        SELECT vec_id, CAST(23 AS BIGINT) AS dimensions, {", ".join(f"round(v[{i}], 4) AS f{i:02d}" for i in range(1, 14))}, round(centroid, 4) AS f14, round(rolloff, 4) AS f15, round(contrast, 4) AS f16, round(flux, 4) AS f17, 0.0::DOUBLE AS f18,
+               round(ratio, 4) AS f19, round(dominant, 4) AS f20, round((p - coalesce(rise[1], 0)) / 16000.0::DOUBLE, 4) AS f21, round((coalesce(still[1], len(x) - 1) - coalesce(list_max(quiet), 0)) / 16000.0::DOUBLE, 4) AS f22, round(m / (rms + 0.001::DOUBLE), 4) AS f23
+        FROM spectra JOIN b USING (vec_id) JOIN v USING (vec_id)""",
+    ),
     "change_point_weighted": (
         change_point_weighted,
         f"""WITH RECURSIVE {STATS}, c AS (SELECT video_id, segment, seq, gap, row_number() OVER (PARTITION BY video_id, segment ORDER BY t, seq) AS rn,

@@ -41,10 +41,13 @@ def test_previous_rows_and_running_sums(spark, levels, monkeypatch):
     df = spark.createDataFrame(rows, SCHEMA).repartition(5)
     previous = {r.seq: r.p for r in ordered.with_previous(df, ("seq", "confidence"), "p").collect()}
     sums = {r.seq: r.s for r in ordered.with_running_sum(df, F.col("seq") % 4, "s").collect()}
+    most = {r.seq: r.m for r in ordered.with_running_max(df, F.when(F.col("confidence") > 0.8, F.col("seq") % 50), "m").collect()}
     for group in by_key(rows).values():
-        total = 0
+        total, largest = 0, None
         for before, row in zip([None, *group], group, strict=False):
             total += row[2] % 4
+            largest = max((x for x in (largest, row[2] % 50 if row[3] > 0.8 else None) if x is not None), default=None)
+            assert most[row[2]] == largest
             assert sums[row[2]] == total
             assert (previous[row[2]] and tuple(previous[row[2]])) == (before and (before[2], before[3]))
 
@@ -65,7 +68,8 @@ def test_values_at_ranks(spark):
 
 def test_no_window_sees_a_whole_video(spark):
     df = spark.createDataFrame(hot_rows(1), SCHEMA)
-    for found in (D.with_gaps(df), D.interval_statistics(df), D.dynamic_gap_sessions(df)):
+    frames = df.withColumn("active", F.col("confidence") > 0.7)
+    for found in (D.with_gaps(df), D.interval_statistics(df), D.dynamic_gap_sessions(df), folds.with_islands(frames), folds.debounce(df)):
         plan = found._jdf.queryExecution().optimizedPlan().toString()
         for spec in re.findall(r"windowspecdefinition\(([^)]*)", plan):
             assert "__b" in spec or "__up" in spec or "bin" in spec, spec

@@ -26,8 +26,9 @@ def normal(df: pd.DataFrame) -> list[tuple]:
 @pytest.mark.parametrize("name", sorted(registry.QUERIES))
 def test_query(spark, tiny, db, name):
     got = registry.QUERIES[name](spark, tiny).toPandas()
-    if name not in registry.SQL:
-        assert len(got) > 0
+    if name not in registry.SQL:  # its fit is held against plain Python in test_kernels
+        assert name == "gmm_classify" and got["probability"].between(1 / 3, 1).all() and set(got["class"]) <= {"hit", "bounce", "noise", "unknown"}
+    X
         return
     want = db.sql(registry.SQL[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
@@ -37,7 +38,7 @@ def test_query(spark, tiny, db, name):
         assert x == pytest.approx(y) or str(x) == str(y)
 
 
-@pytest.mark.parametrize("name", ["proximity_semi_join", "offset_band_join", "interval_containment_agg", "tolerance_match", "overlap_self_join", "boundary_refinement"])
+@pytest.mark.parametrize("name", ["proximity_semi_join", "offset_band_join", "interval_containment_agg", "tolerance_match", "overlap_self_join", "boundary_refinement", "annotation_points", "report_lines", "euclid_nearest"])
 def test_time_joins_are_equi_joins(spark, tiny, name):
     plan = registry.QUERIES[name](spark, tiny)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
