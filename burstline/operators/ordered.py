@@ -96,11 +96,11 @@ def size_bin(value: Column, steps: int = 256) -> Column:
 def values_at_ranks(rows: DataFrame, value: str, ranks: dict[str, Callable[[Column], Column]], key: str = "video_id") -> DataFrame:
     """(key, m, one column for each of ``ranks``): the values at 1-based ranks by size among the key's ``m`` values.
 
-    A rank is a function of ``m``. Two passes: the key's values are counted by ``size_bin``, some
-    thousands of bins at most, which shows the bin of each rank; then only the values of these bins are
-    ranked, equal ones as one. Null values aren't counted; a key with nulls alone has ``m`` 0 and nulls.
+    A rank is a function of ``m``. Equal values are counted before they are shuffled, so a very common one is a row for each
+    task. Two passes: the values are counted by ``size_bin``, some thousands of bins at most, which shows the bin of each rank;
+    then only the values of these bins are ranked. Null values aren't counted; a key with nulls alone has ``m`` 0 and nulls.
     """
-    values = rows.where(F.col(value).isNotNull()).select(key, F.col(value).alias("v")).withColumn("bin", size_bin(F.col("v"))).repartition(key, "bin")
+    values = rows.where(F.col(value).isNotNull()).select(key, F.col(value).alias("v")).withColumn("bin", size_bin(F.col("v")))
     values = values.groupBy(key, "bin", "v").agg(F.count("*").alias("n"))
     bins = values.groupBy(key, "bin").agg(F.sum("n").alias("n")).groupBy(key).agg(F.sum("n").alias("m"), F.array_sort(F.collect_list(F.struct("bin", "n"))).alias("bins"))
     place = "struct<bin:bigint,within:bigint>"
