@@ -55,10 +55,9 @@ class SessionProcessor(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         first = None
         for frame in rows:
-            ms = frame["ts"].astype("int64") // {"s": 1, "ms": 1}.get(frame["ts"].dt.unit, 1000 if frame["ts"].dt.unit == "us" else 1_000_000)
-            columns = ["t", "seq", "confidence", "boundary", "max_interval", "p90"]
-            self.waiting.appendList([(int(m), float(t), int(s), *map(float, rest)) for m, (t, s, *rest) in zip(ms, frame[columns].itertuples(index=False, name=None), strict=True)])
-            first = min(int(ms.min()), first) if first is not None else int(ms.min())
+            columns = ["ms", "t", "seq", "confidence", "boundary", "max_interval", "p90"]
+            self.waiting.appendList([(int(ms), float(t), int(seq), *map(float, rest)) for ms, t, seq, *rest in frame[columns].itertuples(index=False, name=None)])
+            first = int(frame["ms"].min()) if first is None else min(int(frame["ms"].min()), first)
         if first is not None:
             self.handle.registerTimer(first)
         yield pd.DataFrame()
@@ -97,7 +96,8 @@ def exact_sessions(peaks: DataFrame, keys: tuple[str, ...] = ("video_id",), exac
     peak is numbered when the watermark has passed it; one that comes later than ``delay`` is dropped.
     """
     rows = peaks if delay is None else peaks.withWatermark("ts", delay)
-    rows = rows.select(*keys, "ts", "t", "seq", "confidence", *STATISTICS)
+    # times in UTC, as pandas has them in the session's time zone
+    rows = rows.select(*keys, "ts", F.unix_millis("ts").alias("ms"), "t", "seq", "confidence", *STATISTICS)
     kinds = dict(rows.dtypes)
     schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", seq long, cluster long"
     return rows.groupBy(*keys).transformWithStateInPandas(SessionProcessor(keys, exact), schema, "Append", "EventTime")
