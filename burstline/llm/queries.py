@@ -44,7 +44,9 @@ def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     counts = lm_score.word_counts(docs)
-    return lm_score.score(docs, lm_score.train(docs, counts=counts), counts=counts)
+    vocabulary = lm_score.vocabulary(counts)
+    coded = lm_score.encoded(docs, vocabulary)
+    return lm_score.score(coded, lm_score.train(coded, vocabulary), counts)
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -82,6 +82,27 @@ def large(column: pa.Array | pa.ChunkedArray) -> pa.Array:
     return column.cast(pa.large_binary()).fill_null(b"")
 
 
+def pieces(texts: pa.Array, row: int, most: int = SLICE_BYTES) -> Iterator[pa.Array]:
+    """One text as arrays of one part each, of some ``most`` bytes, cut where white space stands.
+
+    A word is never cut, so a part is longer where no white space comes.
+    """
+    lo, hi = (int(x) for x in np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset + row :][:2])
+    raw = np.frombuffer(texts.buffers()[2], dtype=np.uint8)[lo:hi] if hi > lo else np.zeros(0, dtype=np.uint8)
+    at = 0
+    while at < len(raw):
+        to = at + most
+        while to < len(raw):
+            spaces = np.flatnonzero(_SPACE[raw[to : to + most]])
+            if len(spaces):
+                to += int(spaces[0])
+                break
+            to += most
+        to = min(to, len(raw))
+        yield pa.array([raw[at:to].tobytes()], pa.large_binary())
+        at = to
+
+
 class Words:
     """The words of texts [at, to): ``start`` and ``end`` byte positions in ``data``, ``row`` of each, ``hash``.
 

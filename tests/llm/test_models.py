@@ -77,99 +77,150 @@ def test_pooling_reads_whole_texts():
         assert np.allclose(got[i], total / max(len(raw), 1), atol=1e-5)
 
 
+def lm_fitted(rows, size, head=lm_score.HEAD, shares=3):
+    counts = lm_score.word_counts(rows)
+    vocabulary = lm_score.vocabulary(counts, size, head)
+    coded = lm_score.encoded(rows, vocabulary)
+    return counts, coded, lm_score.train(coded, vocabulary, shares)
+
+
+def lm_docs(seed=1):
+    rng = random.Random(seed)
+    common = [f"w{chr(97 + i)}" for i in range(26)]
+    docs = [(i, " ".join(rng.choice(common) if rng.random() < 0.7 else f"Rare{int(rng.paretovariate(0.6)) % 500}" for _ in range(rng.choice([1, 2, 4, 60])))) for i in range(80)]
+    return docs + [(100, None), (101, " \n "), (None, "wa wb"), (3, docs[3][1])]
+
+
 def test_lm_scores_equal_plain_recomputation(spark):
-    rng = random.Random(1)
-    common = [f"w{i}" for i in range(30)]
-    docs = [(i, " ".join(rng.choice(common) if rng.random() < 0.8 else f"rare{rng.randrange(500)}" for _ in range(rng.choice([1, 2, 4, 60])))) for i in range(80)]
-    docs += [(100, None), (101, " \n "), (None, "w1 w2"), (3, docs[3][1])]
+    docs = lm_docs()
     rows = spark.createDataFrame([(*d, 5) for d in docs], "doc_id long, text string, n_tokens int").repartition(2)
-    network = lm_score.train(rows, size=20)
-    vocabulary = network.vocabulary
-    got = lm_score.score(rows, network).collect()
-    assert len(got) == len(docs)
-
-    def plain(text):
-        arr = wordsets.large(pa.array([text or ""]))
-        words = wordsets.Words(arr, 0, 1)
-        symbols = vocabulary.symbols(words).tolist()
-        total = 0.0
-        for i, s in enumerate(symbols):
-            near = [symbols[i - j] if i - j >= 0 else vocabulary.edge for j in (1, 2)] + [symbols[i + j] if i + j < len(symbols) else vocabulary.edge for j in (1, 2)]
-            x = np.concatenate([network.weights["embed"][c] for c in near])
-            logits = np.tanh(x @ network.weights["inner"] + network.weights["shift"]) @ network.weights["out"] + network.weights["bias"]
-            p = np.exp(logits - logits.max())
-            total += np.log(p[s] / p.sum()) - vocabulary.log_types[s]
-        return len(symbols), total
-
-    want = {t: plain(t) for _, t in docs}
-    texts = dict(docs)
-    for r in got:
-        n, total = want[texts[r.doc_id]]
-        assert r.n_tokens == n and abs(r.log_prob - total) < 1e-3 * max(1, n)
-        assert (r.mean_log_prob is None) == (n == 0)
-    assert len(vocabulary.words) == 20
+    n = {}
+    for _, text in docs:
+        for word in (text or "").lower().split():
+            n[word] = n.get(word, 0) + 1
+
+    def hashed(word):
+        return int(wordsets.Words(wordsets.large(pa.array([word])), 0, 1).hash[0])
+
+    # with counts of the head at hand, and with all but the symbols' joined
+    for head in (40, 0):
+        counts, coded, network = lm_fitted(rows, 20, head)
+        vocabulary, w = network.vocabulary, network.weights
+        got = lm_score.score(coded, network, counts).collect()
+        assert len(got) == len(docs)
+        named = set(sorted(n, key=lambda x: (-n[x], np.uint64(hashed(x)).astype(np.int64)))[:20])
+        cls = {x: (ord(x[-1]) * 131 + (ord(x[-2]) if len(x) > 1 else 0) * 31) % vocabulary.classes for x in n}
+        members = {c: sorted((x for x in named if cls[x] == c), key=hashed) for c in range(vocabulary.classes)}
+        rest = {c: sum(n[x] for x in n if x not in named and cls[x] == c) for c in members}
+        first, at = {}, 0
+        for c in members:
+            first[c], at = at, at + len(members[c]) + 1
+        symbol = {x: first[cls[x]] + (members[cls[x]].index(x) if x in named else len(members[cls[x]])) for x in n}
+
+        def plain(text):
+            words = (text or "").lower().split()
+            symbols = [symbol[x] for x in words]
+            total = 0.0
+            for i, x in enumerate(words):
+                near = [symbols[i - j] if i - j >= 0 else at for j in (1, 2)] + [symbols[i + j] if i + j < len(words) else at for j in (1, 2)]
+                h = np.append(np.tanh(np.concatenate([w["embed"][s] for s in near]) @ w["inner"] + w["shift"]), 1)
+                c = cls[x]
+                for logits, goal in ((w["class"] @ h, c), (w["word"][first[c] : first[c] + len(members[c]) + 1] @ h, symbol[x] - first[c])):
+                    total += logits[goal] - np.log(np.exp(logits).sum())
+                total += 0 if x in named else np.log(n[x] / (rest[c] + 1))
+            return len(words), total
+
+        texts = dict(docs)
+        for r in got:
+            count, total = plain(texts[r.doc_id])
+            assert r.n_tokens == count and abs(r.log_prob - total) < 1e-3 * max(1, count)
+            assert (r.mean_log_prob is None) == (count == 0)
+        # a word that was never seen has the share of one occurrence
+        new = lm_score.encoded(spark.createDataFrame([(1, "neverseenx")], "doc_id long, text string"), vocabulary)
+        assert np.isfinite(lm_score.score(new, network, counts).first().log_prob)
+
+
+def test_lm_weights_do_not_depend_on_partitions(spark):
+    rows = spark.createDataFrame(lm_docs(4), "doc_id long, text string")
+    found = [lm_fitted(rows.repartition(parts), 12)[2].flat() for parts in (2, 8)]
+    assert np.abs(found[0] - found[1]).max() < 1e-6
+
+
+def lm_vocabulary():
+    endings = np.array([97 * 256 + i for i in (98, 99, 100, 101)], dtype=np.int32)
+    return lm_score.Vocabulary(np.arange(4), endings, np.array([50, 30, 20, 10]), (endings, np.array([50, 30, 20, 15])), 3)
 
 
 def test_lm_gradients_and_learning():
-    vocabulary = lm_score.Vocabulary([1, 2, 3], [50, 30, 20], {0: 10}, {0: 4})
-    network = lm_score.WindowNetwork(vocabulary)
+    network = lm_score.WindowNetwork(lm_vocabulary())
     rng = np.random.default_rng(0)
-    left = rng.integers(0, 3, 4000)
-    context = np.stack([left, rng.integers(0, 3, 4000), left, rng.integers(0, 3, 4000)])
+    network.weights = {k: v.astype(np.float64) + rng.standard_normal(v.shape) * 0.1 for k, v in network.weights.items()}
+    edge = network.vocabulary.edge
+    context, target = rng.integers(0, edge + 1, (4, 50)), rng.integers(0, edge, 50)
+    slopes = {k: np.zeros_like(v) for k, v in network.weights.items()}
+    for name, rows, slope in network.gradients(context, target):
+        slopes[name][rows] += slope
+    for name, w in network.weights.items():
+        for at in [tuple(rng.integers(0, n) for n in w.shape) for _ in range(12)]:
+            old, loss = w[at], []
+            for step in (1e-4, -1e-4):
+                w[at] = old + step
+                loss.append(-network.log_probabilities(context, target).sum())
+            w[at] = old
+            assert abs((loss[0] - loss[1]) / 2e-4 - slopes[name][at]) < 1e-4, (name, at)
+    network = lm_score.WindowNetwork(lm_vocabulary())
+    left = rng.integers(0, edge, 4000)
+    context = np.stack([left, rng.integers(0, edge, 4000), left, rng.integers(0, edge, 4000)])
     before = network.log_probabilities(context, left).mean()
-    network.fit(iter([(context[:, i : i + 200], left[i : i + 200]) for i in range(0, 4000, 200)] * 4), rate=0.02)
+    network.fit(iter([(context[:, i : i + 200], left[i : i + 200]) for i in range(0, 4000, 200)] * 10), rate=0.2)
     assert network.log_probabilities(context, left).mean() > before + 0.5
 
 
-def test_lm_weighs_every_word_by_its_count(spark):
-    rng = random.Random(2)
-    docs = [(i, " ".join(f"{rng.choice('abcdef')}{int(rng.paretovariate(0.7)) % 300}x" for _ in range(40))) for i in range(60)]
-    docs += [(100, None), (None, docs[0][1])]
-    rows = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
-    counts = lm_score.word_counts(rows)
-    network = lm_score.train(rows, size=5, counts=counts)
-    equal = {r.doc_id: r.log_prob for r in lm_score.score(rows, network).collect()}
-    got = lm_score.score(rows, network, counts=counts).collect()
-    assert len(got) == len(docs)
-    n = {}
-    for _, text in docs:
-        for w in (text or "").split():
-            n[w] = n.get(w, 0) + 1
-    own = set(network.vocabulary.words.tolist())
-    info = {}
-    for w in n:
-        words = wordsets.Words(wordsets.large(pa.array([w])), 0, 1)
-        info[w] = (int(words.hash[0]) in own, int(lm_score._class_of(words)[0]))
-    rest = [w for w in n if not info[w][0]]
-    tokens, types = ({c: sum(f(w) for w in rest if info[w][1] == c) for c in {x[1] for x in info.values()}} for f in (lambda w: n[w], lambda w: 1))
-    texts = dict(docs)
-    for r in got:
-        held = [w for w in (texts[r.doc_id] or "").split() if not info[w][0]]
-        want = equal[r.doc_id] + sum(np.log(n[w] / (tokens[info[w][1]] + 1)) + np.log(types[info[w][1]]) for w in held)
-        assert abs(r.log_prob - want) < 1e-3 * max(1, r.n_tokens)
-    # a word that was never seen has the share of one occurrence
-    new = lm_score.score(spark.createDataFrame([(1, "neverseenx")], "doc_id long, text string"), network, counts=counts).first()
-    assert np.isfinite(new.log_prob)
+def test_lm_beats_unigrams_on_held_out_documents(spark, tiny):
+    docs = spark.read.parquet(f"{tiny}/documents.parquet").where("text is not null")
+    held = docs.where("doc_id % 5 = 0")
+    counts, _, network = lm_fitted(docs.where("doc_id % 5 <> 0"), 200, shares=1)
+    coded = lm_score.encoded(held, network.vocabulary)
+    plain = lm_score.WindowNetwork(network.vocabulary)
+    total = lambda model: sum(r.log_prob for r in lm_score.score(coded, model, counts).collect())
+    words = coded.agg({"n_tokens": "sum"}).first()[0]
+    # an unfitted network gives each word its share of the corpus
+    assert total(network) / words > total(plain) / words + 0.1
 
 
 def test_lm_trains_on_every_word():
-    vocabulary = lm_score.Vocabulary([], [], {0: 10}, {0: 4}, 0)
-    batch = pa.RecordBatch.from_arrays([pa.array([" ".join(f"w{i}" for i in range(n)) for n in (100, 1, 37)])], names=["text"])
-    seen = [lm_score._fit(lm_score.WindowNetwork(vocabulary), turn)(iter([batch])) for turn in range(lm_score.ROUNDS)]
-    assert sum(b.column(1)[0].as_py() for out in seen for b in out) == 138
-
-
-def test_empty_lm_with_counts(spark):
-    rows = spark.createDataFrame([(1, None)], "doc_id long, text string")
-    counts = lm_score.word_counts(rows)
-    r = lm_score.score(rows, lm_score.train(rows, counts=counts), counts=counts).first()
-    assert (r.n_tokens, r.log_prob, r.mean_log_prob) == (0, 0.0, None)
+    vocabulary = lm_vocabulary()
+    sizes, keys = (100, 1, 37), (3, -8, 2)
+    batch = pa.RecordBatch.from_arrays([pa.array([0, 0, 1], pa.int32()), pa.array(keys, pa.int64()), pa.array([np.zeros(n, np.uint16).tobytes() for n in sizes], pa.binary())], names=["share", "key", "symbols"])
+    seen = [[b.column(1)[0].as_py() for b in lm_score._fit(lm_score.WindowNetwork(vocabulary), turn)(iter([batch, batch]))] for turn in range(lm_score.ROUNDS)]
+    # the second batch goes back to the first share, as its own run
+    assert [sum(x) for x in zip(*seen, strict=True)] == [101, 37, 101, 37]
+
+
+def test_lm_reads_long_texts_in_parts(spark, monkeypatch):
+    text = " ".join(f"w{i % 97}" for i in range(5000)) + " " + "x" * 3000 + " end"
+    vocabulary = lm_vocabulary()
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([7]), pa.array([text])], names=["row", "id", "text"])
+    whole = list(lm_score._encode(vocabulary, np.uint16)(iter([batch])))
+    for most in (64, 1000):
+        monkeypatch.setattr(lm_score, "slices", lambda texts, *_: iter([(0, 1)]))
+        monkeypatch.setattr(lm_score, "pieces", lambda texts, row, *_, most=most: wordsets.pieces(texts, row, most))
+        parts = list(lm_score._encode(vocabulary, np.uint16)(iter([batch])))
+        assert parts[0].column(2).to_pylist() == [5002] and parts[0].column(3) == whole[0].column(3) and parts[0].column(5) == whole[0].column(5)
+    symbols = np.frombuffer(whole[0].column(3)[0].as_py(), np.uint16)
+    row = np.zeros(len(symbols), dtype=np.int32)
+    blocks = list(vocabulary.blocks(symbols, row, most=37))
+    assert (np.concatenate([c for _, c, _ in blocks], axis=1) == vocabulary.contexts(symbols, row)).all()
 
 
 def test_empty_lm(spark):
     rows = spark.createDataFrame([(1, None)], "doc_id long, text string")
-    r = lm_score.score(rows, lm_score.train(rows)).first()
-    assert (r.n_tokens, r.log_prob, r.mean_log_prob) == (0, 0.0, None)
+    for size in (0, None):
+        counts, coded, network = lm_fitted(rows, size, shares=None)
+        r = lm_score.score(coded, network, counts).first()
+        assert (r.n_tokens, r.log_prob, r.mean_log_prob) == (0, 0.0, None)
+    counts, coded, network = lm_fitted(rows.limit(0), None, shares=None)
+    assert lm_score.score(coded, network, counts).count() == 0
 
 
 RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
