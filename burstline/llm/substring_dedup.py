@@ -79,7 +79,8 @@ def _pieces(k: int, shape: tuple[int, int]):
                 rows, hashes = shingles(unit, k)
                 sizes = np.bincount(rows, minlength=unit.rows)
                 text = words.line_row[words.row[first]]
-                points = np.concatenate([[0], np.cumsum((words.raw & 0xC0) != 0x80)])
+                points = np.zeros(len(words.raw) + 1, dtype=np.int32)
+                np.cumsum((words.raw & 0xC0) != 0x80, out=points[1:])
                 base = points[words.line_at[np.searchsorted(words.line_row, text)]]
                 keys = pa.array(band_keys(sketch(rows, hashes, unit.rows, bands * width), bands, width).reshape(-1).view(np.int64))
                 ints = lambda x: pa.array(x.astype(np.int32))

@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 
-#: Bytes of text that are hashed at once; longer single texts are hashed alone.
+#: Bytes of text that are hashed at once; a longer text is split into words alone, and hashed by slices of its words.
 SLICE_BYTES = 1 << 20
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -138,12 +138,30 @@ class Words:
         self.start = np.flatnonzero(opens)
         self.end = np.flatnonzero(closes) + 1
         self.row = np.searchsorted(bounds, self.start, side="right") - 1
-        sums = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * _powers("up", _BASE, n), out=sums[1:])
-        value = (sums[self.end] - sums[self.start]) * _powers("down", _BASE_INVERSE, n + 1)[self.start]
+        del inside, opens, closes
+        value = np.empty(len(self.start), dtype=np.uint64)
+        at = 0
+        while at < len(value):
+            # words of one slice of bytes, or one longer word
+            to = max(int(np.searchsorted(self.end, self.start[at] + SLICE_BYTES, side="right")), at + 1)
+            value[at:to] = self._values(at, to)
+            at = to
         self.hash = mix(value + (self.end - self.start).astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
         self.rows = len(bounds) - 1
 
+    def _values(self, at: int, to: int) -> np.ndarray:
+        """Of each of the words [at, to): the sum of its bytes, each times a power of the base by its place in the word."""
+        lo, hi = int(self.start[at]), int(self.end[to - 1])
+        if hi - lo <= SLICE_BYTES:
+            sums = np.zeros(hi - lo + 1, dtype=np.uint64)
+            np.cumsum((self.data[lo:hi].astype(np.uint64) + np.uint64(1)) * _powers("up", _BASE, hi - lo), out=sums[1:])
+            return (sums[self.end[at:to] - lo] - sums[self.start[at:to] - lo]) * _powers("down", _BASE_INVERSE, hi - lo + 1)[self.start[at:to] - lo]
+        total = 0
+        for part in range(lo, hi, SLICE_BYTES):
+            data = self.data[part : min(part + SLICE_BYTES, hi)].astype(np.uint64) + np.uint64(1)
+            total += int((data * _powers("up", _BASE, len(data))).sum(dtype=np.uint64)) * pow(int(_BASE), part - lo, 1 << 64)
+        return np.array([total % (1 << 64)], dtype=np.uint64)
+
 
 def shingles(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
     """(row, hash) of the distinct ``k``-word shingles, ordered by row and hash.

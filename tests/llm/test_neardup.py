@@ -124,3 +124,26 @@ def test_paragraph_classes_equal_brute_force(spark):
     for unit, (_, root) in brute(units, 5, 80).items():
         want.setdefault(root, set()).add(unit)
     assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
+
+
+def test_long_texts_hash_alike_in_slices(monkeypatch):
+    rng = random.Random(9)
+    texts = [" ".join("".join(rng.choices("abÉ漢Z", k=rng.choice([1, 3, 9, 40]))) for _ in range(300)) + "\n  " + "q" * 700 + " end", "", "y" * 999, None]
+    arr = wordsets.large(pa.array(texts))
+    for by_line in (False, True):
+        monkeypatch.setattr(wordsets, "SLICE_BYTES", 1 << 20)
+        whole = wordsets.Words(arr, 0, len(texts), by_line)
+        for most in (16, 100, 701):
+            monkeypatch.setattr(wordsets, "SLICE_BYTES", most)
+            parts = wordsets.Words(arr, 0, len(texts), by_line)
+            assert (parts.hash == whole.hash).all() and (parts.row == whole.row).all()
+    monkeypatch.setattr(wordsets, "SLICE_BYTES", 1 << 20)
+    alone = wordsets.Words(wordsets.large(pa.array([w for t in texts[:3] for w in t.split()])), 0, 303)
+    assert alone.hash.tolist() == wordsets.Words(arr, 0, 4).hash.tolist()
+
+
+def test_near_duplicates_of_long_texts(spark):
+    long = "array_join(transform(sequence(1, 3000000), i -> concat('w', i)), ' ')"
+    rows = spark.sql(f"SELECT 1L doc_id, {long} text UNION ALL SELECT 2L, concat({long}, ' more') UNION ALL SELECT 3L, 'a b c d e f'")
+    got = {r.doc_id: r for r in neardup.near_duplicates(rows).collect()}
+    assert [got[i].component_id for i in (1, 2, 3)] == [1, 1, 3] and got[1].n_shingles == 2999996
