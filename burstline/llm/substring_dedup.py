@@ -1,4 +1,4 @@
-"""Repeated paragraphs across documents: MinHash banding, exact verification, removal by components."""
+"""Repeated paragraphs (MinHash banding, exact verification, components) and repeated passages (winnowing) across documents."""
 
 from __future__ import annotations
 
@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from burstline.llm.components import connected_components
 from burstline.llm.neardup import blocked, near_classes, verified_classes
 from burstline.llm.tables import join_small, written
-from burstline.llm.wordsets import Words, band_keys, cuts, frugal, large, mix, shingles, sketch, slices
+from burstline.llm.wordsets import Words, band_keys, cuts, frugal, large, mix, shingles, sketch, slices, winnowed
 
 #: Bands and their width: a pair of similarity 0.8 shares no band with a chance of 2 in 10,000.
 SHAPE = (12, 3)
@@ -25,9 +25,10 @@ LONG_LINE = 40
 PIECE_REACH = 6
 #: Bands and their width for pieces: like ones of similarity 0.8 share no band with a chance of 4 in 100, equal ones share all.
 PIECE_SHAPE = (2, 1)
-#: How far apart neighbouring pieces of a passage may be, counted in pieces.
-PIECE_GAP = 2
-#: Words, in whole pieces, of the shortest passage that counts as repeated where it stands inside long lines.
+#: Words of a fingerprint, and how many that follow each other one is chosen from.
+GRAM = 13
+WINDOW = 13
+#: Words under fingerprints of the shortest passage that counts as repeated.
 PASSAGE_WORDS = 20
 
 
@@ -160,32 +161,74 @@ def near_pieces(docs: DataFrame, id_col: str, text_col: str, k: int = 5, percent
     return out
 
 
-def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, min_words: int = PASSAGE_WORDS) -> DataFrame:
-    """(id, start, end, words, keep_id, removed, text_hash): passages inside long lines that other documents hold too.
+def _prints(k: int, window: int):
+    """Arrow batches (id, text_hash, text) to the fingerprints of each text: hash, first word, span in code points."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = large(batch.column(2))
+            for at, to in slices(texts):
+                words = Words(texts, at, to)
+                places, hashes = winnowed(words, k, window)
+                if not len(places):
+                    continue
+                text = words.row[places]
+                points = np.zeros(len(words.raw) + 1, dtype=np.int32)
+                np.cumsum((words.raw & 0xC0) != 0x80, out=points[1:])
+                base = points[words.bounds[text]]
+                row = pa.array(text + at)
+                ints = lambda x: pa.array(x.astype(np.int32))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0).take(row),
+                        batch.column(1).take(row),
+                        pa.array(hashes.view(np.int64)),
+                        ints(places - np.searchsorted(words.row, text)),
+                        ints(points[words.start[places]] - base),
+                        ints(points[words.end[places + k - 1]] - base),
+                    ],
+                    names=["id", "text_hash", "hash", "at", "start", "end"],
+                )
+
+    return run
+
+
+def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gram: int = GRAM, window: int = WINDOW, min_words: int = PASSAGE_WORDS) -> DataFrame:
+    """(id, start, end, words, keep_id, removed, text_hash): passages that other documents hold too, wherever they stand in a text.
 
     A document is an id with a text (``text_hash`` is the text's hash), so texts that share an id, or have none, are told
-    apart and a span is one of its own text. A passage is a run of pieces (``near_pieces``) whose classes hold other
-    documents, with one other piece between two of them at most, as a near copy has; these pieces have ``min_words`` words at
-    least, all told. Each class belongs to its least document; a run is of pieces that are all
-    their document's own, which stay, or of none, which are removed. ``keep_id`` is the id of the least owner.
-    A passage's pieces at its ends are cut as what lies around them says, so a short passage may lack ``min_words`` words
-    in whole pieces; ``tests/llm/passage_recall.py`` measures how often. Rows that repeat an id and a text answer once.
+    apart and a span is one of its own text. Line breaks are white space like any other. Of each ``window`` runs of ``gram``
+    words that follow each other the one of least hash is a fingerprint (winnowing), so whatever stands around it, a run of
+    ``gram + window - 1`` words that two documents share has a fingerprint that both have. Fingerprints of more than one
+    document whose words touch are a span; spans with at most 2 * ``window`` - 1 other words between them, as one changed
+    word leaves, are counted together and need ``min_words`` words, all told. A copied passage loses at most ``window`` - 1
+    words at either end, so each one of ``min_words + 2 * window - 2`` words is found. A fingerprint belongs to its least document;
+    a span is of fingerprints that are all their document's own, which stay, or of none, which are removed. ``keep_id`` is the
+    id of the least owner. ``window`` is at most ``gram``. ``start`` and ``end`` are code points, end exclusive. Null and empty
+    texts have no passages; rows that repeat an id and a text answer once.
     """
-    pair = F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"))
-    rows = docs.select(pair.alias("document"), F.col(text_col).alias("text"))
-    pieces = written(near_pieces(rows, "document", "text", k, percent), "classes")
-    owners = pieces.groupBy("label").agg(F.min("id").alias("holder"), F.max("id").alias("last")).where("holder <> last").drop("last")
-    found = pieces.join(written(owners, "owners").hint("merge"), "label").withColumn("later", F.col("id") != F.col("holder"))
-    order = Window.partitionBy("id", "later").orderBy("at")
-    opens = F.when(F.col("at") - F.lag("at").over(order) <= PIECE_GAP, 0).otherwise(1)
-    found = found.drop("label").distinct().withColumn("opens", opens).withColumn("run", F.sum("opens").over(order.rangeBetween(Window.unboundedPreceding, 0)))
-    runs = found.groupBy("id", "later", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("words").alias("words"), F.min("holder").alias("holder"))
-    runs = runs.where(F.col("words") >= min_words)
-    return runs.select(F.col("id.id").alias(id_col), "start", "end", "words", F.col("holder.id").alias(f"keep_{id_col}"), F.col("later").alias("removed"), F.col("id.text_hash").alias("text_hash"))
+    if not 1 <= window <= gram:
+        raise ValueError("window must be at least 1 and at most gram")
+    source = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
+    schema = T.StructType([source.schema["id"], *(T.StructField(c, T.LongType()) for c in ("text_hash", "hash")), *(T.StructField(c, T.IntegerType()) for c in ("at", "start", "end"))])
+    holders = Window.partitionBy("hash")
+    found = source.mapInArrow(frugal(_prints(gram, window)), schema).withColumn("doc", F.xxhash64("id", "text_hash"))
+    found = found.withColumn("least", F.min("doc").over(holders)).withColumn("most", F.max("doc").over(holders)).where("least <> most").drop("least", "most", "doc")
+    found = found.withColumn("holder", F.min(F.struct("id", "text_hash")).over(holders)).withColumn("later", F.struct("id", "text_hash") != F.col("holder"))
+    own = ["id", "text_hash", "later"]
+    order = Window.partitionBy(*own).orderBy("at")
+    step = F.col("at") - F.lag("at").over(order)
+    opens = lambda most: F.when(step <= most, 0).otherwise(1)
+    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
+    found = found.withColumn("opens", opens(gram)).withColumn("begins", opens(gram + 2 * window - 1))
+    found = found.withColumn("span", F.sum("opens").over(so_far)).withColumn("chain", F.sum("begins").over(so_far))
+    spans = found.groupBy(*own, "chain", "span").agg(F.min("start").alias("start"), F.max("end").alias("end"), (F.max("at") - F.min("at") + gram).cast("long").alias("words"), F.min("holder").alias("holder"))
+    spans = spans.withColumn("together", F.sum("words").over(Window.partitionBy(*own, "chain"))).where(F.col("together") >= min_words)
+    return spans.select(F.col("id").alias(id_col), "start", "end", "words", F.col("holder.id").alias(f"keep_{id_col}"), F.col("later").alias("removed"), "text_hash")
 
 
 def repeated_parts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """Repeated paragraphs, and repeated passages that stand inside long lines, one row each.
+    """Repeated paragraphs, and repeated passages wherever they stand in a text, one row each.
 
     Columns of both, null where they don't apply: paragraph, keep_paragraph and size of paragraphs,
     start, end and words of passages.

@@ -224,6 +224,45 @@ def cuts(words: Words, reach: int, longest: int) -> np.ndarray:
     return np.flatnonzero(opens & (np.bincount(words.row, minlength=words.rows) > longest)[words.row])
 
 
+def _spread(values: np.ndarray, n: int, choose: Callable) -> np.ndarray:
+    """``choose`` (minimum or maximum) of the ``n`` values that start at each place, where so many are left."""
+    done = 1
+    while done < n:
+        by = min(done, n - done)
+        values = choose(values[:-by], values[by:])
+        done += by
+    return values
+
+
+def winnowed(words: Words, k: int, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first word, hash) of the ``k``-word runs that are the least of ``window`` that follow each other.
+
+    Runs lie within a row, and those at its ends are chosen among the fewer that there are, so each row
+    of ``k`` words or more has one. A choice depends on the ``window`` alone. Equal runs side by side, which
+    one repeated word makes, are thinned to their first, their last and every ``window``-th. ``window`` is at
+    most ``k``, so that what is chosen leaves no word out and no window spans two rows.
+    """
+    n = len(words.row) - k + 1
+    if n < 1:
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
+    value = words.hash[:n].copy()
+    for j in range(1, k):
+        value *= np.uint64(0x9FB21C651E98DF25)
+        value += words.hash[j : n + j]
+    value = mix(value)
+    none = np.uint64(0xFFFFFFFFFFFFFFFF)
+    whole = words.row[:n] == words.row[k - 1 :]
+    value[~whole] = none
+    edge = np.full(window - 1, none)
+    least = _spread(np.concatenate([edge, value, edge]), window, np.minimum)
+    chosen = whole & (value == _spread(least, window, np.maximum))
+    if n > 2:
+        same = value[1:] == value[:-1]
+        chosen[1:-1] &= ~(same[1:] & same[:-1]) | (np.arange(1, n - 1) % window == 0)
+    places = np.flatnonzero(chosen)
+    return places, value[places]
+
+
 def sketch(rows: np.ndarray, hashes: np.ndarray, n_rows: int, t: int) -> np.ndarray:
     """``t`` coordinates per row by rounds of hashed bin placement.
 

@@ -264,6 +264,59 @@ def test_passages_in_long_lower_case_lines_and_near_copies(spark):
         assert set(texts[r.doc_id][r.start : r.end].split()) <= set(passage) | {"other"}
 
 
+def test_every_passage_of_51_words_is_found(spark):
+    """In long lines, across short ones, at either end; of one word; shared runs too short for a fingerprint aren't."""
+    import random
+
+    rng = random.Random(21)
+    words = lambda n: [f"w{rng.randrange(9000)}" for _ in range(n)]
+    docs, inside = [], {}
+    for p in range(150):
+        passage = words(51)
+        for i in (2 * p, 2 * p + 1):
+            before, after = words(rng.randrange(90)), words(rng.randrange(90))
+            text = before + passage + after
+            docs.append((i, "".join(w + (" \n" if p % 3 == 0 and rng.random() < 0.2 else " ") for w in text)))
+            inside[i] = (len(before), len(before) + 51)
+    docs += [(900, " ".join(words(40) + ["the"] * 500 + words(40))), (901, " ".join(words(9) + ["The"] * 60)), (902, " ".join(words(80) + docs[0][1].split()[:12])), (903, "\n")]
+    got = substring_dedup.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string").repartition(5)).collect()
+    assert {r.doc_id for r in got} == {*range(300), 900, 901}
+    assert {r.doc_id for r in got if r.removed} == {*range(1, 300, 2), 901}
+    texts = dict(docs)
+    for r in got:
+        span, first = texts[r.doc_id][r.start : r.end].split(), len(texts[r.doc_id][: r.start].split())
+        assert r.words == len(span) and r.keep_doc_id == (900 if r.doc_id >= 900 else r.doc_id // 2 * 2)
+        if r.doc_id < 900:
+            lo, hi = inside[r.doc_id]
+            assert lo <= first <= lo + 12 and hi - 12 <= first + len(span) <= hi
+
+
+def test_fingerprints_equal_brute_force():
+    """The least of each window of runs, by a plain loop; rows shorter than a run have none."""
+    import random
+
+    import numpy as np
+    import pyarrow as pa
+
+    from burstline.llm import wordsets
+
+    rng = random.Random(22)
+    texts = [" ".join(f"w{rng.randrange(50)}" for _ in range(n)) for n in (0, 3, 4, 5, 40, 1, 200, 4, 77)]
+    words = wordsets.Words(wordsets.large(pa.array(texts)), 0, len(texts))
+    places, hashes = wordsets.winnowed(words, 4, 3)
+    with_all = dict(zip(*wordsets.winnowed(words, 4, 1), strict=True))
+    want = set()
+    for row in range(len(texts)):
+        own = [int(p) for p in np.flatnonzero(words.row == row)[:-3]]
+        for lo in range(-2, len(own)):
+            seen = own[max(lo, 0) : lo + 3]
+            want |= {p for p in seen if with_all[p] == min(with_all[q] for q in seen)}
+    assert [int(p) for p in places] == sorted(want) and all(with_all[p] == h for p, h in zip(places, hashes, strict=True))
+    same = {}
+    for p, h in with_all.items():
+        assert same.setdefault(int(h), [int(x) for x in words.hash[p : p + 4]]) == [int(x) for x in words.hash[p : p + 4]]
+
+
 def test_pieces_equal_brute_force(spark, monkeypatch):
     """Classes of pieces hold what links of exact Jaccard reach, among pieces that share a band key."""
     import random
