@@ -15,6 +15,7 @@ spanning forest of its links and not the links, so rows never grow with the squa
 from __future__ import annotations
 
 from collections.abc import Iterator
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +43,13 @@ def bands_for(percent: int, most: int = 40) -> tuple[int, int]:
     return most, 1
 
 
+def _long_lines(words: Words, min_words: int) -> tuple[SimpleNamespace, np.ndarray]:
+    """The words of rows that have ``min_words`` at least, as rows of the same numbers, and which rows these are."""
+    enough = np.bincount(words.row, minlength=words.rows) >= min_words
+    inside = enough[words.row]
+    return SimpleNamespace(row=words.row[inside], hash=words.hash[inside], rows=words.rows), enough
+
+
 def _units(k: int, bands: int, width: int, by_line: bool, min_words: int):
     """Arrow batches (id, text) to one row per unit: identity, set size, 128-bit set hash, band keys."""
 
@@ -50,9 +58,9 @@ def _units(k: int, bands: int, width: int, by_line: bool, min_words: int):
             texts = large(batch.column(1))
             for at, to in slices(texts):
                 words = Words(texts, at, to, by_line)
-                rows, hashes = shingles(words, k)
+                unit, long_enough = _long_lines(words, min_words)
+                rows, hashes = shingles(unit, k)
                 sizes = np.bincount(rows, minlength=words.rows)
-                long_enough = np.bincount(words.row, minlength=words.rows) >= min_words
                 if by_line:
                     ids, part = words.line_row, np.arange(words.rows) - np.searchsorted(words.line_row, words.line_row)
                 else:
@@ -70,8 +78,7 @@ def _units(k: int, bands: int, width: int, by_line: bool, min_words: int):
                     if not len(keep):
                         continue
                     keys = np.zeros((hi - lo, bands), dtype=np.uint64)
-                    want = long_enough[rows[a:b]] if by_line else slice(None)
-                    keys[:] = band_keys(sketch(rows[a:b][want] - lo, hashes[a:b][want], hi - lo, bands * width), bands, width)
+                    keys[:] = band_keys(sketch(rows[a:b] - lo, hashes[a:b], hi - lo, bands * width), bands, width)
                     flat = pa.array(keys[keep].reshape(-1).view(np.int64))
                     yield pa.RecordBatch.from_arrays(
                         [
@@ -96,10 +103,11 @@ def _sets(k: int, by_line: bool, min_words: int):
             texts = large(batch.column(1))
             for at, to in slices(texts):
                 words = Words(texts, at, to, by_line)
-                rows, hashes = shingles(words, k)
+                unit, _ = _long_lines(words, min_words)
+                rows, hashes = shingles(unit, k)
                 sizes = np.bincount(rows, minlength=words.rows)
                 ids, part = (words.line_row, np.arange(words.rows) - np.searchsorted(words.line_row, words.line_row)) if by_line else (np.arange(to - at), np.zeros(to - at, dtype=np.int64))
-                keep = np.flatnonzero((sizes > 0) & (np.bincount(words.row, minlength=words.rows) >= min_words))
+                keep = np.flatnonzero(sizes > 0)
                 if not len(keep):
                     continue
                 first = np.cumsum(sizes) - sizes

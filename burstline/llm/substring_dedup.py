@@ -162,7 +162,10 @@ def near_pieces(docs: DataFrame, id_col: str, text_col: str, k: int = 5, percent
 
 
 def _prints(k: int, window: int):
-    """Arrow batches (id, text_hash, text) to the fingerprints of each text: hash, first word, span in code points."""
+    """Arrow batches (id, text_hash, text) to the fingerprints of each text: hash, first word, words, span in code points.
+
+    The same fingerprint again and again, as one or a few words that repeat make it, is one row for the whole stretch.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -172,6 +175,10 @@ def _prints(k: int, window: int):
                 places, hashes = winnowed(words, k, window)
                 if not len(places):
                     continue
+                goes_on = (hashes[1:] == hashes[:-1]) & (np.diff(places) <= window) & (words.row[places[1:]] == words.row[places[:-1]])
+                first = np.flatnonzero(np.append(True, ~goes_on))
+                last = places[np.append(first[1:], len(places)) - 1]
+                places, hashes = places[first], hashes[first]
                 text = words.row[places]
                 points = np.zeros(len(words.raw) + 1, dtype=np.int32)
                 np.cumsum((words.raw & 0xC0) != 0x80, out=points[1:])
@@ -184,10 +191,11 @@ def _prints(k: int, window: int):
                         batch.column(1).take(row),
                         pa.array(hashes.view(np.int64)),
                         ints(places - np.searchsorted(words.row, text)),
+                        ints(last - places + k),
                         ints(points[words.start[places]] - base),
-                        ints(points[words.end[places + k - 1]] - base),
+                        ints(points[words.end[last + k - 1]] - base),
                     ],
-                    names=["id", "text_hash", "hash", "at", "start", "end"],
+                    names=["id", "text_hash", "hash", "at", "words", "start", "end"],
                 )
 
     return run
@@ -202,7 +210,8 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     ``gram + window - 1`` words that two documents share has a fingerprint that both have. Fingerprints of more than one
     document whose words touch are a span; spans with at most 2 * ``window`` - 1 other words between them, as one changed
     word leaves, are counted together and need ``min_words`` words, all told. A copied passage loses at most ``window`` - 1
-    words at either end, so each one of ``min_words + 2 * window - 2`` words is found. A fingerprint belongs to its least document;
+    words at either end, so one of ``min_words + 2 * window - 2`` words is found in the later of two documents that share it, and in
+    the least that holds it. A fingerprint belongs to its least document;
     a span is of fingerprints that are all their document's own, which stay, or of none, which are removed. ``keep_id`` is the
     id of the least owner. ``window`` is at most ``gram``. ``start`` and ``end`` are code points, end exclusive. Null and empty
     texts have no passages; rows that repeat an id and a text answer once.
@@ -210,19 +219,19 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     if not 1 <= window <= gram:
         raise ValueError("window must be at least 1 and at most gram")
     source = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
-    schema = T.StructType([source.schema["id"], *(T.StructField(c, T.LongType()) for c in ("text_hash", "hash")), *(T.StructField(c, T.IntegerType()) for c in ("at", "start", "end"))])
+    schema = T.StructType([source.schema["id"], *(T.StructField(c, T.LongType()) for c in ("text_hash", "hash")), *(T.StructField(c, T.IntegerType()) for c in ("at", "words", "start", "end"))])
     holders = Window.partitionBy("hash")
     found = source.mapInArrow(frugal(_prints(gram, window)), schema).withColumn("doc", F.xxhash64("id", "text_hash"))
     found = found.withColumn("least", F.min("doc").over(holders)).withColumn("most", F.max("doc").over(holders)).where("least <> most").drop("least", "most", "doc")
     found = found.withColumn("holder", F.min(F.struct("id", "text_hash")).over(holders)).withColumn("later", F.struct("id", "text_hash") != F.col("holder"))
     own = ["id", "text_hash", "later"]
     order = Window.partitionBy(*own).orderBy("at")
-    step = F.col("at") - F.lag("at").over(order)
-    opens = lambda most: F.when(step <= most, 0).otherwise(1)
+    between = F.col("at") - F.lag(F.col("at") + F.col("words")).over(order)
+    opens = lambda most: F.when(between <= most, 0).otherwise(1)
     so_far = order.rowsBetween(Window.unboundedPreceding, 0)
-    found = found.withColumn("opens", opens(gram)).withColumn("begins", opens(gram + 2 * window - 1))
+    found = found.withColumn("opens", opens(0)).withColumn("begins", opens(2 * window - 1))
     found = found.withColumn("span", F.sum("opens").over(so_far)).withColumn("chain", F.sum("begins").over(so_far))
-    spans = found.groupBy(*own, "chain", "span").agg(F.min("start").alias("start"), F.max("end").alias("end"), (F.max("at") - F.min("at") + gram).cast("long").alias("words"), F.min("holder").alias("holder"))
+    spans = found.groupBy(*own, "chain", "span").agg(F.min("start").alias("start"), F.max("end").alias("end"), (F.max(F.col("at") + F.col("words")) - F.min("at")).cast("long").alias("words"), F.min("holder").alias("holder"))
     spans = spans.withColumn("together", F.sum("words").over(Window.partitionBy(*own, "chain"))).where(F.col("together") >= min_words)
     return spans.select(F.col("id").alias(id_col), "start", "end", "words", F.col("holder.id").alias(f"keep_{id_col}"), F.col("later").alias("removed"), "text_hash")
 

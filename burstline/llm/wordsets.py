@@ -238,9 +238,8 @@ def winnowed(words: Words, k: int, window: int) -> tuple[np.ndarray, np.ndarray]
     """(first word, hash) of the ``k``-word runs that are the least of ``window`` that follow each other.
 
     Runs lie within a row, and those at its ends are chosen among the fewer that there are, so each row
-    of ``k`` words or more has one. A choice depends on the ``window`` alone. Equal runs side by side, which
-    one repeated word makes, are thinned to their first, their last and every ``window``-th. ``window`` is at
-    most ``k``, so that what is chosen leaves no word out and no window spans two rows.
+    of ``k`` words or more has one. A choice depends on the ``window`` alone; of equal ones all are chosen.
+    ``window`` is at most ``k``, so that what is chosen leaves no word out and no window spans two rows.
     """
     n = len(words.row) - k + 1
     if n < 1:
@@ -255,11 +254,7 @@ def winnowed(words: Words, k: int, window: int) -> tuple[np.ndarray, np.ndarray]
     value[~whole] = none
     edge = np.full(window - 1, none)
     least = _spread(np.concatenate([edge, value, edge]), window, np.minimum)
-    chosen = whole & (value == _spread(least, window, np.maximum))
-    if n > 2:
-        same = value[1:] == value[:-1]
-        chosen[1:-1] &= ~(same[1:] & same[:-1]) | (np.arange(1, n - 1) % window == 0)
-    places = np.flatnonzero(chosen)
+    places = np.flatnonzero(whole & (value == _spread(least, window, np.maximum)))
     return places, value[places]
 
 

@@ -317,6 +317,22 @@ def test_fingerprints_equal_brute_force():
         assert same.setdefault(int(h), [int(x) for x in words.hash[p : p + 4]]) == [int(x) for x in words.hash[p : p + 4]]
 
 
+def test_repeated_words_make_few_fingerprints():
+    """A word or a pair of words thousands of times is one fingerprint or two of the whole stretch, and not one for each place."""
+    import pyarrow as pa
+
+    texts = ["the " * 5000, "one two " * 4000, "a b c " * 3000 + "d " * 2000]
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3]), pa.array([4, 5, 6]), pa.array(texts)], names=["id", "text_hash", "text"])
+    got = [r for b in substring_dedup._prints(13, 13)(iter([batch])) for r in b.to_pylist()]
+    assert len(got) < 60 and {r["id"] for r in got} == {1, 2, 3}
+    for i, text in enumerate(texts, 1):
+        covered = set()
+        for r in (r for r in got if r["id"] == i):
+            assert text[r["start"] : r["end"]].split() == text.split()[r["at"] : r["at"] + r["words"]]
+            covered |= set(range(r["at"], r["at"] + r["words"]))
+        assert covered == set(range(len(text.split())))
+
+
 def test_pieces_equal_brute_force(spark, monkeypatch):
     """Classes of pieces hold what links of exact Jaccard reach, among pieces that share a band key."""
     import random
