@@ -43,8 +43,10 @@ def bands_for(percent: int, most: int = 40) -> tuple[int, int]:
     return most, 1
 
 
-def _long_lines(words: Words, min_words: int) -> tuple[SimpleNamespace, np.ndarray]:
+def _long_lines(words: Words, min_words: int) -> tuple[Words | SimpleNamespace, np.ndarray]:
     """The words of rows that have ``min_words`` at least, as rows of the same numbers, and which rows these are."""
+    if not min_words:
+        return words, np.ones(words.rows, dtype=bool)
     enough = np.bincount(words.row, minlength=words.rows) >= min_words
     inside = enough[words.row]
     return SimpleNamespace(row=words.row[inside], hash=words.hash[inside], rows=words.rows), enough
