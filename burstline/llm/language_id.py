@@ -8,7 +8,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from burstline.llm.tables import join_small, written
 from burstline.llm.wordsets import frugal, large, slices
@@ -187,15 +186,14 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
 
 def _predict(model: ByteTagger):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = large(batch.column(batch.num_columns - 1))
+    def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in columns:
+            texts = large(column)
             for at, to in slices(texts):
                 p = model.pooled(texts, at, to) if texts.buffers()[2] is not None else np.zeros((to - at, len(model.languages)))
                 best = p.argmax(axis=1)
                 score = np.clip(p[np.arange(to - at), best], 0, 1)
-                kept = [batch.column(i).slice(at, to - at) for i in range(batch.num_columns - 1)]
-                yield pa.RecordBatch.from_arrays([*kept, pa.array([model.languages[i] for i in best], type=pa.string()), pa.array(score.astype(np.float64))], names=[*batch.schema.names[:-1], "lang_pred", "score"])
+                yield pa.StructArray.from_arrays([pa.array([model.languages[i] for i in best], type=pa.string()), pa.array(score.astype(np.float64))], names=["lang_pred", "score"])
 
     return run
 
@@ -206,16 +204,16 @@ def identify(docs: DataFrame, model: ByteTagger | None, text_col: str = "text",
     Whole texts are read, in windows of SPAN bytes. A document's probability of a language is the
     mean over all its bytes; ``score`` is that of the language predicted. Null texts and texts
     without a letter are ``und`` with score 0, as is everything without a model. Repeated rows are
-    rows like others.
+    rows like others. Only the text goes to Python, once, and only the prediction comes back.
     """
     keep = tuple(c for c in docs.columns if c != text_col) if keep is None else keep
     lettered = F.coalesce(F.regexp_like(F.col(text_col), F.lit("\\p{L}")), F.lit(False))
     if model is None:
         return docs.select(*keep, F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
-    rows = docs.select(*(F.col(c).alias(f"k{i}") for i, c in enumerate(keep)), lettered.alias("lettered"), F.col(text_col).alias("text"))
-    schema = T.StructType([*rows.schema.fields[:-1], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    out = rows.mapInArrow(frugal(_predict(model)), schema)
-    return out.select(*(F.col(f"k{i}").alias(c) for i, c in enumerate(keep)), F.when(F.col("lettered"), F.col("lang_pred")).otherwise(UNKNOWN).alias("lang_pred"), F.when(F.col("lettered"), F.col("score")).otherwise(0.0).alias("score"))
+    # said to be not deterministic, so that a filter on its result doesn't run it a second time
+    predicted = F.arrow_udf(frugal(_predict(model)), "lang_pred string, score double").asNondeterministic()
+    out = docs.select(*(F.col(c).alias(f"k{i}") for i, c in enumerate(keep)), lettered.alias("lettered"), predicted(text_col).alias("found"))
+    return out.select(*(F.col(f"k{i}").alias(c) for i, c in enumerate(keep)), F.when(F.col("lettered"), F.col("found.lang_pred")).otherwise(UNKNOWN).alias("lang_pred"), F.when(F.col("lettered"), F.col("found.score")).otherwise(0.0).alias("score"))
 
 
 def held_out(id_col: str = "doc_id") -> Column:

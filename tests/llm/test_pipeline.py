@@ -75,6 +75,27 @@ def test_stages_keep_columns_and_take_clashing_ones(spark, tmp_path):
         assert stage(spark, rows.limit(0), str(tmp_path)).count() == 0
 
 
+def metric(df, name):
+    """Of the plan that ``df`` was collected by, the sum over its nodes."""
+    nodes, total = [df._jdf.queryExecution().executedPlan()], 0
+    while nodes:
+        node = nodes.pop()
+        nodes += [node.children().apply(i) for i in range(node.children().length())]
+        if node.metrics().contains(name):
+            total += node.metrics().apply(name).value()
+    return total
+
+
+def test_language_id_sends_each_text_to_python_once_and_gets_none_back(spark):
+    rng = random.Random(8)
+    docs = [(i, " ".join("".join(rng.choices(SYLLABLES[lang], k=3)) for _ in range(400)), lang, "s", 1) for i, lang in enumerate(["aa", "bb"] * 100)]
+    size = sum(len(t) for _, t, *_ in docs)
+    out = pipeline.language_id_stage(spark, spark.createDataFrame(docs, COLUMNS), "")
+    assert sorted(map(tuple, out.collect())) == sorted(docs)
+    assert size <= metric(out, "pythonDataSent") < 1.2 * size
+    assert metric(out, "pythonDataReceived") < 0.2 * size
+
+
 def test_near_dedup_keeps_one_row_of_each_class(spark):
     rng = random.Random(5)
     texts = [" ".join(rng.choice(SYLLABLES["bb"]) + str(rng.randrange(300)) for _ in range(60)) for _ in range(4)]
