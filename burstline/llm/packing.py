@@ -10,7 +10,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -184,6 +184,11 @@ def plan_best_fit(counts: dict[int, int], capacity: int) -> list[tuple[int, int,
     return slots
 
 
+def _small_table(spark: SparkSession, rows: list[tuple], *names: str) -> DataFrame:
+    """Whole numbers as a DataFrame. Of a list, Spark would start Python workers on the executors, which hold memory for a minute or more."""
+    return spark.createDataFrame(pa.table(dict(zip(names, np.array(rows, dtype=np.int64).T, strict=True))))
+
+
 def best_fit(pieces: DataFrame, capacity: int = 2048, order: tuple[str, ...] = ("id", "piece")) -> DataFrame:
     """``pieces`` with ``sequence_id`` and ``offset``: sequences of ``capacity`` at most, few and without gaps.
 
@@ -195,8 +200,8 @@ def best_fit(pieces: DataFrame, capacity: int = 2048, order: tuple[str, ...] = (
     """
     spark = pieces.sparkSession
     counts = {row["length"]: row["count"] for row in pieces.groupBy("length").count().collect()}
-    slots = spark.createDataFrame(plan_best_fit(counts, capacity) or [(0, 0, 0, 0, 0)], "length long, first_rank long, number long, first_sequence long, offset long")
-    groups = spark.createDataFrame([(n, count // RANK_GROUP + 1) for n, count in counts.items()] or [(0, 1)], "length long, groups long")
+    slots = _small_table(spark, plan_best_fit(counts, capacity) or [(0, 0, 0, 0, 0)], "length", "first_rank", "number", "first_sequence", "offset")
+    groups = _small_table(spark, [(n, count // RANK_GROUP + 1) for n, count in counts.items()] or [(0, 1)], "length", "groups")
 
     dealt = pieces.join(F.broadcast(groups), "length").withColumn("group", F.pmod(F.xxhash64(*order), "groups")).drop("groups")
     sums = dealt.groupBy("length", "group").count()

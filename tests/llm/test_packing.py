@@ -84,3 +84,17 @@ def test_ranks_within_hot_lengths(spark, monkeypatch):
     rows = spark.createDataFrame([(i, "a b c") for i in range(200)], "doc_id long, text string").repartition(4)
     got = packing.pack(rows, PATH, capacity=10).collect()
     assert len({(r.sequence_id, r.offset) for r in got}) == 200 and {r.offset for r in got} == {0, 4}
+
+
+def test_plan_reaches_executors_without_python_workers(spark, monkeypatch):
+    pieces = spark.range(50).selectExpr("id", "0 AS piece", "id % 7 + 1 AS length")
+
+    def refused(*_, **__):
+        raise AssertionError("a list is dealt out, which Python workers read")
+
+    monkeypatch.setattr(type(spark.sparkContext), "parallelize", refused)
+    got = packing.best_fit(pieces, 10).collect()
+    rooms = Counter()
+    for r in got:
+        rooms[r.sequence_id] += r.length
+    assert len(got) == 50 and max(rooms.values()) <= 10 and len(rooms) == -(-sum(r.length for r in got) // 10)
